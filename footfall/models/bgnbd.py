@@ -17,6 +17,9 @@ from footfall.models.fitting import fit_penalised, sum_over
 # acts on parameters in scaled time.
 SCALED_LENGTH = 10.0
 
+# Points the search may begin at, in scaled time.
+_STARTS = ((1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 0.1, 1.0), (5.0, 5.0, 0.01, 0.1))
+
 
 @dataclass(frozen=True)
 class BetaGeo:
@@ -111,7 +114,7 @@ def fit_bgnbd(cells: DataFrame, penalties: Sequence[float]) -> list[BetaGeo]:
         "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "n"
     ).persist()
     try:
-        fits = fit_penalised(scaled, _likelihood, _COLUMNS, "n", (1.0, 1.0, 1.0, 1.0), penalties)
+        fits = fit_penalised(scaled, _likelihood, _COLUMNS, "n", _STARTS, penalties)
     finally:
         scaled.unpersist()
     return [

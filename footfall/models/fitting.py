@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 Kernel = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
 
-_STEPS = (1.0, 0.4, 0.1, 0.02)
+_STEPS = (4.0, 1.0, 0.25, 0.05)
 _PROBE = 1e-4
-_MAX_MOVE = 2.0
+_MAX_MOVE = 4.0
 _CHUNK_CELLS = 200_000
 
 
@@ -70,79 +70,85 @@ def fit_penalised(
     kernel: Kernel,
     columns: Sequence[str],
     weight: str,
-    start: Sequence[float],
+    starts: Sequence[Sequence[float]],
     penalties: Sequence[float],
-    max_passes: int = 60,
-    tolerance: float = 1e-7,
+    max_passes: int = 50,
+    tolerance: float = 1e-6,
+    least_gain: float = 1e-8,
 ) -> list[Fit]:
     """Minimise mean(-log L) + penalty * sum(params^2) for each penalty.
 
-    The search runs in log-parameters. Each pass evaluates several step
-    lengths per problem, with gradients beside each for the next Hessian.
+    The search runs in log-parameters and begins at the best of the starts.
+    Each pass evaluates several step lengths per problem, with gradients
+    beside each for the next Hessian.
     """
-    size = len(start)
+    size = len(starts[0])
     total = data.agg(F.sum(weight)).first()[0]
     if not total:
         raise ValueError("no customers to fit")
     lam = np.asarray(penalties, dtype=float)
     offsets = np.vstack([np.zeros(size), _PROBE * np.eye(size)])
 
-    def objective(logs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        params = np.exp(logs)
+    def around(centres: np.ndarray, owner: np.ndarray):
+        """Value, gradient and Hessian at each centre, from one pass."""
+        params = np.exp((centres[:, None, :] + offsets[None]).reshape(-1, size))
         sums = sum_over(data, kernel, columns, weight, params)
-        extra = lam[owner][:, None] * params**2
+        extra = lam[np.repeat(owner, size + 1)][:, None] * params**2
         value = -sums[:, 0] / total + extra.sum(axis=1)
         slope = -sums[:, 1:] * params / total + 2.0 * extra
-        return value, slope
-
-    def around(centres: np.ndarray, owner: np.ndarray):
-        """Value, gradient and Hessian at each centre, from one pass."""
-        points = (centres[:, None, :] + offsets[None]).reshape(-1, size)
-        value, slope = objective(points, np.repeat(owner, size + 1))
         value = value.reshape(-1, size + 1)[:, 0]
         slope = slope.reshape(-1, size + 1, size)
         curve = (slope[:, 1:] - slope[:, :1]) / _PROBE
-        return value, slope[:, 0], (curve + curve.transpose(0, 2, 1)) / 2.0
+        sound = np.isfinite(value) & np.isfinite(curve).all(axis=(1, 2))
+        return (
+            np.where(sound, value, np.inf), slope[:, 0], (curve + curve.transpose(0, 2, 1)) / 2.0
+        )
 
     problems = np.arange(len(lam))
-    theta = np.log(np.tile(np.asarray(start, dtype=float), (len(lam), 1)))
-    value, slope, curve = around(theta, problems)
+    origin = np.log(np.asarray(starts, dtype=float))
+    centres = np.tile(origin, (len(lam), 1))
+    values, slopes, curves = around(centres, np.repeat(problems, len(origin)))
+    first = [i * len(origin) + int(np.argmin(v)) for i, v in enumerate(values.reshape(len(lam), -1))]
+    theta, value, slope, curve = centres[first], values[first], slopes[first], curves[first]
     shrink = np.ones(len(lam))
-    converged = np.abs(slope).max(axis=1) < tolerance
+    settled = np.abs(slope).max(axis=1) < tolerance
     passes = 1
-    while passes < max_passes and not converged.all():
-        active = problems[~converged & (shrink > 1e-9)]
+    while passes < max_passes:
+        active = problems[~settled & (shrink > 1e-6)]
         if active.size == 0:
             break
-        moves = np.stack([_direction(slope[i], curve[i]) * shrink[i] for i in active])
-        lengths = np.asarray(_STEPS)
-        centres = theta[active][:, None, :] + lengths[None, :, None] * moves[:, None, :]
-        owner = np.repeat(active, len(_STEPS))
-        new_value, new_slope, new_curve = around(centres.reshape(-1, size), owner)
+        moves = np.stack([_moves(slope[i], curve[i], shrink[i]) for i in active])
+        centres = (theta[active][:, None, :] + moves).reshape(-1, size)
+        values, slopes, curves = around(centres, np.repeat(active, len(_STEPS)))
         passes += 1
         for place, i in enumerate(active):
             tried = slice(place * len(_STEPS), (place + 1) * len(_STEPS))
-            scores = np.where(np.isfinite(new_value[tried]), new_value[tried], np.inf)
-            best = tried.start + int(np.argmin(scores))
-            gain = value[i] - new_value[best]
-            if not gain > 0:
+            best = tried.start + int(np.argmin(values[tried]))
+            gain = value[i] - values[best]
+            if gain > 0:
+                theta[i], value[i] = centres[best], values[best]
+                slope[i], curve[i] = slopes[best], curves[best]
+                small = gain <= least_gain * max(1.0, abs(value[i]))
+                settled[i] = small or np.abs(slope[i]).max() < tolerance
+                shrink[i] = 1.0
+            else:
+                # No length helped: done if flat to the limit of rounding, else closer in.
+                settled[i] = np.abs(slope[i]).max() < 100 * tolerance
                 shrink[i] *= 0.01
-                converged[i] = np.abs(slope[i]).max() < 100 * tolerance
-                continue
-            theta[i] = centres.reshape(-1, size)[best]
-            value[i], slope[i], curve[i] = new_value[best], new_slope[best], new_curve[best]
-            shrink[i] = 1.0
-            converged[i] = np.abs(slope[i]).max() < tolerance
     return [
-        Fit(tuple(map(float, np.exp(theta[i]))), float(lam[i]), float(value[i]), bool(converged[i]), passes)
+        Fit(tuple(map(float, np.exp(theta[i]))), float(lam[i]), float(value[i]), bool(settled[i]), passes)
         for i in problems
     ]
 
 
-def _direction(slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    """Newton direction with negative curvature turned round, and a bounded move."""
+def _moves(slope: np.ndarray, curve: np.ndarray, shrink: float) -> np.ndarray:
+    """Newton direction, negative curvature turned round, at each step length.
+
+    A length above one covers flat directions, where a parameter drifts
+    towards zero; every move is bounded.
+    """
     values, vectors = np.linalg.eigh(curve)
-    safe = np.maximum(np.abs(values), 1e-8)
-    move = -vectors @ ((vectors.T @ slope) / safe)
-    largest = np.abs(move).max()
-    return move if largest <= _MAX_MOVE else move * (_MAX_MOVE / largest)
+    direction = -vectors @ ((vectors.T @ slope) / np.maximum(np.abs(values), 1e-8))
+    moves = np.outer(np.asarray(_STEPS) * shrink, direction)
+    largest = np.abs(moves).max(axis=1, keepdims=True)
+    return moves * np.minimum(1.0, _MAX_MOVE / np.maximum(largest, 1e-300))

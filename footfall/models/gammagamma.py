@@ -70,10 +70,11 @@ def fit_gammagamma(spend: DataFrame, penalties: Sequence[float]) -> list[GammaGa
         ).first()[0]
         if mean is None:
             raise ValueError("no customers to fit")
-        # Start where the population mean, v p / (q - 1), equals the data mean.
-        start = (2.0, 2.0, max(mean / 2.0, 1e-6))
+        # A strong penalty pulls all three down; a weak one leaves the
+        # population mean, v p / (q - 1), near the data mean.
+        starts = ((1.0, 1.0, 1.0), (5.0, 0.2, 5.0), (1.0, 0.1, 1.0), (2.0, 2.0, mean / 2.0))
         fits = fit_penalised(
-            kept, _likelihood, ("frequency", "monetary_value"), "n", start, penalties
+            kept, _likelihood, ("frequency", "monetary_value"), "n", starts, penalties
         )
     finally:
         kept.unpersist()

@@ -52,8 +52,9 @@ def trailing_stickiness(
     last_day = F.least(
         F.date_add("date", window_days - 1), F.date_sub(F.lead("date").over(own_days), 1)
     )
-    covered = user_days(log, user, ts).select(
-        F.posexplode(F.sequence("date", last_day)).alias("offset", "date")
+    stretches = user_days(log, user, ts).withColumn("_last_day", last_day)
+    covered = stretches.select(
+        F.posexplode(F.sequence("date", "_last_day")).alias("offset", "date")
     )
     return (
         covered.groupBy("date")

@@ -5,18 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.special import f_upper_tail, student_two_sided
 from footfall.operators.quantiles import quantiles_by_metric
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     pairs = zip(t, df, strict=True)
     return pd.Series([None if pd.isna(a) or pd.isna(b) else student_two_sided(a, b) for a, b in pairs])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     rows = zip(f, df1, df2, strict=True)
     return pd.Series([None if pd.isna(a) else f_upper_tail(a, b, c) for a, b, c in rows])
