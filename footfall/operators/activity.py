@@ -90,10 +90,24 @@ def mean_series(table: DataFrame, day: str, value: str) -> DataFrame:
 def days_with_week(log: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Each day's actives next to those of its calendar week.
 
-    Both sides of the join are per-calendar aggregates.
+    A user is new in a week on the first of their active days in it, so the
+    weekly count is the sum of new users over the week's days. Both counts
+    come from one pass over the distinct (user, day) pairs, without a join.
     """
-    daily = daily_active(log, user, ts).withColumn("week", week_start(F.col("date")))
-    return daily.join(weekly_active(log, user, ts), "week", "inner")
+    own_days = Window.partitionBy("user_id").orderBy("date")
+    week = week_start(F.col("date"))
+    marked = user_days(log, user, ts).withColumn(
+        "_new", F.coalesce(F.lag("date").over(own_days) < week, F.lit(True))
+    )
+    daily = (
+        marked.groupBy("date")
+        .agg(F.count(F.lit(1)).alias("dau"), F.count_if("_new").alias("_new"))
+        .withColumns({"day_name": weekday_name(F.col("date")), "week": week})
+    )
+    # At most seven rows per week.
+    return daily.withColumn(
+        "wau_calendar", F.sum("_new").over(Window.partitionBy("week"))
+    ).drop("_new")
 
 
 def week_gap(log: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:

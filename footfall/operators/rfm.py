@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,15 @@ def rfm_simple(
     )
 
 
-def last_day(log: DataFrame, ts: str = "ts") -> Column:
-    """Observation end: the last day of the log, as a scalar subquery."""
-    return log.agg(day_of(F.max(ts)).alias("last_day")).scalar()
+def last_day(log: DataFrame, ts: str = "ts") -> dt.date:
+    """Observation end: the last day of the log.
+
+    Read once, so that later plans hold a plain literal they can filter by.
+    """
+    found = log.agg(day_of(F.max(ts)).alias("last_day")).first()["last_day"]
+    if found is None:
+        raise ValueError("the log is empty")
+    return found
 
 
 def _daily_spend(transactions: DataFrame, user: str, ts: str, price: str) -> DataFrame:
