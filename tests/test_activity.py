@@ -31,7 +31,7 @@ def users_by_day(rows):
     return days
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(log_rows, st.integers(1, 9))
 def test_trailing_stickiness_brute_force(spark, rows, window):
     days = users_by_day(rows)
@@ -59,7 +59,7 @@ def test_trailing_equals_range_join(spark, data_root):
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, fast.collect()))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(log_rows)
 def test_calendar_counts(spark, rows):
     log = make_log(spark, rows)

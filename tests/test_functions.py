@@ -26,7 +26,7 @@ def test_round_half_even_scales_first(spark):
     assert one(spark, numbers.round_half_even(F.lit(3.5))) == 4.0
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=20), st.integers(1, 4))
 def test_round_half_even_matches_numpy(spark, values, digits):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
