@@ -58,13 +58,15 @@ def digits_to_int(text: Column) -> Column:
 
 
 def lenient_timestamp(text: Column) -> Column:
-    """Parse known layouts; anything else is NULL."""
+    """Parse known layouts; anything else is NULL.
+
+    ISO text, the usual case, is parsed at once; only the rest is rewritten.
+    """
     trimmed = F.trim(text)
-    parsed = trimmed.try_cast("timestamp_ntz")
-    for pattern, iso in reversed(TIMESTAMP_LAYOUTS):
-        rewritten = F.regexp_replace(trimmed, pattern, iso).try_cast("timestamp_ntz")
-        parsed = F.when(trimmed.rlike(pattern), rewritten).otherwise(parsed)
-    return parsed
+    rewritten = trimmed
+    for pattern, iso in TIMESTAMP_LAYOUTS:
+        rewritten = F.regexp_replace(rewritten, pattern, iso)
+    return F.coalesce(trimmed.try_cast("timestamp_ntz"), rewritten.try_cast("timestamp_ntz"))
 
 
 def resolve_comment_date(text: Column, load_day, days_ago_marker: str = "일 전") -> Column:

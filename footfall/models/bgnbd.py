@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.special import digamma, hyp2f1, ln_gamma
-from footfall.models.fitting import fit_penalised, sum_over
+from footfall.models.fitting import fit_penalised, spread_out, sum_over
 
 # Times are scaled so that the longest observation is this long; the penalty
 # acts on parameters in scaled time.
@@ -106,17 +106,21 @@ def with_log_likelihood(customers: DataFrame, model: BetaGeo, name: str = "logli
 
 def fit_bgnbd(cells: DataFrame, penalties: Sequence[float]) -> list[BetaGeo]:
     """One model per penalty. Cells are read once per pass, so they are kept."""
-    longest = cells.agg(F.max("T")).first()[0]
-    if not longest or longest <= 0:
-        raise ValueError("no observation time to fit on")
-    scale = SCALED_LENGTH / longest
-    scaled = cells.select(
-        "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "n"
-    ).persist()
+    kept = spread_out(cells).persist()
     try:
+        longest = kept.agg(F.max("T")).first()[0]
+        if not longest or longest <= 0:
+            raise ValueError("no observation time to fit on")
+        scale = SCALED_LENGTH / longest
+        scaled = kept.select(
+            "frequency",
+            (F.col("recency") * scale).alias("recency"),
+            (F.col("T") * scale).alias("T"),
+            "n",
+        )
         fits = fit_penalised(scaled, _likelihood, _COLUMNS, "n", _STARTS, penalties)
     finally:
-        scaled.unpersist()
+        kept.unpersist()
     return [
         BetaGeo(
             fit.params[0], fit.params[1] / scale, fit.params[2], fit.params[3],

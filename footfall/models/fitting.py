@@ -36,6 +36,15 @@ class Fit:
     passes: int
 
 
+def spread_out(data: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle partitions.
+
+    A fit is heavy on few bytes, and size-based coalescing would leave most
+    cores idle; the deal happens once, before the passes.
+    """
+    return data.repartition(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sum_over(
     data: DataFrame, kernel: Kernel, columns: Sequence[str], weight: str, points: np.ndarray
 ) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.special import digamma, ln_gamma
-from footfall.models.fitting import fit_penalised
+from footfall.models.fitting import fit_penalised, spread_out
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def repeat_spend(
 
 def fit_gammagamma(spend: DataFrame, penalties: Sequence[float]) -> list[GammaGamma]:
     """One model per penalty; values are used in their own unit."""
-    kept = spend.persist()
+    kept = spread_out(spend).persist()
     try:
         mean = kept.agg(
             F.try_divide(F.sum(F.col("monetary_value") * F.col("n")), F.sum("n"))

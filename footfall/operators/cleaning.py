@@ -24,8 +24,10 @@ def clean_comments(
     dated = raw.na.drop("any").withColumn(
         date, resolve_comment_date(F.col(date), load_day, days_ago_marker)
     )
-    kept = dated.na.drop(subset=[date])
-    return kept if cutoff is None else kept.filter(F.col(date) <= as_instant(cutoff))
+    if cutoff is None:
+        return dated.na.drop(subset=[date])
+    # Unparsed dates are NULL and fail the comparison too.
+    return dated.filter(F.col(date) <= as_instant(cutoff))
 
 
 def between_days(df: DataFrame, day: str, start, end=None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators import cleaning, content, group_tests, histograms
 from footfall.plans import bindings
-from footfall.plans.customer_queries import _histogram_sql
+from footfall.plans.customer_queries import histogram_sql
 from footfall.plans.registry import query
 from footfall.session import materialise
 
@@ -205,7 +205,7 @@ def levene_test(spark, folder):
 
 @query(
     "value_histogram",
-    f"""WITH {SERIES_SQL}, {_histogram_sql("series", ["cookie_mean"], 8)}
+    f"""WITH {SERIES_SQL}, {histogram_sql("series", ["cookie_mean"], 8)}
 SELECT metric, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, cnt FROM binned""",
 )
 def value_histogram(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from footfall.functions.numbers import round_half_even
@@ -381,18 +383,23 @@ def holdout_error_fixed(spark, folder):
 # ------------------------------------------------------------ fitted models
 
 
+def _as_table(spark, models):
+    names = [field.name for field in dataclasses.fields(models[0])]
+    return spark.createDataFrame([dataclasses.astuple(m) for m in models], names)
+
+
 @query("bgnbd_fit")
 def bgnbd_fit(spark, folder):
     holdout = repeat_holdout(spark, folder)
     cells = customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal")
-    return spark.createDataFrame(fit_bgnbd(cells, [PURCHASE_PENALTY]))
+    return _as_table(spark, fit_bgnbd(cells, [PURCHASE_PENALTY]))
 
 
 @query("gammagamma_fit")
 def gammagamma_fit(spark, folder):
     holdout = repeat_holdout(spark, folder)
     spend = repeat_spend(holdout, "frequency_cal", "monetary_value_cal")
-    return spark.createDataFrame(fit_gammagamma(spend, [SPEND_PENALTY]))
+    return _as_table(spark, fit_gammagamma(spend, [SPEND_PENALTY]))
 
 
 @query("holdout_scores")
@@ -511,7 +518,7 @@ def rfml_top20(spark, folder):
     return top.withColumn("value", F.round("value", 2))
 
 
-def _histogram_sql(source: str, columns: list[str], bins: int) -> str:
+def histogram_sql(source: str, columns: list[str], bins: int) -> str:
     pieces = " UNION ALL ".join(
         f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns
     )
@@ -535,7 +542,7 @@ binned AS (
 
 @query(
     "rfml_histograms",
-    f"""WITH {LTV_SQL}, {_histogram_sql("customers", METRICS, 20)}
+    f"""WITH {LTV_SQL}, {histogram_sql("customers", METRICS, 20)}
 SELECT metric, bin, round(lower, 2) AS lower, round(upper, 2) AS upper, cnt FROM binned""",
 )
 def rfml_histograms(spark, folder):
