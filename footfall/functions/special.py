@@ -41,7 +41,7 @@ def digamma(z):
     return np.log(y) - 0.5 / y - series * square - head
 
 
-def hyp2f1(a, b, c, z, max_terms: int = 200_000):
+def hyp2f1(a, b, c, z, max_terms: int = 2_000_000):
     """Gauss series for 0 <= z < 1 after Euler's transformation.
 
     Rows leave the loop as soon as their own terms stop mattering.

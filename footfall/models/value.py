@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.models.bgnbd import BetaGeo, customer_cells, expected_purchases_at, fit_bgnbd
@@ -21,6 +22,26 @@ from footfall.session import materialise
 DAYS_PER_MONTH = 30
 
 
+def fit_both(
+    customers: DataFrame,
+    purchase_penalties: Sequence[float],
+    spend_penalties: Sequence[float],
+    suffix: str = "",
+) -> tuple[list[BetaGeo], list[GammaGamma]]:
+    """Purchase and spend models of repeat customers.
+
+    The two searches are independent rows of short jobs, so they are submitted
+    side by side. `suffix` picks the summary columns, e.g. `_cal`.
+    """
+    repeat = customers.filter(F.col(f"frequency{suffix}") > 0)
+    cells = customer_cells(repeat, f"frequency{suffix}", f"recency{suffix}", f"T{suffix}")
+    spend = repeat_spend(repeat, f"frequency{suffix}", f"monetary_value{suffix}")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        purchases = pool.submit(fit_bgnbd, cells, purchase_penalties)
+        values = pool.submit(fit_gammagamma, spend, spend_penalties)
+        return purchases.result(), values.result()
+
+
 def with_lifetime_value(
     customers: DataFrame,
     purchases: BetaGeo,
@@ -144,13 +165,8 @@ def penalty_grid(holdout: DataFrame, penalties: Sequence[float]) -> DataFrame:
     All penalties share every pass over the data.
     """
     kept = materialise(holdout.filter(F.col("frequency_cal") > 0))
-    purchases = fit_bgnbd(customer_cells(kept, "frequency_cal", "recency_cal", "T_cal"), penalties)
-    spend = fit_gammagamma(repeat_spend(kept, "frequency_cal", "monetary_value_cal"), penalties)
+    purchases, spend = fit_both(kept, penalties, penalties, "_cal")
     scores = score_purchases(kept, purchases).unionByName(score_spend(kept, spend))
     # Two models times the number of penalties.
-    best = scores.groupBy("model").agg(F.min_by("l2", "mse").alias("_best"))
-    return (
-        scores.join(F.broadcast(best), "model")
-        .withColumn("best", F.col("l2") == F.col("_best"))
-        .drop("_best")
-    )
+    ranked = Window.partitionBy("model").orderBy("mse", "l2")
+    return scores.withColumn("best", F.row_number().over(ranked) == 1)

@@ -22,6 +22,7 @@ from footfall.models.gammagamma import (
 )
 from footfall.models.value import (
     error_scores,
+    fit_both,
     penalty_grid,
     score_purchases,
     score_spend,
@@ -405,12 +406,7 @@ def gammagamma_fit(spark, folder):
 @query("holdout_scores")
 def holdout_scores(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
-    purchases = fit_bgnbd(
-        customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal"), [PURCHASE_PENALTY]
-    )
-    spend = fit_gammagamma(
-        repeat_spend(holdout, "frequency_cal", "monetary_value_cal"), [SPEND_PENALTY]
-    )
+    purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
     return (
         score_purchases(holdout, purchases)
         .unionByName(score_spend(holdout, spend))
@@ -426,13 +422,8 @@ def penalty_grid_query(spark, folder):
 @query("ltv_fitted")
 def ltv_fitted(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
-    cells = customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal")
-    spend = repeat_spend(holdout, "frequency_cal", "monetary_value_cal")
-    return with_lifetime_value(
-        repeat_customers(spark, folder),
-        fit_bgnbd(cells, [PURCHASE_PENALTY])[0],
-        fit_gammagamma(spend, [SPEND_PENALTY])[0],
-    )
+    purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
+    return with_lifetime_value(repeat_customers(spark, folder), purchases[0], spend[0])
 
 
 # ----------------------------------------------------------------- segments

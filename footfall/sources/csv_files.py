@@ -46,14 +46,20 @@ def _first_line(stream) -> str:
     return head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
 
 
+def _open_uri(path: str) -> str:
+    """Hadoop spelling of a path to the one Arrow opens."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[len("file:") :]
+    return "s3://" + path[len("s3a://") :] if path.startswith("s3a://") else path
+
+
 def _headers(batches):
     from pyarrow import fs
 
     for batch in batches:
         lines = []
         for path in batch["path"]:
-            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(uri)
+            system, inner = fs.FileSystem.from_uri(_open_uri(path))
             with system.open_input_stream(inner, compression=None) as stream:
                 lines.append(_first_line(stream))
         yield pd.DataFrame({"path": batch["path"], "header": lines})

@@ -120,6 +120,44 @@ def test_first_per_key_cuts_before_the_shuffle(spark, data_root):
     assert text.count("WindowGroupLimit") == 2 and text.index("Exchange") < text.rindex("Partial")
 
 
+def test_large_dimension_and_hot_episode(spark):
+    """Beyond the broadcast limit the join sorts, splits the hot key, and agrees."""
+    hot = spark.range(200_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'e1' ELSE concat('e', id % 500) END AS episode",
+        "id % 997 AS user_id",
+        "timestamp_ntz '2024-03-01 00:00:00' + make_dt_interval(cast(id % 9 as int)) AS comment_date",
+        "id % 5 AS comment_like",
+    )
+    episodes = spark.range(500).selectExpr("concat('e', id) AS episode", "date '2024-03-05' AS upload_at")
+
+    def totals():
+        priced = pricing.priced_comments(hot, episodes)
+        df = rfm.rfm_repeat(priced, "2024-03-31", ts="comment_date").selectExpr(
+            "sum(frequency)", "sum(monetary_value)", "count(*)"
+        )
+        return [round(v, 6) for v in df.collect()[0]], plan_text(df)
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    small, plan = totals()
+    assert "BroadcastHashJoin" in plan
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        large, plan = totals()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert small == large
+
+
 def test_observation_end_reaches_the_scan(spark, data_root):
     log = bindings.transactions(spark, f"{data_root}/sf0.001")
     text = plan_text(rfm.rfm_repeat(log, rfm.last_day(log)))
