@@ -84,10 +84,10 @@ def customer_cells(
 _COLUMNS = ("frequency", "recency", "T")
 
 
-def log_likelihood(cells: DataFrame, model: BetaGeo) -> float:
-    """Sum over customers at given parameters, time as given."""
-    point = np.array([[model.r, model.alpha, model.a, model.b]])
-    return float(sum_over(cells, _likelihood, _COLUMNS, "n", point)[0, 0])
+def likelihood_sums(cells: DataFrame, models: Sequence[BetaGeo]) -> list[float]:
+    """Log-likelihood of each model over all customers, in one pass, time as given."""
+    points = np.array([[m.r, m.alpha, m.a, m.b] for m in models])
+    return [float(v) for v in sum_over(cells, _likelihood, _COLUMNS, "n", points)[:, 0]]
 
 
 def with_log_likelihood(customers: DataFrame, model: BetaGeo, name: str = "loglik") -> DataFrame:

@@ -23,6 +23,7 @@ _STEPS = (4.0, 1.0, 0.25, 0.05)
 _PROBE = 1e-4
 _MAX_MOVE = 4.0
 _CHUNK_CELLS = 200_000
+_ROWS_PER_PARTITION = 50_000
 
 
 @dataclass(frozen=True)
@@ -37,12 +38,15 @@ class Fit:
 
 
 def spread_out(data: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the session's shuffle partitions.
+    """Rows dealt evenly, over all cores at least and more partitions for many rows.
 
     A fit is heavy on few bytes, and size-based coalescing would leave most
     cores idle; the deal happens once, before the passes.
     """
-    return data.repartition(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    session = data.sparkSession
+    most = int(session.conf.get("spark.sql.shuffle.partitions"))
+    by_rows = data.count() // _ROWS_PER_PARTITION + 1
+    return data.repartition(min(most, max(session.sparkContext.defaultParallelism, by_rows)))
 
 
 def sum_over(

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.special import digamma, ln_gamma
-from footfall.models.fitting import fit_penalised, spread_out
+from footfall.models.fitting import fit_penalised, spread_out, sum_over
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,27 @@ def _likelihood(arrays: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray
     )
 
 
+_COLUMNS = ("frequency", "monetary_value")
+
+
+def likelihood_sums(spend: DataFrame, models: Sequence[GammaGamma]) -> list[float]:
+    """Log-likelihood of each model over all customers, in one pass."""
+    points = np.array([[m.p, m.q, m.v] for m in models])
+    return [float(v) for v in sum_over(spend, _likelihood, _COLUMNS, "n", points)[:, 0]]
+
+
+def with_log_likelihood(customers: DataFrame, model: GammaGamma, name: str = "loglik") -> DataFrame:
+    """Each customer's own log-likelihood at given parameters."""
+    point = np.array([[model.p, model.q, model.v]])
+
+    @F.pandas_udf("double")
+    def own(x: pd.Series, m: pd.Series) -> pd.Series:
+        arrays = {"frequency": x.to_numpy(float), "monetary_value": m.to_numpy(float)}
+        return pd.Series(_likelihood(arrays, point)[:, 0, 0])
+
+    return customers.withColumn(name, own("frequency", "monetary_value"))
+
+
 def repeat_spend(
     customers: DataFrame, frequency: str = "frequency", value: str = "monetary_value"
 ) -> DataFrame:
@@ -74,7 +96,7 @@ def fit_gammagamma(spend: DataFrame, penalties: Sequence[float]) -> list[GammaGa
         # population mean, v p / (q - 1), near the data mean.
         starts = ((1.0, 1.0, 1.0), (5.0, 0.2, 5.0), (1.0, 0.1, 1.0), (2.0, 2.0, mean / 2.0))
         fits = fit_penalised(
-            kept, _likelihood, ("frequency", "monetary_value"), "n", starts, penalties
+            kept, _likelihood, _COLUMNS, "n", starts, penalties
         )
     finally:
         kept.unpersist()

@@ -7,6 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from footfall.functions.numbers import round_half_even
+from footfall.models import bgnbd, gammagamma
 from footfall.models.bgnbd import (
     BetaGeo,
     customer_cells,
@@ -185,9 +186,7 @@ def rfm_repeat_orders(spark, folder):
     return rfm.rfm_repeat(log, rfm.last_day(log))
 
 
-@query(
-    "calibration_holdout",
-    f"""WITH {bindings.TRANSACTIONS_SQL},
+CALIBRATION_SQL = f"""{bindings.TRANSACTIONS_SQL},
 ends AS (SELECT max(day) AS last_day, max(day) - {HOLDOUT_DAYS} AS split FROM txn),
 daily AS (
   SELECT user_id, day, sum(price) AS spend FROM txn, ends WHERE day <= split GROUP BY user_id, day),
@@ -203,12 +202,16 @@ cal AS (
 late AS (
   SELECT user_id, count(DISTINCT day) AS frequency_holdout,
          CAST(sum(price) AS DOUBLE) / count(*) AS monetary_value_holdout
-  FROM txn, ends WHERE day > split AND day <= last_day GROUP BY user_id)
-SELECT cal.*, coalesce(frequency_holdout, 0) AS frequency_holdout,
-       coalesce(monetary_value_holdout, 0) AS monetary_value_holdout,
-       {HOLDOUT_DAYS} AS duration_holdout
-FROM cal LEFT JOIN late ON cal.user_id = late.user_id""",
-)
+  FROM txn, ends WHERE day > split AND day <= last_day GROUP BY user_id),
+summary AS (
+  SELECT cal.*, coalesce(frequency_holdout, 0) AS frequency_holdout,
+         coalesce(monetary_value_holdout, 0) AS monetary_value_holdout,
+         {HOLDOUT_DAYS} AS duration_holdout
+  FROM cal LEFT JOIN late ON cal.user_id = late.user_id),
+repeaters AS (SELECT * FROM summary WHERE frequency_cal > 0)"""
+
+
+@query("calibration_holdout", f"WITH {CALIBRATION_SQL} SELECT * FROM summary")
 def calibration_holdout(spark, folder):
     log = bindings.transactions(spark, folder)
     return rfm.calibration_holdout(log, rfm.last_day(log), HOLDOUT_DAYS)
@@ -352,26 +355,32 @@ def total_expected_ltv(spark, folder):
     return segments.total_value(valued_customers(spark, folder))
 
 
-HOLDOUT_SQL = f"""WITH {bindings.TRANSACTIONS_SQL},
-ends AS (SELECT max(day) AS last_day, max(day) - {HOLDOUT_DAYS} AS split FROM txn),
-cal AS (
-  SELECT user_id, count(DISTINCT day) - 1 AS frequency_cal,
-         date_diff('day', min(day), max(day)) AS recency_cal,
-         date_diff('day', min(day), (SELECT split FROM ends)) AS t_cal
-  FROM txn, ends WHERE day <= split GROUP BY user_id HAVING count(DISTINCT day) > 1),
-late AS (
-  SELECT user_id, count(DISTINCT day) AS frequency_holdout
-  FROM txn, ends WHERE day > split GROUP BY user_id),
-{_expected_sql("cal", f"VALUES (CAST({HOLDOUT_DAYS} AS DOUBLE))", "frequency_cal", "recency_cal", "t_cal")},
-errors AS (
-  SELECT coalesce(frequency_holdout, 0) - purchases AS error
-  FROM expected LEFT JOIN late ON expected.user_id = late.user_id)
-SELECT round(avg(error * error), 6) AS mse, round(sqrt(avg(error * error)), 6) AS rmse,
-       round(avg(abs(error)), 6) AS mae
-FROM errors"""
+HOLDOUT_SQL = f"""{CALIBRATION_SQL},
+{_expected_sql("repeaters", f"VALUES (CAST({HOLDOUT_DAYS} AS DOUBLE))", "frequency_cal", "recency_cal", '"T_cal"')},
+purchase_errors AS (
+  SELECT frequency_holdout - purchases AS error
+  FROM expected e JOIN repeaters r ON e.user_id = r.user_id)"""
 
 
-@query("holdout_error_fixed", HOLDOUT_SQL)
+def _spend_error_sql(part: str) -> str:
+    weight = f"({P} * frequency_{part} / ({P} * frequency_{part} + {Q} - 1))"
+    return f"""
+  SELECT monetary_value_holdout
+         - ((1 - {weight}) * ({V} * {P} / ({Q} - 1)) + {weight} * monetary_value_{part}) AS error
+  FROM repeaters"""
+
+
+def _scores_sql(label: str, source: str) -> str:
+    return f"""SELECT '{label}' AS model, count(*) AS customers, round(avg(error * error), 1) AS mse,
+       round(sqrt(avg(error * error)), 4) AS rmse, round(avg(abs(error)), 4) AS mae FROM {source}"""
+
+
+@query(
+    "holdout_error_fixed",
+    f"""WITH {HOLDOUT_SQL}
+SELECT round(avg(error * error), 6) AS mse, round(sqrt(avg(error * error)), 6) AS rmse,
+       round(avg(abs(error)), 6) AS mae FROM purchase_errors""",
+)
 def holdout_error_fixed(spark, folder):
     predicted = expected_purchases(
         PURCHASE_MODEL, "duration_holdout", "frequency_cal", "recency_cal", "T_cal"
@@ -381,6 +390,61 @@ def holdout_error_fixed(spark, folder):
     return scores.select(*[F.round(c, 6).alias(c) for c in ("mse", "rmse", "mae")])
 
 
+@query(
+    "holdout_scores_fixed",
+    f"""WITH {HOLDOUT_SQL},
+holdout_spend AS ({_spend_error_sql("holdout")}),
+forecast_spend AS ({_spend_error_sql("cal")})
+{_scores_sql("bgnbd", "purchase_errors")}
+UNION ALL {_scores_sql("gammagamma_holdout", "holdout_spend")}
+UNION ALL {_scores_sql("gammagamma_forecast", "forecast_spend")}""",
+)
+def holdout_scores_fixed(spark, folder):
+    holdout = materialise(repeat_holdout(spark, folder))
+    scores = (
+        score_purchases(holdout, [PURCHASE_MODEL])
+        .unionByName(score_spend(holdout, [SPEND_MODEL]))
+        .unionByName(score_spend(holdout, [SPEND_MODEL], from_holdout=False))
+    )
+    digits = {"mse": 1, "rmse": 4, "mae": 4}
+    return scores.drop("l2").withColumns({name: F.round(name, d) for name, d in digits.items()})
+
+
+SPEND_LOGLIK_SQL = f"""
+SELECT user_id, frequency, monetary_value,
+       lgamma({P} * frequency + {Q}) - lgamma({P} * frequency) - lgamma({Q}) + {Q} * ln({V})
+       + ({P} * frequency - 1) * ln(monetary_value) + {P} * frequency * ln(frequency)
+       - ({P} * frequency + {Q}) * ln(frequency * monetary_value + {V}) AS loglik
+FROM rfm WHERE frequency > 0"""
+
+
+@query(
+    "gammagamma_loglik",
+    f"""WITH {ORDER_RFM_SQL}
+SELECT user_id, frequency, monetary_value, round(loglik, 6) AS loglik FROM ({SPEND_LOGLIK_SQL})""",
+)
+def gammagamma_loglik(spark, folder):
+    scored = gammagamma.with_log_likelihood(repeat_customers(spark, folder), SPEND_MODEL)
+    return scored.select(
+        "user_id", "frequency", "monetary_value", F.round("loglik", 6).alias("loglik")
+    )
+
+
+@query(
+    "likelihood_sums",
+    f"""WITH {ORDER_RFM_SQL}
+SELECT 'bgnbd' AS model, round(sum(loglik), 4) AS loglik FROM ({LOGLIK_SQL}) WHERE frequency > 0
+UNION ALL SELECT 'gammagamma', round(sum(loglik), 4) FROM ({SPEND_LOGLIK_SQL})""",
+)
+def likelihood_sums(spark, folder):
+    # The sums every pass of a fit computes, at fixed parameters.
+    customers = materialise(repeat_customers(spark, folder))
+    purchases = bgnbd.likelihood_sums(customer_cells(customers), [PURCHASE_MODEL])
+    spend = gammagamma.likelihood_sums(repeat_spend(customers), [SPEND_MODEL])
+    rows = [("bgnbd", round(purchases[0], 4)), ("gammagamma", round(spend[0], 4))]
+    return spark.createDataFrame(rows, "model string, loglik double")
+
+
 # ------------------------------------------------------------ fitted models
 
 
@@ -391,14 +455,14 @@ def _as_table(spark, models):
 
 @query("bgnbd_fit")
 def bgnbd_fit(spark, folder):
-    holdout = repeat_holdout(spark, folder)
+    holdout = materialise(repeat_holdout(spark, folder))
     cells = customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal")
     return _as_table(spark, fit_bgnbd(cells, [PURCHASE_PENALTY]))
 
 
 @query("gammagamma_fit")
 def gammagamma_fit(spark, folder):
-    holdout = repeat_holdout(spark, folder)
+    holdout = materialise(repeat_holdout(spark, folder))
     spend = repeat_spend(holdout, "frequency_cal", "monetary_value_cal")
     return _as_table(spark, fit_gammagamma(spend, [SPEND_PENALTY]))
 

@@ -91,11 +91,19 @@ def test_expectation_starts_at_zero_and_grows():
 
 def test_log_likelihood_of_cells_equals_customers(spark):
     df = spark.createDataFrame(simulate(500, 3)).repartition(4)
-    total = bgnbd.log_likelihood(bgnbd.customer_cells(df), TRUE)
+    total = bgnbd.likelihood_sums(bgnbd.customer_cells(df), [TRUE])[0]
     own = bgnbd.with_log_likelihood(df, TRUE).agg({"loglik": "sum"}).first()[0]
     assert total == pytest.approx(own, rel=1e-12)
 
 
+def test_spend_likelihood_of_cells_equals_customers(spark):
+    df = spark.createDataFrame(spend_sample(500, 9)).repartition(4)
+    model = GammaGamma(p=5.0, q=3.0, v=20.0)
+    total = gammagamma.likelihood_sums(gammagamma.repeat_spend(df), [model])[0]
+    own = gammagamma.with_log_likelihood(df, model).agg({"loglik": "sum"}).first()[0]
+    assert total == pytest.approx(own, rel=1e-12)
+
+
 def spend_sample(count, seed, p=6.0, q=4.0, v=15.0):
     rng = np.random.default_rng(seed)
     rate = rng.gamma(q, 1 / v, count)
