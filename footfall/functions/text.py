@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def leading_number(text: Column, strict: bool = True) -> Column:
-    """First number that starts at a word boundary and is followed by a non-digit.
+    """First number with no letter or digit before it and a non-digit after it.
 
-    Strict mode fails the job when a text has none; otherwise it is NULL.
+    The look-behind spells out a Unicode word boundary, whose meaning for
+    non-Latin letters differs between Java versions. Strict mode fails the job
+    when a text has no such number; otherwise it is NULL.
     """
-    found = F.regexp_extract(text, r"\b(\d+)\D", 1)
+    found = F.regexp_extract(text, r"(?<![\p{L}\p{N}_])(\d+)\D", 1)
     return found.cast("int") if strict else found.try_cast("int")
 
 

@@ -6,7 +6,6 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from footfall.functions.numbers import round_half_even
 from footfall.models import bgnbd, gammagamma
 from footfall.models.bgnbd import (
     BetaGeo,

@@ -78,6 +78,8 @@ def test_leading_number(spark, raw, number):
 
 
 def test_leading_number_absent(spark):
+    for raw in ("제67화", "a1b", "12"):
+        assert one(spark, text.leading_number(F.col("s"), strict=False), s=raw) is None
     assert one(spark, text.leading_number(F.col("s"), strict=False), s="제목") is None
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         one(spark, text.leading_number(F.col("s")), s="제목")
