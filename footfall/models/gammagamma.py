@@ -72,14 +72,14 @@ def with_log_likelihood(customers: DataFrame, model: GammaGamma, name: str = "lo
 def repeat_spend(
     customers: DataFrame, frequency: str = "frequency", value: str = "monetary_value"
 ) -> DataFrame:
-    """(frequency, mean value) of repeat customers with positive spend, counted."""
-    return (
-        customers.filter((F.col(frequency) > 0) & (F.col(value) > 0))
-        .groupBy(
-            F.col(frequency).cast("double").alias("frequency"),
-            F.col(value).cast("double").alias("monetary_value"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
+    """(frequency, mean value) of repeat customers with positive spend.
+
+    Mean values hardly repeat, so customers are summed over one by one.
+    """
+    return customers.filter((F.col(frequency) > 0) & (F.col(value) > 0)).select(
+        F.col(frequency).cast("double").alias("frequency"),
+        F.col(value).cast("double").alias("monetary_value"),
+        F.lit(1).alias("n"),
     )
 
 

@@ -46,7 +46,7 @@ def quantiles_by_metric(long: DataFrame, probabilities: list[float]) -> DataFram
     )
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     spot = F.col("probability") * (F.col("total") - 1)
-    # Bounded by metrics x probabilities x 2.
+    # At most two slices per metric and probability.
     targets = (
         offsets.withColumn("probability", F.explode(wanted))
         .withColumn("low", F.floor(spot))
@@ -58,19 +58,16 @@ def quantiles_by_metric(long: DataFrame, probabilities: list[float]) -> DataFram
         )
         .select("metric", "_slice", "before", "probability", "low", "high", "fraction")
     )
-    slices = F.broadcast(targets.select("metric", "_slice", "before").distinct())
-    running = Window.partitionBy("metric", "_slice").orderBy("value")
+    running = Window.partitionBy("metric", "probability", "_slice").orderBy("value")
     ranked = (
-        sliced.join(slices, ["metric", "_slice"])
+        sliced.join(F.broadcast(targets), ["metric", "_slice"])
         .withColumn("upto", F.col("before") + F.sum("n").over(running))
         .withColumn("from", F.col("upto") - F.col("n"))
     )
     holds_low = (F.col("from") <= F.col("low")) & (F.col("low") < F.col("upto"))
     holds_high = (F.col("from") <= F.col("high")) & (F.col("high") < F.col("upto"))
     found = (
-        ranked.drop("before")
-        .join(F.broadcast(targets.drop("before")), ["metric", "_slice"])
-        .filter(holds_low | holds_high)
+        ranked.filter(holds_low | holds_high)
         .groupBy("metric", "probability", "fraction")
         .agg(
             F.max(F.when(holds_low, F.col("value"))).alias("_v0"),
