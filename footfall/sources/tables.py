@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from footfall.functions.dates import day_of, month_start
 
 
 def read_table(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
@@ -10,3 +13,26 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None) -> Dat
     if folder is None:
         return spark.table(name)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def write_by_month(
+    df: DataFrame, path: str, ts: str, spread_by: str, files_per_month: int = 64
+) -> None:
+    """Write a log partitioned by the month of `ts`, so date filters skip files.
+
+    Rows of a month are dealt over files by a hash of `spread_by`, which should
+    have many values; a heavy month is then written by many tasks.
+    """
+    share = F.pmod(F.xxhash64(spread_by), F.lit(files_per_month))
+    (
+        df.withColumn("month", month_start(day_of(F.col(ts))))
+        .repartition("month", share)
+        .write.mode("errorifexists")
+        .partitionBy("month")
+        .parquet(path)
+    )
+
+
+def read_months(spark: SparkSession, path: str, first, last) -> DataFrame:
+    """Rows of the months from `first` to `last` (first days, inclusive)."""
+    return spark.read.parquet(path).filter(F.col("month").between(first, last)).drop("month")

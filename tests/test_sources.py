@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from footfall import schema, session
 from footfall.sources import csv_files, stored_pages
-from footfall.sources.tables import read_table
+from footfall.sources.tables import read_months, read_table, write_by_month
 
 ROWS = [
     ("1화 : 하나", '따옴표 "안" 쉼표, 포함', "독자(id***)", "5일 전", 3, 0),
@@ -91,6 +91,16 @@ def test_tables_from_catalog_or_folder(spark, tmp_path):
     assert read_table(spark, "three").count() == read_table(spark, "three", str(tmp_path)).count() == 3
 
 
+def test_months_are_pruned(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1 + i % 4, 5, i % 24)) for i in range(200)]
+    log = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    write_by_month(log, f"{tmp_path}/log", "ts", "user_id", files_per_month=3)
+    got = read_months(spark, f"{tmp_path}/log", dt.date(2024, 2, 1), dt.date(2024, 3, 1))
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if r[1].month in (2, 3)]
+    assert "PartitionFilters: [isnotnull(month" in got._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "log" / "month=2024-02-01").glob("*.parquet"))) <= 3
+
+
 def test_shared_folder_follows_the_session(spark):
     assert session.shared_folder(spark) == spark.sparkContext.getCheckpointDir()
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
