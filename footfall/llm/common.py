@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +86,26 @@ def runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
         changed |= key[1:] != key[:-1]
     edges = np.flatnonzero(changed) + 1
     yield from zip([0, *edges.tolist()], [*edges.tolist(), size], strict=True)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of a stream sorted by its first `keys` columns, no group split.
+
+    Holds one batch and the group that goes on into the next one.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        same = np.ones(held.num_rows, dtype=bool)
+        for i in range(keys):
+            column = held.column(i)
+            same &= column.to_numpy() == column[held.num_rows - 1].as_py()
+        cut = int(np.argmax(same))
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import Workspace, mix64, raw_texts, runs, words_of
+from footfall.llm.common import Workspace, mix64, raw_texts, runs, whole_groups, words_of
 from footfall.llm.components import connected
 
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, registers binary"
@@ -358,25 +358,8 @@ def _across(members: DataFrame, classes: DataFrame, settings: Settings, block: i
         return left, right
 
     def search(batches):
-        held: pa.Table | None = None
-        for batch in _and_end(batches):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                new = pa.Table.from_batches([batch])
-                held = new if held is None else pa.concat_tables([held, new])
-            if held is None:
-                continue
-            ready = held
-            if batch is not None:
-                # The last group may go on in the next batch.
-                last = [held.column(i)[held.num_rows - 1].as_py() for i in range(3)]
-                same = np.ones(held.num_rows, dtype=bool)
-                for i, value in enumerate(last):
-                    same &= held.column(i).to_numpy() == value
-                cut = int(np.argmax(same))
-                ready, held = held.slice(0, cut), held.slice(cut)
-            left, right = meet(ready.combine_chunks()) if ready.num_rows else ([], [])
+        for table in whole_groups(batches, 3):
+            left, right = meet(table)
             if left:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
@@ -386,11 +369,6 @@ def _across(members: DataFrame, classes: DataFrame, settings: Settings, block: i
     return grouped.mapInArrow(search, "hub long, rep long").distinct()
 
 
-def _and_end(batches):
-    yield from batches
-    yield None
-
-
 def near_duplicates(
     docs: DataFrame, settings: Settings = Settings(), block: int = 512
 ) -> DataFrame:

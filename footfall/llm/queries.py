@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from footfall.llm import hyperminhash, lengths, mixing, packing, quality
+from footfall.llm import (
+    hyperminhash, lengths, lm_score, main_text, mixing, neighbours, packing, quality, topk, warc,
+)
 from footfall.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,13 +39,34 @@ def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_lengths(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_hyperminhash": op2_hyperminhash,
     "op3_quality": op3_quality,
+    "op4_threshold_topk": op4_threshold_topk,
     "op5_source_mix": op5_source_mix,
     "op6_length_histogram": op6_length_histogram,
+    "op7_main_text": op7_main_text,
+    "op8_context_mixing": op8_context_mixing,
+    "op9_nn_descent": op9_nn_descent,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
