@@ -16,7 +16,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_copies: float = 3.0
 ) -> DataFrame:
-    """Target of each source: `source, source_size, target, offset`.
+    """Target of each source: `source, source_size, target`.
 
     Sources in code-point order, null last, take the weights in turn. The total of
     all sizes is shared by weight; a target stops at `most_copies` times its
@@ -46,19 +46,55 @@ def source_targets(
     )
     common = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(every)["level"]
     share = F.least(F.col("limit"), F.coalesce(common, F.lit(0.0)) * F.col("weight"))
-    digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce("source", F.lit("")))), 1, 8)
     return ranked.select(
         "source",
         "source_size",
         F.when(F.col("source_size") > 0, F.when(common.isNull(), F.col("limit")).otherwise(share))
         .otherwise(F.lit(0.0))
         .alias("target"),
-        (F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)).alias("offset"),
+    )
+
+
+def _offset(source, number: int):
+    """A random offset in [0, 1) from a digest of the source's name."""
+    name = F.concat(F.lit(f"mix:{number}:"), F.coalesce(source, F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _with_offsets(placed: DataFrame, offsets: int) -> DataFrame:
+    """(source, offset): of several random offsets the one that meets the target best."""
+    last = F.col("before") + F.col("rows")
+
+    def words(number: int):
+        u = _offset(F.col("source"), number)
+        copies = F.floor(F.col("expected") * last + u) - F.floor(
+            F.col("expected") * F.col("before") + u
+        )
+        return F.sum(F.col("size") * copies)
+
+    totals = placed.groupBy("source", "target").agg(
+        *[words(k).alias(f"words_{k}") for k in range(offsets)]
+    )
+    tried = F.array(
+        *[
+            F.struct(
+                F.abs(F.col(f"words_{k}") - F.col("target")).alias("miss"),
+                F.lit(k).alias("number"),
+                _offset(F.col("source"), k).alias("offset"),
+            )
+            for k in range(offsets)
+        ]
+    )
+    return totals.select(
+        F.col("source").alias("o_source"), F.array_min(tried)["offset"].alias("offset")
     )
 
 
 def sampled(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_copies: float = 3.0
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    most_copies: float = 3.0,
+    offsets: int = 16,
 ) -> DataFrame:
     """Distinct documents with the range of copies their rows take.
 
@@ -66,9 +102,10 @@ def sampled(
     expected, offset`. Every document of a source is expected `target /
     source_size` times; the running sum of that, in the order of (size, doc_id)
     within the source, plus one offset per source, emits a copy at each whole
-    number crossed. Ordering by size lets neighbours be alike, so the words
-    taken stay within about one document of the target. Rows alike in all of
-    these are one entry with a count.
+    number crossed. Neighbours in that order are alike in size, so the words taken
+    miss the target by less than the longest document, mostly by where the offset
+    lies; of `offsets` random ones the one that misses least is used. Rows alike
+    in all of these are one entry with a count.
     """
     work = Workspace(docs.sparkSession, "mixing")
     slim = docs.select(
@@ -120,7 +157,7 @@ def sampled(
         slices, (F.col("s_slice") == F.col("_slice")) & F.col("s_source").eqNullSafe(F.col("source"))
     )
     named = targets.withColumnRenamed("source", "t_source")
-    return placed.join(named, F.col("t_source").eqNullSafe(F.col("source"))).select(
+    numbered = placed.join(named, F.col("t_source").eqNullSafe(F.col("source"))).select(
         "doc_id",
         "text_hash",
         "source",
@@ -132,8 +169,10 @@ def sampled(
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
         .otherwise(F.lit(0.0))
         .alias("expected"),
-        "offset",
     )
+    numbered = work.stage(numbered, "numbered")
+    chosen = _with_offsets(numbered, offsets)
+    return numbered.join(chosen, F.col("o_source").eqNullSafe(F.col("source"))).drop("o_source")
 
 
 def copies_of(number) -> F.Column:
