@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from footfall.llm import (
-    hyperminhash, lengths, lm_score, main_text, mixing, neighbours, packing, quality, topk, warc,
+    hyperminhash, lengths, lm_score, main_text, mixing, neighbours, packing, quality, sql, topk, warc,
 )
 from footfall.llm.common import table
 
@@ -69,6 +69,12 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_hyperminhash": sql.NEAR_DUPLICATES,
+    "op4_threshold_topk": sql.TOP_PRODUCTS,
+    "op5_source_mix": sql.SOURCE_MIX,
+    "op9_nn_descent": sql.NEAR_VECTORS,
+    "op10_warc": sql.WARC,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
