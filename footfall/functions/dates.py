@@ -58,11 +58,12 @@ def digits_to_int(text: Column) -> Column:
 
 
 def lenient_timestamp(text: Column) -> Column:
-    """Parse known layouts; anything else is NULL.
+    """Parse known layouts; anything else is NULL, a year or a month alone too.
 
     ISO text, the usual case, is parsed at once; only the rest is rewritten.
     """
-    trimmed = F.trim(text)
+    whole_day = F.trim(text).rlike(r"[0-9]+[^0-9]+[0-9]+[^0-9]+[0-9]|^[0-9]{8}")
+    trimmed = F.when(whole_day, F.trim(text))
     rewritten = trimmed
     for pattern, iso in TIMESTAMP_LAYOUTS:
         rewritten = F.regexp_replace(rewritten, pattern, iso)

@@ -43,10 +43,8 @@ def spread_out(data: DataFrame) -> DataFrame:
     A fit is heavy on few bytes, and size-based coalescing would leave most
     cores idle; the deal happens once, before the passes.
     """
-    session = data.sparkSession
-    most = int(session.conf.get("spark.sql.shuffle.partitions"))
     by_rows = data.count() // _ROWS_PER_PARTITION + 1
-    return data.repartition(min(most, max(session.sparkContext.defaultParallelism, by_rows)))
+    return data.repartition(max(data.sparkSession.sparkContext.defaultParallelism, by_rows))
 
 
 def sum_over(
@@ -93,7 +91,9 @@ def fit_penalised(
 
     The search runs in log-parameters and begins at the best of the starts.
     Each pass evaluates several step lengths per problem, with gradients
-    beside each for the next Hessian.
+    beside each for the next Hessian. `max_passes` is a safety stop: a problem
+    it cuts short is returned with `converged` false, and callers must not use
+    it as an optimum (`settled_only` raises).
     """
     size = len(starts[0])
     total = data.agg(F.sum(weight)).first()[0]
@@ -154,6 +154,14 @@ def fit_penalised(
     ]
 
 
+def settled_only(fits: Sequence) -> list:
+    """The same fits, or an error that names the penalties that did not converge."""
+    open_ = [fit.penalty for fit in fits if not fit.converged]
+    if open_:
+        raise RuntimeError(f"no optimum reached for penalties {open_}")
+    return list(fits)
+
+
 def _moves(slope: np.ndarray, curve: np.ndarray, shrink: float) -> np.ndarray:
     """Newton direction, negative curvature turned round, at each step length.
 

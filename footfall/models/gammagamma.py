@@ -23,6 +23,11 @@ class GammaGamma:
     objective: float = float("nan")
     converged: bool = True
 
+    @property
+    def bounded(self) -> bool:
+        """Whether the population mean, v p / (q - 1), exists."""
+        return self.q > 1.0
+
 
 def _likelihood(arrays: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
     """Rows x vectors x (log-likelihood, three derivatives)."""
@@ -72,35 +77,54 @@ def with_log_likelihood(customers: DataFrame, model: GammaGamma, name: str = "lo
 def repeat_spend(
     customers: DataFrame, frequency: str = "frequency", value: str = "monetary_value"
 ) -> DataFrame:
-    """(frequency, mean value) of repeat customers with positive spend.
+    """(frequency, mean value) of repeat customers, one row each.
 
     Mean values hardly repeat, so customers are summed over one by one.
     """
-    return customers.filter((F.col(frequency) > 0) & (F.col(value) > 0)).select(
+    return customers.filter(F.col(frequency) > 0).select(
         F.col(frequency).cast("double").alias("frequency"),
         F.col(value).cast("double").alias("monetary_value"),
         F.lit(1).alias("n"),
     )
 
 
-def fit_gammagamma(spend: DataFrame, penalties: Sequence[float]) -> list[GammaGamma]:
-    """One model per penalty; values are used in their own unit."""
+def fit_gammagamma(
+    spend: DataFrame, penalties: Sequence[float], leave_out_unpaid: bool = False
+) -> list[GammaGamma]:
+    """One model per penalty.
+
+    The model is defined for positive amounts only: others raise, with their
+    number, unless `leave_out_unpaid` says to fit without them. Amounts are
+    divided by their mean before the fit, so a penalty means the same whatever
+    the currency, and `v` is given back in the unit of the amounts. A fit with
+    q <= 1 has no population mean; `bounded` tells.
+    """
     kept = spread_out(spend).persist()
     try:
-        mean = kept.agg(
-            F.try_divide(F.sum(F.col("monetary_value") * F.col("n")), F.sum("n"))
-        ).first()[0]
-        if mean is None:
+        value, n = F.col("monetary_value"), F.col("n")
+        paid = F.coalesce((value > 0) & ~F.isnan(value) & (value < float("inf")), F.lit(False))
+        row = kept.agg(
+            F.coalesce(F.sum(F.when(~paid, n)), F.lit(0)).alias("unpaid"),
+            F.try_divide(F.sum(F.when(paid, value * n)), F.sum(F.when(paid, n))).alias("mean"),
+        ).first()
+        if row["unpaid"] and not leave_out_unpaid:
+            raise ValueError(f"{row['unpaid']} repeat customers have no positive finite mean value")
+        if row["mean"] is None:
             raise ValueError("no customers to fit")
+        scaled = kept.filter(paid).withColumn("monetary_value", value / F.lit(row["mean"]))
         # A strong penalty pulls all three down; a weak one leaves the
-        # population mean, v p / (q - 1), near the data mean.
-        starts = ((1.0, 1.0, 1.0), (5.0, 0.2, 5.0), (1.0, 0.1, 1.0), (2.0, 2.0, mean / 2.0))
-        fits = fit_penalised(
-            kept, _likelihood, _COLUMNS, "n", starts, penalties
-        )
+        # population mean, v p / (q - 1), near the data mean of one.
+        starts = ((1.0, 2.0, 1.0), (5.0, 2.0, 0.5), (2.0, 3.0, 1.0), (1.0, 1.2, 0.3))
+        fits = fit_penalised(scaled, _likelihood, _COLUMNS, "n", starts, penalties)
     finally:
         kept.unpersist()
-    return [GammaGamma(*fit.params, fit.penalty, fit.objective, fit.converged) for fit in fits]
+    return [
+        GammaGamma(
+            fit.params[0], fit.params[1], fit.params[2] * row["mean"], fit.penalty, fit.objective,
+            fit.converged,
+        )
+        for fit in fits
+    ]
 
 
 def expected_average_value(

@@ -17,6 +17,7 @@ from footfall.models.gammagamma import (
     fit_gammagamma,
     repeat_spend,
 )
+from footfall.models.fitting import settled_only
 from footfall.session import materialise
 
 DAYS_PER_MONTH = 30
@@ -27,11 +28,14 @@ def fit_both(
     purchase_penalties: Sequence[float],
     spend_penalties: Sequence[float],
     suffix: str = "",
+    strict: bool = True,
 ) -> tuple[list[BetaGeo], list[GammaGamma]]:
     """Purchase and spend models of repeat customers.
 
     The two searches are independent rows of short jobs, so they are submitted
-    side by side. `suffix` picks the summary columns, e.g. `_cal`.
+    side by side. `suffix` picks the summary columns, e.g. `_cal`. A search that
+    did not converge, or a spend model without a population mean, raises; with
+    `strict=False` it is returned, and scores mark it as not usable.
     """
     repeat = customers.filter(F.col(f"frequency{suffix}") > 0)
     cells = customer_cells(repeat, f"frequency{suffix}", f"recency{suffix}", f"T{suffix}")
@@ -39,7 +43,14 @@ def fit_both(
     with ThreadPoolExecutor(max_workers=2) as pool:
         purchases = pool.submit(fit_bgnbd, cells, purchase_penalties)
         values = pool.submit(fit_gammagamma, spend, spend_penalties)
-        return purchases.result(), values.result()
+        fitted, priced = purchases.result(), values.result()
+    if strict:
+        settled_only(fitted)
+        settled_only(priced)
+        wild = [m.penalty for m in priced if not m.bounded]
+        if wild:
+            raise RuntimeError(f"spend models without a population mean for penalties {wild}")
+    return fitted, priced
 
 
 def with_lifetime_value(
@@ -94,7 +105,8 @@ def score_purchases(holdout: DataFrame, models: Sequence[BetaGeo]) -> DataFrame:
         )
 
     columns = ["frequency_cal", "recency_cal", "T_cal", "duration_holdout", "frequency_holdout"]
-    return _score(holdout, columns, errors, [m.penalty for m in chosen], "bgnbd")
+    usable = {m.penalty: m.converged for m in chosen}
+    return _score(holdout, columns, errors, usable, "bgnbd")
 
 
 def score_spend(
@@ -119,11 +131,16 @@ def score_spend(
 
     columns = [f"frequency_{part}", f"monetary_value_{part}", "monetary_value_holdout"]
     label = "gammagamma_holdout" if from_holdout else "gammagamma_forecast"
-    return _score(holdout, columns, errors, [m.penalty for m in chosen], label)
+    usable = {m.penalty: m.converged and m.bounded for m in chosen}
+    return _score(holdout, columns, errors, usable, label)
 
 
-def _score(df: DataFrame, columns, errors, penalties, label: str) -> DataFrame:
-    """(model, l2, customers, mse, rmse, mae); each task emits one row per model."""
+def _score(df: DataFrame, columns, errors, usable: dict[float, bool], label: str) -> DataFrame:
+    """(model, l2, customers, mse, rmse, mae, usable); a task emits one row per model.
+
+    `usable` is false for a fit that did not converge or has no finite mean.
+    """
+    penalties = list(usable)
 
     def fold(batches):
         rows, squared, absolute = 0, np.zeros(len(penalties)), np.zeros(len(penalties))
@@ -156,17 +173,27 @@ def _score(df: DataFrame, columns, errors, penalties, label: str) -> DataFrame:
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.try_divide("absolute", "customers").alias("mae"),
+        (~F.col("l2").isin([p for p, good in usable.items() if not good])).alias("usable"),
     )
 
 
 def penalty_grid(holdout: DataFrame, penalties: Sequence[float]) -> DataFrame:
     """Holdout error of both models for each penalty; `best` marks the lowest.
 
-    All penalties share every pass over the data.
+    The spend model is ranked twice: by the published score, which predicts from
+    holdout values, and by its true forecast error. Only usable fits can be best.
+    `at_edge` marks penalties at an end of the grid: a best one there says that
+    the optimum may lie outside. All penalties share every pass over the data.
     """
     kept = materialise(holdout.filter(F.col("frequency_cal") > 0))
-    purchases, spend = fit_both(kept, penalties, penalties, "_cal")
-    scores = score_purchases(kept, purchases).unionByName(score_spend(kept, spend))
-    # Two models times the number of penalties.
-    ranked = Window.partitionBy("model").orderBy("mse", "l2")
-    return scores.withColumn("best", F.row_number().over(ranked) == 1)
+    purchases, spend = fit_both(kept, penalties, penalties, "_cal", strict=False)
+    scores = (
+        score_purchases(kept, purchases)
+        .unionByName(score_spend(kept, spend))
+        .unionByName(score_spend(kept, spend, from_holdout=False))
+    )
+    # Three rankings times the number of penalties.
+    ranked = Window.partitionBy("model").orderBy(F.desc("usable"), "mse", "l2")
+    return scores.withColumn(
+        "best", (F.row_number().over(ranked) == 1) & F.col("usable")
+    ).withColumn("at_edge", F.col("l2").isin(min(penalties), max(penalties)))

@@ -96,3 +96,17 @@ def chart_points(table: DataFrame, x: str, y: str, identity: str) -> DataFrame:
     """
     points = F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
     return table.agg(F.lit(identity).alias("id"), points.alias("data"))
+
+
+def chart_rows(placed: DataFrame, x: str, y: str, identity: str) -> DataFrame:
+    """One chart series as rows (id, position, x, y), for tables of any size.
+
+    `placed` carries its `position` in the order of the chart; dates are written
+    as text, as charts take them.
+    """
+    return placed.select(
+        F.lit(identity).alias("id"),
+        "position",
+        F.date_format(x, "yyyy-MM-dd").alias("x"),
+        F.col(y).alias("y"),
+    )

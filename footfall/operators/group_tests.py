@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +66,7 @@ def levene_test(samples: DataFrame) -> DataFrame:
     medians = quantiles_by_metric(long, [0.5]).select(
         F.col("metric").alias("grp"), F.col("value").alias("median")
     )
-    spread = samples.join(F.broadcast(medians), "grp").withColumn(
+    spread = samples.join(medians, "grp").withColumn(
         "z", F.abs(F.col("value") - F.col("median"))
     )
     groups = spread.groupBy("grp").agg(
@@ -74,15 +74,15 @@ def levene_test(samples: DataFrame) -> DataFrame:
         F.avg("z").alias("mean"),
         (F.var_pop("z") * F.count(F.lit(1))).alias("within"),
     )
-    # One row per group from here on.
-    every_group = Window.partitionBy(F.lit(1))
-    grand = F.sum(F.col("n") * F.col("mean")).over(every_group) / F.sum("n").over(every_group)
-    totals = groups.withColumn("off", F.col("mean") - grand).agg(
+    # Spread of the group means around the grand mean, each weighed by its group:
+    # the population variance of the pairs (mean, n), from one pass.
+    totals = groups.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("total"),
-        F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"),
+        F.sum(F.col("n") * F.col("mean")).alias("first"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("second"),
         F.sum("within").alias("within"),
-    )
+    ).withColumn("between", F.col("second") - F.col("first") * F.col("first") / F.col("total"))
     statistic = F.try_divide(
         (F.col("total") - F.col("k")) * F.col("between"), (F.col("k") - 1) * F.col("within")
     )

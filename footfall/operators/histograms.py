@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,42 +60,46 @@ def density_curve(
 ) -> DataFrame:
     """Gaussian kernel density on an even grid from minimum to maximum.
 
-    The bandwidth follows Scott's rule; a column without spread has no curve. `scaled` is the density times row
-    count times bin width, to lie over a histogram of counts. Each task folds
-    its values into one partial sum per grid point.
+    The bandwidth follows Scott's rule; a column without spread has no curve, and
+    NULL and NaN take no part. `scaled` is the density times row count times bin
+    width, to lie over a histogram of counts. Equal values are counted first;
+    each task then folds its values into one sum per grid point.
     """
-    value = F.col(column).cast("double")
+    value = F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
     values = df.select(value.alias("value")).filter(F.col("value").isNotNull())
     shape = values.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            F.stddev_samp("value").alias("spread"),
-        ).alias("shape")
-    ).scalar()
-    grid = F.sequence(F.lit(0), F.lit(points - 1))
-    on_grid = values.select("value", shape.alias("s")).select(
-        "value",
-        F.col("s.n").alias("n"),
-        F.col("s.low").alias("low"),
-        F.col("s.high").alias("high"),
-        (F.col("s.spread") * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))).alias("h"),
-    )
-    on_grid = on_grid.filter(F.col("h") > 0).withColumn("point", F.explode(grid))
-    x = F.col("low") + F.col("point") * ((F.col("high") - F.col("low")) / F.lit(float(points - 1)))
-    z = (x - F.col("value")) / F.col("h")
-    summed = on_grid.groupBy("point").agg(
-        F.max(x).alias("x"),
-        F.max("n").alias("n"),
-        F.max("h").alias("h"),
-        F.max((F.col("high") - F.col("low")) / F.lit(float(bins))).alias("width"),
-        F.sum(F.exp(z * z * F.lit(-0.5))).alias("kernel"),
-    )
-    density = F.col("kernel") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
-    return summed.select(
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.stddev_samp("value").alias("spread"),
+    ).withColumn("h", F.col("spread") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    row = shape.first()
+    n, low, high, h = row["n"], row["low"], row["high"], row["h"]
+    schema = "point int, kernel double"
+    if not h or h <= 0:
+        grid = df.sparkSession.createDataFrame([], schema)
+        n, low, high, h = 1, 0.0, 0.0, 1.0
+    else:
+        x = low + np.arange(points) * ((high - low) / (points - 1))
+
+        def fold(batches):
+            sums = np.zeros(points)
+            for batch in batches:
+                own, times = batch["value"].to_numpy(), batch["times"].to_numpy()
+                for start in range(0, len(own), 1000):
+                    z = (x - own[start : start + 1000, None]) / h
+                    sums += times[start : start + 1000] @ np.exp(z * z * -0.5)
+            yield pd.DataFrame({"point": np.arange(points, dtype="int32"), "kernel": sums})
+
+        counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
+        grid = counted.mapInPandas(fold, schema).groupBy("point").agg(
+            F.sum("kernel").alias("kernel")
+        )
+    density = F.col("kernel") / (F.lit(n) * F.lit(h) * F.sqrt(F.lit(2.0) * F.pi()))
+    width = (high - low) / bins
+    return grid.select(
         "point",
-        "x",
+        (F.lit(low) + F.col("point") * F.lit((high - low) / (points - 1))).alias("x"),
         density.alias("density"),
-        (density * F.col("n") * F.col("width")).alias("scaled"),
+        (density * F.lit(n) * F.lit(width)).alias("scaled"),
     )

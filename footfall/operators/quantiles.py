@@ -11,9 +11,12 @@ from footfall.operators.ordering import in_slices
 
 
 def melt(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns as (metric, value) rows, values as doubles."""
+    """Columns as (metric, value) rows, values as doubles; NaN becomes NULL."""
     pairs = [
-        F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+        F.struct(
+            F.lit(name).alias("metric"),
+            F.nullif(F.col(name).cast("double"), F.lit(float("nan"))).alias("value"),
+        )
         for name in columns
     ]
     return df.select(F.inline(F.array(*pairs)))
@@ -60,7 +63,7 @@ def quantiles_by_metric(long: DataFrame, probabilities: list[float]) -> DataFram
     )
     running = Window.partitionBy("metric", "probability", "_slice").orderBy("value")
     ranked = (
-        sliced.join(F.broadcast(targets), ["metric", "_slice"])
+        sliced.join(targets, ["metric", "_slice"])
         .withColumn("upto", F.col("before") + F.sum("n").over(running))
         .withColumn("from", F.col("upto") - F.col("n"))
     )

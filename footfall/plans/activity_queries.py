@@ -189,7 +189,7 @@ def mean_stickiness(spark, folder):
 
 @query(
     "series_points",
-    f"""SELECT 'stickness' AS id,
+    f"""SELECT 'stickiness' AS id,
        CAST(to_json(list({{'x': strftime(week, '%Y-%m-%d'), 'y': week_stick_mean}} ORDER BY week))
             AS VARCHAR) AS data
 FROM ({WEEKLY_STICK_SQL})""",
@@ -197,7 +197,7 @@ FROM ({WEEKLY_STICK_SQL})""",
 def series_points(spark, folder):
     weekly = activity.week_stickiness(activity.day_stickiness(events(spark, folder)))
     named = weekly.withColumn("week", F.date_format("week", "yyyy-MM-dd"))
-    series = content.chart_points(named, "week", "week_stick_mean", "stickness")
+    series = content.chart_points(named, "week", "week_stick_mean", "stickiness")
     return series.withColumn("data", F.to_json("data"))
 
 

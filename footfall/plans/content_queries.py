@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footfall.operators import cleaning, content, group_tests, histograms
+from footfall.operators.ordering import with_position
 from footfall.plans import bindings
 from footfall.plans.customer_queries import histogram_sql
 from footfall.plans.registry import query
 from footfall.session import materialise
 
 LINK = "https://example.org/detail?no=%d"
+# Chapters whose title is cut, and its length.
 SHORT_TITLES = {67: 4}
 
 VALUE_SQL = f"""{bindings.READS_SQL}, {bindings.EPISODES_SQL},
@@ -104,6 +106,18 @@ def episode_moving_avg(spark, folder):
     return content.value_trend(_values(spark, folder)).orderBy("upload_at", "chapter")
 
 
+@query(
+    "episode_value_series",
+    f"""WITH {VALUE_SQL}
+SELECT 'cookie' AS id, CAST(row_number() OVER (ORDER BY upload_at, chapter) - 1 AS BIGINT) AS position,
+       strftime(upload_at, '%Y-%m-%d') AS x, total_cookie AS y
+FROM ep_value""",
+)
+def episode_value_series(spark, folder):
+    placed = with_position(_values(spark, folder), ["upload_at", "chapter"])
+    return content.chart_rows(placed, "upload_at", "total_cookie", "cookie")
+
+
 @query(
     "mean_episode_value",
     f"WITH {VALUE_SQL} SELECT round_even(avg(total_cookie), 0) AS mean_cookie FROM ep_value",

@@ -43,10 +43,11 @@ WIDEST_BAND = (1, 100)
 PURCHASE_MODEL = BetaGeo(r=4.0, alpha=900.0, a=0.8, b=20.0)
 SPEND_MODEL = GammaGamma(p=6.0, q=4.0, v=120000.0)
 
-# Penalties of the published fits, and the grid searched between 0 and 1.
+# Penalties of the published fits.
 PURCHASE_PENALTY = 0.001322590266385021
 SPEND_PENALTY = 0.0018085768788633095
-PENALTY_GRID = [0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0]
+# As many trials as the published search, evenly by order of magnitude up to 1.
+PENALTY_GRID = [10.0 ** (-6.0 + 6.0 * i / 99.0) for i in range(100)]
 
 
 # ---------------------------------------------------------------- cleaning

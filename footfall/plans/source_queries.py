@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.operators import cleaning
+from footfall.operators import activity, cleaning
 from footfall.plans import bindings
 from footfall.plans.registry import query
-from footfall.session import scratch_path
+from footfall.session import materialise, remove_scratch, scratch_path
 from footfall.sources import csv_files, stored_pages
 from footfall.sources.tables import read_table
 
@@ -71,6 +71,62 @@ def page_counters(spark, folder):
     )
 
 
+@query(
+    "page_link_records",
+    r"""WITH blocks AS (
+  SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
+         nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
+         regexp_extract_all(html, '<li>[^!]*?</li>') AS found
+  FROM pages),
+spots AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM blocks)
+SELECT page_id, lang, title, CAST(i - 1 AS INTEGER) AS position,
+       nullif(regexp_extract(found[i], '<a href="([^"]*)"', 1), '') AS href,
+       nullif(regexp_extract(found[i], '>([^<>]+)</a>', 1), '') AS label
+FROM spots WHERE nullif(regexp_extract(found[i], '<a href="([^"]*)"', 1), '') IS NOT NULL""",
+)
+def page_link_records(spark, folder):
+    # Page-level fields stand on every record of the page.
+    return stored_pages.block_records(
+        read_table(spark, "pages", folder),
+        "<li>[^!]*?</li>",
+        {"href": '<a href="([^"]*)"', "label": ">([^<>]+)</a>"},
+        ["page_id"],
+        {"lang": PAGE_PATTERNS["lang"], "title": PAGE_PATTERNS["title"]},
+        required=("href",),
+    )
+
+
+@query(
+    "page_number_records",
+    r"""WITH blocks AS (
+  SELECT page_id, regexp_extract_all(html, '<p>[^<]*</p>') AS found FROM pages),
+spots AS (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM blocks),
+fields AS (
+  SELECT page_id, CAST(i - 1 AS INTEGER) AS position,
+         regexp_extract(found[i], '<p>([^ <]*)', 1) AS opening,
+         try_cast(nullif(regexp_extract(found[i], '([0-9][0-9,-]*)', 1), '') AS INTEGER) AS number
+  FROM spots)
+SELECT page_id, position, opening, number FROM fields WHERE number IS NOT NULL AND opening <> ''""",
+)
+def page_number_records(spark, folder):
+    # Most paragraphs hold no number, and some one that is no integer: all dropped.
+    return stored_pages.block_records(
+        read_table(spark, "pages", folder),
+        "<p>[^<]*</p>",
+        {"opening": "<p>([^ <]*)", "number": "([0-9][0-9,-]*)"},
+        ["page_id"],
+        required=("opening",),
+        integer_fields=("number",),
+    )
+
+
+@query("catalog_dau", "SELECT CAST(ts AS DATE) AS date, count(DISTINCT user_id) AS dau FROM events GROUP BY 1")
+def catalog_dau(spark, folder):
+    # The same operator on a name of the session's catalog instead of a folder.
+    read_table(spark, "events", folder).createOrReplaceTempView("footfall_events")
+    return activity.daily_active(read_table(spark, "footfall_events")).select("date", "dau")
+
+
 @query(
     "page_engagement",
     rf"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
@@ -105,7 +161,9 @@ def csv_roundtrip(spark, folder):
     path = scratch_path(spark, "comments-csv")
     raw = bindings.raw_comments(spark, folder).select(*FILE_LAYOUT.names)
     csv_files.write_csv_folder(raw, path)
-    return csv_files.read_csv_folder(spark, path, FILE_LAYOUT)
+    rows = materialise(csv_files.read_csv_folder(spark, path, FILE_LAYOUT))
+    remove_scratch(spark, path)
+    return rows
 
 
 @query(
@@ -119,7 +177,7 @@ FROM raw_comments""",
 def csv_union_drift(spark, folder):
     # Two file families of one folder: moderated rows carry no likes, the
     # others no chapter, and their columns come in another order.
-    path = scratch_path(spark, "drift-csv")
+    path = scratch_path(spark, "drift csv 댓글")
     raw = bindings.raw_comments(spark, folder)
     live = raw.filter(F.col("content").isNotNull()).select(
         "event_id", "user_id", "comment_date", "content", "comment_like"
@@ -129,7 +187,9 @@ def csv_union_drift(spark, folder):
     )
     csv_files.write_csv_folder(live, f"{path}/live")
     csv_files.write_csv_folder(moderated, f"{path}/moderated")
-    return csv_files.read_csv_union(spark, path, FILE_LAYOUT)
+    both = materialise(csv_files.read_csv_union(spark, path, FILE_LAYOUT))
+    remove_scratch(spark, path)
+    return both
 
 
 @query(

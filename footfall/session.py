@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +38,8 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint directory.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would lose data with its machine.
+    A session without the setting works below its warehouse, which Spark's own
+    tables already need all executors to reach; that folder goes with the session.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -48,16 +47,34 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="footfall-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_work-{uuid.uuid4().hex}"
+        _delete_at_end(spark, configured)
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.deleteOnExit(where)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, deleted when the session ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that no later step reads."""
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import csv
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_READ_OPTIONS = {"header": "true", "encoding": "UTF-8", "escape": '"', "mode": "FAILFAST"}
+READ_OPTIONS = {"header": "true", "encoding": "UTF-8", "escape": '"', "mode": "FAILFAST"}
 
 
 def read_csv_folder(
@@ -27,7 +26,7 @@ def read_csv_folder(
     """
     return (
         spark.read.schema(schema)
-        .options(**_READ_OPTIONS)
+        .options(**READ_OPTIONS)
         .option("enforceSchema", "false")
         .option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", str(recursive).lower())
@@ -36,45 +35,28 @@ def read_csv_folder(
     )
 
 
-def _first_line(stream) -> str:
-    head = b""
-    while b"\n" not in head:
-        block = stream.read(8192)
-        if not block:
-            break
-        head += block
-    return head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-
-
-def _open_uri(path: str) -> str:
-    """Hadoop spelling of a path to the one Arrow opens."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        return "file://" + path[len("file:") :]
-    return "s3://" + path[len("s3a://") :] if path.startswith("s3a://") else path
-
-
-def _headers(batches):
-    from pyarrow import fs
-
-    for batch in batches:
-        lines = []
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(_open_uri(path))
-            with system.open_input_stream(inner, compression=None) as stream:
-                lines.append(_first_line(stream))
-        yield pd.DataFrame({"path": batch["path"], "header": lines})
+def _files(reader, suffix: str):
+    return reader.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
 
 
 def file_headers(spark: SparkSession, prefix: str, suffix: str = ".csv") -> DataFrame:
-    """(path, header line) of every file; tasks read only the start of each file."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{suffix}")
-        .option("recursiveFileLookup", "true")
-        .load(prefix)
-        .select("path")
+    """(path, header line) of every file, from one text scan.
+
+    The header is the first row of the split that begins the file.
+    """
+    lines = (
+        _files(spark.read, suffix)
+        .text(prefix)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            "value",
+            F.monotonically_increasing_id().alias("line"),
+        )
+        .filter(F.col("start") == 0)
     )
-    return files.mapInPandas(_headers, "path string, header string")
+    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
 
 
 def read_csv_union(
@@ -83,27 +65,57 @@ def read_csv_union(
     schema: T.StructType,
     suffix: str = ".csv",
     multiline: bool = False,
+    undeclared: str = "keep",
 ) -> DataFrame:
     """Union of files whose headers differ, matched by column name.
 
-    Columns absent from a file are NULL; columns outside the schema are left
-    out. There is one scan per distinct header, not per file. The driver holds
-    the file list, as any Spark file scan does.
+    Columns absent from a file are NULL. Columns outside the schema are kept as
+    text after the declared ones; `undeclared="fail"` raises on them and
+    `"drop"` leaves them out. All files are read in one scan by position, with as
+    many places as the widest header, and each row takes its names from the
+    header of its file. Only the distinct headers reach the driver. A cell that
+    does not parse as its declared type fails the job; a row with more cells than
+    the widest header loses the rest, one with fewer is filled with NULL.
     """
-    declared = {field.name: field for field in schema.fields}
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in file_headers(spark, prefix, suffix).toLocalIterator():
-        columns = tuple(next(csv.reader([row["header"]]), []))
-        layouts.setdefault(columns, []).append(row["path"])
-    union = spark.createDataFrame([], schema)
-    for columns, paths in sorted(layouts.items()):
-        layout = T.StructType(
-            [declared.get(name, T.StructField(name, T.StringType())) for name in columns]
-        )
-        part = read_csv_folder(spark, paths, layout, suffix, recursive=False, multiline=multiline)
-        known = [F.col(f"`{name}`") for name in columns if name in declared]
-        union = union.unionByName(part.select(*known), allowMissingColumns=True)
-    return union.select(*[F.col(f"`{name}`") for name in schema.names])
+    if undeclared not in ("keep", "fail", "drop"):
+        raise ValueError("undeclared must be 'keep', 'fail' or 'drop'")
+    headers = file_headers(spark, prefix, suffix)
+    layouts = {
+        row["header"]: next(csv.reader([row["header"]]), [])
+        for row in headers.select("header").distinct().collect()
+    }
+    declared = {field.name: field.dataType for field in schema.fields}
+    extra = sorted({name for names in layouts.values() for name in names} - set(declared))
+    if extra and undeclared == "fail":
+        raise ValueError(f"columns outside the schema: {extra}")
+    if undeclared == "drop":
+        extra = []
+    wanted = declared | {name: T.StringType() for name in extra}
+    widest = max((len(names) for names in layouts.values()), default=0)
+    if not widest:
+        return spark.createDataFrame([], schema)
+    places = [f"_c{i}" for i in range(widest)]
+    rows = (
+        _files(spark.read, suffix)
+        .schema(", ".join(f"{place} string" for place in places))
+        .options(**READ_OPTIONS | {"mode": "PERMISSIVE"})
+        .option("multiLine", str(multiline).lower())
+        .csv(prefix)
+        .select(F.col("_metadata.file_path").alias("_path"), *places)
+    )
+    named = rows.join(headers.withColumnRenamed("path", "_path"), "_path")
+
+    def cell(name: str) -> F.Column:
+        places_of: dict[int, list[str]] = {}
+        for header, names in layouts.items():
+            if name in names:
+                places_of.setdefault(names.index(name), []).append(header)
+        found = F.lit(None).cast("string")
+        for place, of in sorted(places_of.items()):
+            found = F.when(F.col("header").isin(of), F.col(places[place])).otherwise(found)
+        return found.cast(wanted[name]).alias(name)
+
+    return named.select(*[cell(name) for name in wanted])
 
 
 def write_csv_folder(df: DataFrame, path: str) -> None:

@@ -10,6 +10,42 @@ from pyspark.sql import functions as F
 from footfall.functions.dates import as_day
 
 
+def block_records(
+    pages: DataFrame,
+    block: str,
+    patterns: Mapping[str, str],
+    keys: list[str],
+    page_patterns: Mapping[str, str] | None = None,
+    html: str = "html",
+    required: tuple[str, ...] = (),
+    integer_fields: tuple[str, ...] = (),
+    position: str = "position",
+) -> DataFrame:
+    """One row per record block of each page, with page-level fields beside.
+
+    `block` matches one whole record; its fields are looked for inside it, so a
+    record never takes a field of another. A field that is absent is NULL; a
+    record is dropped whole when a required field is absent or an integer field
+    does not parse.
+    """
+    page_patterns = page_patterns or {}
+    found = pages.select(
+        *keys,
+        *[
+            F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")).alias(name)
+            for name, pattern in page_patterns.items()
+        ],
+        F.posexplode(F.regexp_extract_all(html, F.lit(block), F.lit(0))).alias(position, "_block"),
+    )
+    fields = []
+    for name, pattern in patterns.items():
+        text = F.nullif(F.regexp_extract("_block", pattern, 1), F.lit(""))
+        fields.append((F.trim(text).try_cast("int") if name in integer_fields else text).alias(name))
+    rows = found.select(*keys, *page_patterns, position, *fields)
+    needed = [*required, *integer_fields]
+    return rows.dropna(subset=needed) if needed else rows
+
+
 def repeated_records(
     pages: DataFrame,
     patterns: Mapping[str, str],
@@ -18,11 +54,11 @@ def repeated_records(
     integer_fields: tuple[str, ...] = (),
     position: str = "position",
 ) -> DataFrame:
-    """One row per repeated record of each page.
+    """Parallel field lists of each page, paired by place; the shortest list ends them.
 
-    Every field has a pattern with one group. Field lists of unequal length
-    are cut to the shortest, and a record is dropped whole when one of its
-    integer fields does not parse.
+    Every field has a pattern with one group over the whole page. A record is
+    dropped whole when one of its integer fields does not parse. A page whose
+    records lack fields pairs them wrongly: use `block_records` there.
     """
     fields = list(patterns)
     found = pages.select(

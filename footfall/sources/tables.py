@@ -16,18 +16,18 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None) -> Dat
 
 
 def write_by_month(
-    df: DataFrame, path: str, ts: str, spread_by: str, files_per_month: int = 64
+    df: DataFrame, path: str, ts: str, rows_per_file: int = 20_000_000
 ) -> None:
     """Write a log partitioned by the month of `ts`, so date filters skip files.
 
-    Rows of a month are dealt over files by a hash of `spread_by`, which should
-    have many values; a heavy month is then written by many tasks.
+    Months are rebalanced: adaptive execution splits a heavy month into as many
+    tasks as its measured size asks for, and `rows_per_file` bounds a file.
     """
-    share = F.pmod(F.xxhash64(spread_by), F.lit(files_per_month))
     (
         df.withColumn("month", month_start(day_of(F.col(ts))))
-        .repartition("month", share)
-        .write.mode("errorifexists")
+        .hint("rebalance", F.col("month"))
+        .write.option("maxRecordsPerFile", rows_per_file)
+        .mode("errorifexists")
         .partitionBy("month")
         .parquet(path)
     )

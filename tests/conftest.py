@@ -9,14 +9,21 @@ DATA = os.environ.get("FOOTFALL_TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from footfall.session import build_session
 
+    work = tmp_path_factory.mktemp("work")
+
     session = build_session(
         "footfall-tests",
         master="local[8]",
         shuffle_partitions=8,
-        **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(work / "shared"),
+            "spark.sql.warehouse.dir": str(work / "warehouse"),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

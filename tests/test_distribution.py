@@ -106,3 +106,12 @@ def test_dates_order_too(spark):
     df = spark.createDataFrame(rows, "day date, n int").repartition(3)
     got = ordering.with_position(df, ["day", "n"]).orderBy("position").collect()
     assert [(r["day"], r["n"]) for r in got] == sorted(rows)
+
+
+def test_nan_takes_no_part(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    assert quantiles.quantile_edges(df, ["v"], [0.5, 1.0]) == {("v", 0.5): 2.0, ("v", 1.0): 3.0}
+    bars = histograms.histograms(df, ["v"], 2).collect()
+    assert sorted((r["lower"], r["cnt"]) for r in bars) == [(1.0, 1), (2.0, 2)]
+    assert histograms.density_curve(df, "v").count() == 200
+    assert histograms.density_curve(df.filter("v > 2"), "v").count() == 0

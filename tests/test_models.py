@@ -203,8 +203,9 @@ def test_penalty_grid_marks_one_best_per_model(spark):
         }
     )
     rows = value.penalty_grid(spark.createDataFrame(holdout), [0.001, 0.1]).collect()
-    assert len(rows) == 4
-    for model in ("bgnbd", "gammagamma_holdout"):
+    assert len(rows) == 6
+    assert all(r["at_edge"] for r in rows)
+    for model in ("bgnbd", "gammagamma_holdout", "gammagamma_forecast"):
         own = [r for r in rows if r["model"] == model]
         assert [r["l2"] for r in own if r["best"]] == [min(own, key=lambda r: r["mse"])["l2"]]
 
@@ -213,3 +214,30 @@ def test_nothing_to_fit(spark):
     empty = spark.createDataFrame([], "frequency double, recency double, T double")
     with pytest.raises(ValueError):
         bgnbd.fit_bgnbd(bgnbd.customer_cells(empty), [0.1])
+
+
+def test_spend_must_be_positive(spark):
+    df = spark.createDataFrame([(2.0, 5.0), (3.0, 0.0), (1.0, -2.0), (0.0, 0.0)], "frequency double, monetary_value double")
+    with pytest.raises(ValueError, match="2 repeat customers"):
+        gammagamma.fit_gammagamma(gammagamma.repeat_spend(df), [0.1])
+    assert gammagamma.fit_gammagamma(gammagamma.repeat_spend(df), [0.1], leave_out_unpaid=True)
+
+
+def test_spend_fit_does_not_depend_on_the_currency(spark):
+    sample = spend_sample(3000, 8)
+    fits = []
+    for unit in (1.0, 1000.0):
+        df = spark.createDataFrame(sample.assign(monetary_value=sample.monetary_value * unit))
+        fits.append(gammagamma.fit_gammagamma(gammagamma.repeat_spend(df), [0.01])[0])
+    assert fits[0].bounded and fits[1].q == pytest.approx(fits[0].q, rel=1e-3)
+    assert fits[1].v == pytest.approx(1000.0 * fits[0].v, rel=1e-3)
+
+
+def test_an_unfinished_search_is_not_used(spark):
+    from footfall.models import fitting
+
+    with pytest.raises(RuntimeError, match="0.5"):
+        fitting.settled_only([BetaGeo(1, 1, 1, 1, 0.5, 0.0, converged=False)])
+    holdout = holdout_frame(spark)
+    rows = value.score_purchases(holdout, [BetaGeo(1.0, 9.0, 0.5, 2.0, 0.5, 0.0, False)]).collect()
+    assert [r["usable"] for r in rows] == [False]
