@@ -229,6 +229,10 @@ def repeat_holdout(spark, folder):
 
 R, ALPHA, A, B = (getattr(PURCHASE_MODEL, n) for n in ("r", "alpha", "a", "b"))
 P, Q, V = (getattr(SPEND_MODEL, n) for n in ("p", "q", "v"))
+FIXED_PURCHASES, FIXED_SPEND = (R, ALPHA, A, B), (P, Q, V)
+# The same places filled by the fits that SQL finds itself.
+FITTED_PURCHASES = tuple(f"(SELECT {n} FROM purchase_fit)" for n in ("r", "alpha", "a", "b"))
+FITTED_SPEND = tuple(f"(SELECT {n} FROM spend_fit)" for n in ("p", "q", "v"))
 
 LOGLIK_SQL = f"""
 SELECT user_id, frequency, recency, "T",
@@ -253,8 +257,11 @@ def bgnbd_loglik(spark, folder):
     return scored.select("user_id", "frequency", "recency", "T", F.round("loglik", 6).alias("loglik"))
 
 
-def _expected_sql(source: str, horizons: str, x: str, t: str, end: str) -> str:
+def _expected_sql(
+    source: str, horizons: str, x: str, t: str, end: str, model: tuple = FIXED_PURCHASES
+) -> str:
     """Expected purchases per (user, horizon) as a series summed by SQL."""
+    R, ALPHA, A, B = model
     z = f"(h / ({ALPHA} + {end} + h))"
     return f"""
 terms AS (
@@ -275,11 +282,16 @@ expected AS (
   FROM terms)"""
 
 
-VALUE_SQL = f"""
+def _value_sql(model: tuple) -> str:
+    P, Q, V = model
+    return f"""
 (1 - {P} * frequency / ({P} * frequency + {Q} - 1)) * ({V} * {P} / ({Q} - 1))
 + {P} * frequency / ({P} * frequency + {Q} - 1) * monetary_value"""
 
 
+VALUE_SQL = _value_sql(FIXED_SPEND)
+
+
 @query(
     "expected_purchases",
     f"""WITH {ORDER_RFM_SQL},
@@ -305,9 +317,11 @@ def expected_avg_value(spark, folder):
     )
 
 
-LTV_SQL = f"""{ORDER_RFM_SQL},
+def _ltv_sql(purchases: tuple, spend: tuple) -> str:
+    months = "SELECT CAST(m * 30 AS DOUBLE) FROM range(0, 9) ms(m)"
+    return f"""
 repeat_rfm AS (SELECT * FROM rfm WHERE frequency > 0),
-{_expected_sql("repeat_rfm", "SELECT CAST(m * 30 AS DOUBLE) FROM range(0, 9) ms(m)", "frequency", "recency", '"T"')},
+{_expected_sql("repeat_rfm", months, "frequency", "recency", '"T"', purchases)},
 months AS (
   SELECT user_id, h, purchases, purchases - lag(purchases) OVER (PARTITION BY user_id ORDER BY h) AS added
   FROM expected),
@@ -317,11 +331,14 @@ discounted AS (
   FROM months GROUP BY user_id),
 customers AS (
   SELECT r.user_id, r.frequency, r.recency, r."T", r.monetary_value,
-         {VALUE_SQL} AS predicted_monetary_value,
-         ({VALUE_SQL}) * d.bought AS ltv, d.predicted_purchases
+         {_value_sql(spend)} AS predicted_monetary_value,
+         ({_value_sql(spend)}) * d.bought AS ltv, d.predicted_purchases
   FROM repeat_rfm r JOIN discounted d ON r.user_id = d.user_id)"""
 
 
+LTV_SQL = f"{ORDER_RFM_SQL}, {_ltv_sql(FIXED_PURCHASES, FIXED_SPEND)}"
+
+
 def valued_customers(spark, folder):
     return with_lifetime_value(repeat_customers(spark, folder), PURCHASE_MODEL, SPEND_MODEL)
 
@@ -355,14 +372,20 @@ def total_expected_ltv(spark, folder):
     return segments.total_value(valued_customers(spark, folder))
 
 
-HOLDOUT_SQL = f"""{CALIBRATION_SQL},
-{_expected_sql("repeaters", f"VALUES (CAST({HOLDOUT_DAYS} AS DOUBLE))", "frequency_cal", "recency_cal", '"T_cal"')},
+def _holdout_sql(model: tuple) -> str:
+    horizon = f"VALUES (CAST({HOLDOUT_DAYS} AS DOUBLE))"
+    return f"""
+{_expected_sql("repeaters", horizon, "frequency_cal", "recency_cal", '"T_cal"', model)},
 purchase_errors AS (
   SELECT frequency_holdout - purchases AS error
   FROM expected e JOIN repeaters r ON e.user_id = r.user_id)"""
 
 
-def _spend_error_sql(part: str) -> str:
+HOLDOUT_SQL = f"{CALIBRATION_SQL}, {_holdout_sql(FIXED_PURCHASES)}"
+
+
+def _spend_error_sql(part: str, model: tuple = FIXED_SPEND) -> str:
+    P, Q, V = model
     weight = f"({P} * frequency_{part} / ({P} * frequency_{part} + {Q} - 1))"
     return f"""
   SELECT monetary_value_holdout
@@ -448,34 +471,142 @@ def likelihood_sums(spark, folder):
 # ------------------------------------------------------------ fitted models
 
 
-def _as_table(spark, models):
-    names = [field.name for field in dataclasses.fields(models[0])]
-    return spark.createDataFrame([dataclasses.astuple(m) for m in models], names)
+def _search_sql(name: str, places: list[str], start: list[str], objective: str, rows: str) -> str:
+    """A search of its own for the smallest objective, in log-parameters.
+
+    Each turn tries all neighbours of the best point at the current step, sums the
+    objective over the rows for each, and moves or halves the step.
+    """
+    steps = " CROSS JOIN ".join(f"(VALUES (-1), (0), (1)) {n}_steps(d)" for n in places)
+    return f"""
+{name}_steps AS MATERIALIZED (SELECT {", ".join(f"{n}_steps.d AS step_{n}" for n in places)} FROM {steps}),
+{name}_search(turn, {", ".join(places)}, step, value) AS (
+  SELECT 0, {", ".join(f"{x}::DOUBLE" for x in start)}, 0.5::DOUBLE, 1e300::DOUBLE
+  UNION ALL
+  SELECT turn + 1, {", ".join(f"best.{n}" for n in places)},
+         CASE WHEN low < value - 1e-13 THEN least(step * 1.5, 1.0) ELSE step / 2 END, least(low, value)
+  FROM (
+    SELECT turn, step, any_value(value) AS value, min(f) AS low,
+           arg_min({{{", ".join(f"'{n}': {n}" for n in places)}}}, f) AS best
+    FROM (
+      SELECT turn, step, value, {", ".join(places)}, {objective} AS f
+      FROM (SELECT s.turn, s.step, s.value, {", ".join(f"s.{n} + o.step_{n} * s.step AS {n}" for n in places)}
+            FROM {name}_search s CROSS JOIN {name}_steps o WHERE s.turn < 600 AND s.step > 1e-7) tried
+      CROSS JOIN {rows} data
+      GROUP BY turn, step, value, {", ".join(places)})
+    GROUP BY turn, step))"""
+
+
+_PURCHASE_OBJECTIVE = f"""
+sum(n * -(lgamma(exp(ln_r) + x) - lgamma(exp(ln_r)) + exp(ln_r) * ln_alpha
+  + lgamma(exp(ln_a) + exp(ln_b)) + lgamma(exp(ln_b) + x) - lgamma(exp(ln_b)) - lgamma(exp(ln_a) + exp(ln_b) + x)
+  - (exp(ln_r) + x) * ln(exp(ln_alpha) + t_end)
+  + ln(1 + CASE WHEN x > 0
+                THEN exp(ln_a - ln(exp(ln_b) + greatest(x, 1) - 1)
+                         - (exp(ln_r) + x) * (ln(exp(ln_alpha) + t_x) - ln(exp(ln_alpha) + t_end)))
+                ELSE 0 END))) / sum(n)
++ {PURCHASE_PENALTY} * (exp(2 * ln_r) + exp(2 * ln_alpha) + exp(2 * ln_a) + exp(2 * ln_b))"""
+
+_SPEND_OBJECTIVE = f"""
+sum(-(lgamma(exp(ln_p) * x + exp(ln_q)) - lgamma(exp(ln_p) * x) - lgamma(exp(ln_q)) + exp(ln_q) * ln_v
+  + (exp(ln_p) * x - 1) * ln(m) + exp(ln_p) * x * ln(x)
+  - (exp(ln_p) * x + exp(ln_q)) * ln(x * m + exp(ln_v)))) / count(*)
++ {SPEND_PENALTY} * (exp(2 * ln_p) + exp(2 * ln_q) + exp(2 * ln_v))"""
+
+PURCHASE_FIT_SQL = f"""
+span AS (SELECT 10.0::DOUBLE / max("T_cal") AS scale FROM repeaters),
+cells AS MATERIALIZED (
+  SELECT frequency_cal::DOUBLE AS x, recency_cal * scale AS t_x, "T_cal" * scale AS t_end, count(*)::DOUBLE AS n
+  FROM repeaters, span GROUP BY ALL),
+{_search_sql("purchase", ["ln_r", "ln_alpha", "ln_a", "ln_b"], ["0"] * 4, _PURCHASE_OBJECTIVE, "cells")},
+purchase_fit AS MATERIALIZED (
+  SELECT exp(ln_r) AS r, exp(ln_alpha) / (SELECT scale FROM span) AS alpha, exp(ln_a) AS a, exp(ln_b) AS b,
+         value AS objective
+  FROM purchase_search ORDER BY turn DESC LIMIT 1)"""
+
+SPEND_FIT_SQL = f"""
+spent AS MATERIALIZED (
+  SELECT frequency_cal::DOUBLE AS x, monetary_value_cal / avg(monetary_value_cal) OVER () AS m,
+         avg(monetary_value_cal) OVER () AS unit
+  FROM repeaters),
+{_search_sql("spend", ["ln_p", "ln_q", "ln_v"], ["0", "0.7", "0"], _SPEND_OBJECTIVE, "spent")},
+spend_fit AS MATERIALIZED (
+  SELECT exp(ln_p) AS p, exp(ln_q) AS q, exp(ln_v) * (SELECT max(unit) FROM spent) AS v, value AS objective
+  FROM spend_search ORDER BY turn DESC LIMIT 1)"""
+
+
+def _as_table(spark, model, places: dict[str, int]):
+    """One row: parameters, rounded where two searches agree, and how the fit ended.
+
+    Parameters along which the likelihood is flat are left out of `places`.
+    """
+    values = dataclasses.asdict(model)
+    names = [*places, "penalty", "objective", "converged"]
+    row = [round(values[n], places[n]) if n in places else values[n] for n in names]
+    row[names.index("objective")] = round(values["objective"], 6)
+    return spark.createDataFrame([row], names)
 
 
-@query("bgnbd_fit")
+@query(
+    "bgnbd_fit",
+    f"""WITH RECURSIVE {CALIBRATION_SQL}, {PURCHASE_FIT_SQL}
+SELECT round(r, 4) AS r, round(alpha, 2) AS alpha, {PURCHASE_PENALTY}::DOUBLE AS penalty,
+       round(objective, 6) AS objective, true AS converged
+FROM purchase_fit""",
+)
 def bgnbd_fit(spark, folder):
+    # Orders have no drop-out, so a and b run to where the likelihood is flat.
     holdout = materialise(repeat_holdout(spark, folder))
     cells = customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal")
-    return _as_table(spark, fit_bgnbd(cells, [PURCHASE_PENALTY]))
+    model = fit_bgnbd(cells, [PURCHASE_PENALTY])[0]
+    return _as_table(spark, model, {"r": 4, "alpha": 2})
 
 
-@query("gammagamma_fit")
+@query(
+    "gammagamma_fit",
+    f"""WITH RECURSIVE {CALIBRATION_SQL}, {SPEND_FIT_SQL}
+SELECT round(p, 4) AS p, round(q, 4) AS q, round(v, -1) AS v, {SPEND_PENALTY}::DOUBLE AS penalty,
+       round(objective, 6) AS objective, true AS converged
+FROM spend_fit""",
+)
 def gammagamma_fit(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     spend = repeat_spend(holdout, "frequency_cal", "monetary_value_cal")
-    return _as_table(spark, fit_gammagamma(spend, [SPEND_PENALTY]))
+    model = fit_gammagamma(spend, [SPEND_PENALTY])[0]
+    return _as_table(spark, model, {"p": 4, "q": 4, "v": -1})
 
 
-@query("holdout_scores")
+def _fitted_scores_sql(label: str, source: str) -> str:
+    digits = (4, 4, 4) if label == "bgnbd" else (-5, 0, 0)
+    return f"""SELECT '{label}' AS model, count(*) AS customers, round(avg(error * error), {digits[0]}) AS mse,
+       round(sqrt(avg(error * error)), {digits[1]}) AS rmse, round(avg(abs(error)), {digits[2]}) AS mae,
+       true AS usable FROM {source}"""
+
+
+@query(
+    "holdout_scores",
+    f"""WITH RECURSIVE {CALIBRATION_SQL}, {PURCHASE_FIT_SQL}, {SPEND_FIT_SQL}, {_holdout_sql(FITTED_PURCHASES)},
+holdout_spend AS ({_spend_error_sql("holdout", FITTED_SPEND)}),
+forecast_spend AS ({_spend_error_sql("cal", FITTED_SPEND)})
+{_fitted_scores_sql("bgnbd", "purchase_errors")}
+UNION ALL {_fitted_scores_sql("gammagamma_holdout", "holdout_spend")}
+UNION ALL {_fitted_scores_sql("gammagamma_forecast", "forecast_spend")}""",
+)
 def holdout_scores(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
-    return (
+    scores = (
         score_purchases(holdout, purchases)
         .unionByName(score_spend(holdout, spend))
         .unionByName(score_spend(holdout, spend, from_holdout=False))
     )
+    counted = F.col("model") == "bgnbd"
+    return scores.drop("l2").withColumns(
+        {
+            name: F.when(counted, F.round(name, 4)).otherwise(F.round(name, digits))
+            for name, digits in {"mse": -5, "rmse": 0, "mae": 0}.items()
+        }
+    )
 
 
 @query("penalty_grid")
@@ -483,11 +614,23 @@ def penalty_grid_query(spark, folder):
     return penalty_grid(calibration_holdout(spark, folder), PENALTY_GRID)
 
 
-@query("ltv_fitted")
+@query(
+    "ltv_fitted",
+    f"""WITH RECURSIVE {CALIBRATION_SQL}, {PURCHASE_FIT_SQL}, {SPEND_FIT_SQL},
+later AS (WITH {ORDER_RFM_SQL} SELECT * FROM rfm),
+rfm AS (SELECT * FROM later), {_ltv_sql(FITTED_PURCHASES, FITTED_SPEND)}
+SELECT user_id, frequency, recency, "T", monetary_value, round(ltv, -4) AS ltv,
+       round(predicted_purchases, 2) AS predicted_purchases,
+       round(predicted_monetary_value, -3) AS predicted_monetary_value
+FROM customers""",
+)
 def ltv_fitted(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
-    return with_lifetime_value(repeat_customers(spark, folder), purchases[0], spend[0])
+    valued = with_lifetime_value(repeat_customers(spark, folder), purchases[0], spend[0])
+    # Rounded to where searches that stop at different last digits agree.
+    digits = {"ltv": -4, "predicted_purchases": 2, "predicted_monetary_value": -3}
+    return valued.withColumns({name: F.round(name, d) for name, d in digits.items()})
 
 
 # ----------------------------------------------------------------- segments
