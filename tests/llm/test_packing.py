@@ -14,7 +14,7 @@ from footfall.llm.tokens import default_path, encoder
 TEXTS = [
     "", " ", "a", " a", "a ", "a  b", "the cat's  mat\n\nand  so on", "tab\tand\x0bvt", "x\n y", "é ñ ß",
     "日本 語 テキスト", "a b   c", "don't we'll I'm", "<|endoftext|> a <|endoftext|>",
-    "word " * 3000, "z" * 20000, "12 345 6789 !! ?? ...", "\r\n a\r\n", "emoji 🙂 🙃🙂", "\x00 nul",
+    "word " * 3000, "z" * 20000, " " * 5000 + "x", "\n" * 3000, "12 345 6789 !! ?? ...", "\r\n a\r\n", "emoji 🙂 🙃🙂", "\x00 nul",
 ]
 
 
@@ -31,9 +31,8 @@ def ids_of(plain, text):
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_equal_the_tokenizers(plain, text):
-    for _ in range(2):  # the second time from the cache
-        got = np.frombuffer(encoder(default_path()).encode(text), dtype="<u4").tolist()
-        assert got == ids_of(plain, text)
+    got = np.frombuffer(encoder(default_path()).encode(text), dtype="<u4").tolist()
+    assert got == ids_of(plain, text)
 
 
 @settings(max_examples=150, deadline=None)
