@@ -430,7 +430,7 @@ def holdout_scores_fixed(spark, folder):
         .unionByName(score_spend(holdout, [SPEND_MODEL], from_holdout=False))
     )
     digits = {"mse": 1, "rmse": 4, "mae": 4}
-    return scores.drop("l2").withColumns({name: F.round(name, d) for name, d in digits.items()})
+    return scores.drop("l2", "usable").withColumns({name: F.round(name, d) for name, d in digits.items()})
 
 
 SPEND_LOGLIK_SQL = f"""
