@@ -38,6 +38,7 @@ class Settings:
     bands: int = 25
     rows: int = 5
     margin: float = 5.0
+    nearest_rounds: int = 2
 
     def __post_init__(self):
         if self.registers & (self.registers - 1) or self.registers > 256:
@@ -284,9 +285,13 @@ def _confirmed(
     return grouped.mapInArrow(compare, "u long, v long")
 
 
-def _across(members: DataFrame, classes: DataFrame, settings: Settings, block: int) -> DataFrame:
+def _across(
+    members: DataFrame, classes: DataFrame, settings: Settings, block: int, nearest: bool
+) -> DataFrame:
     """Promising pairs inside a band bucket whose ends lie in different components.
 
+    With `nearest`, each visiting row gives its most similar partner only.
+
     The largest component of a bucket need not be compared with itself, so its
     rows meet only those of the others. Rows of the others go to every block of
     the bucket and all rows have one home block; a group holds one block of
@@ -349,9 +354,10 @@ def _across(members: DataFrame, classes: DataFrame, settings: Settings, block: i
                 if not len(other):
                     continue
                 equal = (registers[other] == registers[at]).sum(axis=1)
-                keep = other[
-                    worth_checking(equal, size[other], np.full(len(other), size[at]), settings)
-                ]
+                good = worth_checking(equal, size[other], np.full(len(other), size[at]), settings)
+                keep = other[good]
+                if nearest and len(keep) > 1:
+                    keep = keep[[int(np.argmax(equal[good]))]]
                 if len(keep):
                     left.append(np.minimum(rep[keep], rep[at]))
                     right.append(np.maximum(rep[keep], rep[at]))
@@ -382,8 +388,10 @@ def near_duplicates(
        bucket), each class with its most similar hub only; links are confirmed
        on full sets and joined to components.
     3. Members of a bucket that are still in different components are compared
-       with each other in bounded blocks; links inside a component could change
-       nothing, so none is lost.
+       with each other in bounded blocks. For some rounds each gives its most
+       similar partner in another component, so a large group soon is one
+       component; the last round gives every pair that is left. Links inside a
+       component could change nothing, so none is lost.
 
     Null and empty texts have no shingles and link with nothing. Rows that share a
     `doc_id` are one node, linked wherever any of their texts is. A null `doc_id`
@@ -421,14 +429,20 @@ def near_duplicates(
         .agg(F.max(F.struct("estimate", -F.col("hub"))).alias("best"))
         .select((-F.col("best.col2")).alias("hub"), "rep")
     )
-    links = work.stage(_confirmed(nearest, texts, settings), "star_links")
-    found = work.stage(connected(links), "star_components")
-    labelled = members.select("key", "rep").join(
-        found.withColumnRenamed("node", "rep"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
-    pairs = work.stage(_across(labelled, classes, settings, block), "across_pairs")
-    more = work.stage(_confirmed(pairs, texts, settings), "across_links")
-    work.drop("members", "texts", "across_pairs", "star_components")
+    links = work.stage(_confirmed(nearest, texts, settings), "links_0")
+    plain = members.select("key", "rep")
+    for turn in range(1, settings.nearest_rounds + 2):
+        found = work.stage(connected(links), f"found_{turn}")
+        labelled = plain.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")
+        )
+        last = turn > settings.nearest_rounds
+        pairs = work.stage(_across(labelled, classes, settings, block, not last), f"pairs_{turn}")
+        if not pairs.take(1):
+            break
+        more = work.stage(_confirmed(pairs, texts, settings), f"links_{turn}")
+        links = links.unionByName(more)
+    work.drop("members", "texts")
     # A document belongs with its class; one id with several texts joins their classes.
     with_rep = signed.filter("doc_id IS NOT NULL").join(
         classes.select("h1", "h2", "rep"), ["h1", "h2"], "left"
@@ -437,9 +451,9 @@ def near_duplicates(
         F.col("doc_id").alias("u"), F.col("rep").alias("v")
     )
     labels = work.stage(
-        connected(links.unionByName(more).unionByName(own)), "components"
+        connected(links.unionByName(own)), "components"
     )
-    work.drop("star_links", "across_links", "classes")
+    work.drop("classes")
     return signed.select("doc_id", "n_shingles").join(
         labels.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).select(
