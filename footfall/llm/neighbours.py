@@ -1,10 +1,11 @@
 """Near-duplicate vectors by NN-descent with an exact last step.
 
 A neighbour graph starts from random-hyperplane blocks and is refined by letting
-every vector's neighbours meet each other. Its strong edges give groups; inside
-a group all pairs are compared in bounded blocks, which is the enlarged list of
-vectors whose neighbour list is full of strong neighbours. A sample compared with
-all vectors audits the recall.
+every vector's neighbours meet each other. Its strong edges give groups. Vectors whose
+list is full of strong neighbours may have more: they search again, among vectors
+of other groups only, until no two groups have a strong edge between them. Inside
+a group all pairs are compared in bounded blocks. A sample compared with all
+vectors audits the recall, by how many links the vectors have.
 """
 
 from __future__ import annotations
@@ -134,6 +135,7 @@ def _starting_edges(points: DataFrame, count: int, plan: Descent) -> DataFrame:
     """Best neighbours inside random-hyperplane blocks of several tables.
 
     A block that many vectors share is dealt into parts of about `start_block`.
+    Vectors of the same `own` are no neighbours.
     """
     bits = max(0, int(np.ceil(np.log2(max(1, count / plan.start_block)))))
 
@@ -143,6 +145,7 @@ def _starting_edges(points: DataFrame, count: int, plan: Descent) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, length = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = batch.column(3).to_numpy()
             for size in np.unique(length).tolist():
                 at = np.flatnonzero(length == size)
                 if size not in planes:
@@ -158,12 +161,13 @@ def _starting_edges(points: DataFrame, count: int, plan: Descent) -> DataFrame:
                         pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), len(at))),
                         pa.array(codes.reshape(-1)), pa.array(np.repeat(ids[at], plan.tables)),
                         small.take(pa.array(np.repeat(np.arange(len(at)), plan.tables))),
+                        pa.array(np.repeat(own[at], plan.tables)),
                     ],
-                    names=["length", "round", "code", "id", "small"],
+                    names=["length", "round", "code", "id", "small", "own"],
                 )
 
-    coded = points.select("id", "length", "small").mapInArrow(
-        code, "length int, round int, code long, id long, small binary"
+    coded = points.select("id", "length", "small", "own").mapInArrow(
+        code, "length int, round int, code long, id long, small binary, own long"
     )
     sizes = coded.groupBy("length", "round", "code").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(4 * plan.start_block)).alias("parts")
@@ -171,7 +175,7 @@ def _starting_edges(points: DataFrame, count: int, plan: Descent) -> DataFrame:
     dealt = (
         coded.join(sizes, ["length", "round", "code"])
         .withColumn("part", F.pmod(F.xxhash64("id", "round"), F.col("parts")))
-        .select("length", "round", "code", "part", "id", "small")
+        .select("length", "round", "code", "part", "id", "small", "own")
         .repartition("length", "round", "code", "part")
         .sortWithinPartitions("length", "round", "code", "part", "id")
     )
@@ -179,31 +183,36 @@ def _starting_edges(points: DataFrame, count: int, plan: Descent) -> DataFrame:
     def meet(batches):
         for table in whole_groups(batches, 4):
             keys = [table.column(i).to_numpy() for i in range(4)]
-            ids = table.column(4).to_numpy()
+            ids, owns = table.column(4).to_numpy(), table.column(6).to_numpy()
             u, v, s = [], [], []
             for start, end in runs(*keys):
                 if end - start < 2:
                     continue
-                own = ids[start:end]
+                here, own = ids[start:end], owns[start:end]
                 rows = _bytes_matrix(table.column(5).slice(start, end - start))
                 like = rows @ rows.T / 16129.0
-                np.fill_diagonal(like, -2.0)
+                like[own[:, None] == own[None, :]] = -2.0
                 keep = min(plan.neighbours, end - start - 1)
                 best = np.argpartition(-like, keep - 1, axis=1)[:, :keep]
-                u.append(np.repeat(own, keep))
-                v.append(own[best].reshape(-1))
-                s.append(np.take_along_axis(like, best, axis=1).reshape(-1))
+                score = np.take_along_axis(like, best, axis=1).reshape(-1)
+                other = score > -1.5
+                u.append(np.repeat(here, keep)[other])
+                v.append(here[best].reshape(-1)[other])
+                s.append(score[other])
             yield _edge_batch(u, v, s)
 
     return dealt.mapInArrow(meet, _EDGES)
 
 
-def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> DataFrame:
+def _proposals(
+    graph: DataFrame, points: DataFrame, keep: int, turn: int, paths: DataFrame | None
+) -> DataFrame:
     """Better neighbours found where the neighbours of one vector meet.
 
     Every vector calls its neighbours and a sample of those that name it, as many
     as twice its list; a pair is compared if one of them is new there. Only what
-    beats the last place of a list is proposed.
+    beats the last place of a list and has another `own` is proposed. `paths` are
+    further (u, v) whose ends are called, but no edges of the graph.
     """
     order = Window.partitionBy("center").orderBy(F.xxhash64("member", F.lit(turn)), "member")
     callers = (
@@ -213,6 +222,12 @@ def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> Dat
         .drop("place")
     )
     called = graph.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh")
+    if paths is not None:
+        called = called.unionByName(
+            paths.select(
+                F.col("u").alias("center"), F.col("v").alias("member"), F.lit(False).alias("fresh")
+            )
+        )
     last = graph.groupBy("u").agg(
         F.when(F.count(F.lit(1)) < keep, F.lit(-2.0)).otherwise(F.min("similarity"))
         .cast("float").alias("low")
@@ -221,9 +236,12 @@ def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> Dat
         called.unionByName(callers)
         .groupBy("center", "member")
         .agg(F.max("fresh").alias("fresh"))
-        .join(last.withColumnRenamed("u", "member"), "member")
-        .join(points.select(F.col("id").alias("member"), "small"), "member")
-        .select("center", "member", F.col("fresh").cast("int").alias("fresh"), "low", "small")
+        .join(last.withColumnRenamed("u", "member"), "member", "left")
+        .join(points.select(F.col("id").alias("member"), "small", "own"), "member")
+        .select(
+            "center", "member", F.col("fresh").cast("int").alias("fresh"),
+            F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"), "small", "own",
+        )
         .repartition("center")
         .sortWithinPartitions("center", "member")
     )
@@ -231,7 +249,7 @@ def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> Dat
     def compare(batches):
         for table in whole_groups(batches, 1):
             center, member, fresh, low = (table.column(i).to_numpy() for i in range(4))
-            rows = _bytes_matrix(table.column(4))
+            rows, owns = _bytes_matrix(table.column(4)), table.column(5).to_numpy()
             u, v, s = [], [], []
             for start, end in runs(center):
                 new = fresh[start:end].astype(bool)
@@ -239,7 +257,7 @@ def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> Dat
                     continue
                 like = rows[start:end] @ rows[start:end].T / 16129.0
                 better = (like > low[start:end][:, None]) & (new[:, None] | new[None, :])
-                np.fill_diagonal(better, False)
+                better &= owns[start:end][:, None] != owns[start:end][None, :]
                 a, b = np.nonzero(better)
                 u.append(member[start + a])
                 v.append(member[start + b])
@@ -250,16 +268,21 @@ def _proposals(graph: DataFrame, points: DataFrame, keep: int, turn: int) -> Dat
 
 
 def neighbour_graph(
-    points: DataFrame, count: int, plan: Descent, work: Workspace, label: str
+    points: DataFrame, count: int, plan: Descent, work: Workspace, label: str,
+    paths: DataFrame | None = None,
 ) -> DataFrame:
-    """(u, v, similarity): every vector's list, refined until hardly any changes."""
+    """(u, v, similarity): every vector's list, refined until hardly any changes.
+
+    Lists hold vectors whose `own` differs: with the id any other vector, with a
+    group those outside it.
+    """
     keep = plan.neighbours
     graph = work.stage(
         _best_lists(_starting_edges(points, count, plan), keep).withColumn("fresh", F.lit(True)),
         f"{label}-0",
     )
     for turn in range(1, plan.most_rounds + 1):
-        found = _proposals(graph, points, keep, turn)
+        found = _proposals(graph, points, keep, turn, paths)
         old = graph.select("u", "v", F.lit(False).alias("fresh"))
         lists = _best_lists(graph.drop("fresh").unionByName(found), keep)
         graph = work.stage(
@@ -274,6 +297,52 @@ def neighbour_graph(
     return graph
 
 
+def _groups(
+    points: DataFrame, graph: DataFrame, plan: Descent, work: Workspace, label: str
+) -> DataFrame:
+    """(node, component): groups between which no strong edge is found.
+
+    A strong edge is in neither list only if both are full of better ones. The
+    vectors with such lists are searched again for their best neighbours outside
+    their group, along the lists they have; a strong one joins two groups. As
+    lists then leave out what is joined, a round more finds what they had no room
+    for, until a round finds none.
+    """
+    strong = graph.filter(F.col("similarity") >= plan.threshold - plan.slack).select("u", "v")
+    groups = work.stage(connected(strong), f"{label}-0")
+    full = strong.groupBy("u").count().filter(F.col("count") >= plan.neighbours)
+    crowded = work.stage(
+        points.join(full.select(F.col("u").alias("id")), "id", "left_semi").select(
+            "id", "length", "small"
+        ),
+        f"{label}-crowded",
+    )
+    count, edges, turn = crowded.count(), strong, 0
+    if not count:
+        return groups
+    ends = crowded.select("id")
+    paths = work.stage(
+        strong.join(ends.withColumnRenamed("id", "u"), "u", "left_semi").join(
+            ends.withColumnRenamed("id", "v"), "v", "left_semi"
+        ),
+        f"{label}-paths",
+    )
+    while True:
+        own = groups.select(F.col("node").alias("id"), F.col("component").alias("own"))
+        labelled = work.stage(crowded.join(own, "id"), f"{label}-own-{turn}")
+        if labelled.select("own").distinct().limit(2).count() < 2:
+            return groups
+        outside = neighbour_graph(labelled, count, plan, work, f"{label}-outside-{turn}", paths)
+        found = work.stage(
+            outside.filter(F.col("similarity") >= plan.threshold - plan.slack).select("u", "v"),
+            f"{label}-found-{turn}",
+        )
+        if not found.take(1):
+            return groups
+        edges, turn = edges.unionByName(found), turn + 1
+        groups = work.stage(connected(edges), f"{label}-{turn}")
+
+
 def _exact_links(points: DataFrame, groups: DataFrame, plan: Descent, work: Workspace) -> DataFrame:
     """All links inside groups: rows (u, v, linked, forest).
 
@@ -373,11 +442,12 @@ def _forest(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def audit(points: DataFrame, counts: DataFrame, plan: Descent) -> tuple[int, int]:
+def audit(points: DataFrame, counts: DataFrame, plan: Descent) -> list[tuple[int, int]]:
     """(links found, links there are) of a sample compared with all vectors.
 
-    The sample is the `audited` ids with the smallest hash, so its broadcast and
-    the answer are bounded.
+    One entry for vectors with less than 8 links, one for less than 64, and so on,
+    so a large group cannot hide what others miss. The sample is the `audited` ids
+    with the smallest hash, so its broadcast and the answer are bounded.
     """
     chosen = (
         points.select("id", "length", "unit")
@@ -386,7 +456,7 @@ def audit(points: DataFrame, counts: DataFrame, plan: Descent) -> tuple[int, int
         .collect()
     )
     if not chosen:
-        return 0, 0
+        return []
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {r["length"] for r in chosen}:
         rows = [r for r in chosen if r["length"] == size]
@@ -415,12 +485,15 @@ def audit(points: DataFrame, counts: DataFrame, plan: Descent) -> tuple[int, int
         .groupBy("id")
         .agg(F.sum("there").alias("there"))
     )
-    row = (
-        there.join(counts, "id", "left")
+    rows = (
+        there.filter("there > 0")
+        .join(counts, "id", "left")
+        .groupBy(F.floor(F.log2("there") / 3).alias("stratum"))
         .agg(F.sum(F.coalesce("linked", F.lit(0))).alias("found"), F.sum("there").alias("there"))
-        .first()
+        .orderBy("stratum")
+        .collect()
     )
-    return row["found"] or 0, row["there"] or 0
+    return [(r["found"], r["there"]) for r in rows]
 
 
 def near_vectors(vectors: DataFrame, plan: Descent = Descent()) -> DataFrame:
@@ -435,7 +508,8 @@ def near_vectors(vectors: DataFrame, plan: Descent = Descent()) -> DataFrame:
     Vectors of different lengths are not compared. Rows that share a `vec_id` are
     one node: each row counts the vectors with other ids its own is linked with,
     and equal rows count once. An empty table gives no rows. If the audited
-    recall stays below its bound after all enlargements, the search raises.
+    recall of vectors with few or with many links stays below its bound after all
+    enlargements, the search raises.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "near-vectors")
@@ -451,9 +525,9 @@ def near_vectors(vectors: DataFrame, plan: Descent = Descent()) -> DataFrame:
         wider = Descent(
             **{**plan.__dict__, "neighbours": plan.neighbours << attempt, "tables": plan.tables << attempt}
         )
-        graph = neighbour_graph(points, count, wider, work, f"graph-{attempt}")
-        strong = graph.filter(F.col("similarity") >= plan.threshold - plan.slack)
-        groups = work.stage(connected(strong.select("u", "v")), f"groups-{attempt}")
+        lone = points.withColumn("own", F.col("id"))
+        graph = neighbour_graph(lone, count, wider, work, f"graph-{attempt}")
+        groups = _groups(points, graph, wider, work, f"groups-{attempt}")
         if attempt:
             work.drop("links")
         links = _exact_links(points, groups, plan, work)
@@ -463,11 +537,11 @@ def near_vectors(vectors: DataFrame, plan: Descent = Descent()) -> DataFrame:
             ),
             f"linked-{attempt}",
         )
-        found, there = audit(points, linked, plan)
-        if found >= plan.recall * there:
+        audited = audit(points, linked, plan)
+        if all(found >= plan.recall * there for found, there in audited):
             break
     else:
-        raise RuntimeError(f"audit found {found} of {there} links")
+        raise RuntimeError(f"audit found (found, there) {audited} links by number of links")
     forest = links.filter("v >= 0").select("u", "v")
     member = units.join(points.select("length", "unit", "id", "copies"), ["length", "unit"]).join(
         linked, "id", "left"

@@ -102,6 +102,30 @@ def test_near_vectors_equal_all_pairs(spark):
             assert r["kept"] == (r["vec_id"] == r["component_id"])
 
 
+def test_full_lists_do_not_hide_links_between_clusters(spark):
+    """Three clusters tighter than their distance, each larger than the largest list."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((100, 16)).tolist())]
+    base, side = rng.standard_normal((2, 16))
+    base, side = base / np.sqrt(base @ base), side - base * (side @ base) / (base @ base)
+    side /= np.sqrt(side @ side)
+    for group, angle in enumerate((0.0, 0.27, 0.54)):
+        middle = np.cos(angle) * base + np.sin(angle) * side
+        rows += [(1000 * (group + 1) + k, (middle + 0.004 * rng.standard_normal(16)).tolist()) for k in range(40)]
+    want = links_of(rows)
+    assert want[3039][1] == 1000 and want[2000][0] == 119
+    got = neighbours.near_vectors(vectors_of(spark, rows), neighbours.Descent(block=16, start_block=16))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_audit_judges_few_and_many_links_apart(spark):
+    rows = [(k, [1.0, 0.001 * k, 0.0]) for k in range(60)] + [(100, [0.0, 0.0, 1.0]), (101, [0.0, 0.01, 1.0])]
+    units = neighbours.unit_vectors(vectors_of(spark, rows))
+    points = units.selectExpr("vec_id AS id", "length", "unit", "small", "1L AS copies")
+    counts = spark.createDataFrame([(k, 59) for k in range(60)], "id long, linked long")
+    assert neighbours.audit(points, counts, neighbours.Descent()) == [(0, 2), (60 * 59, 60 * 59)]
+
+
 def test_no_vectors(spark):
     assert neighbours.near_vectors(vectors_of(spark, [])).count() == 0
     got = neighbours.near_vectors(vectors_of(spark, [(3, None), (3, None)])).collect()
