@@ -15,6 +15,9 @@ from footfall.llm import hyperminhash, mixing, packing, quality
 from footfall.llm.common import Workspace, raw_texts, table
 
 THRESHOLD = 0.3
+# Near duplicates share 0.8 of their shingles of 5 words. A pair at 0.8 shares none
+# of the 25 bands with probability (1 - 0.8**5)**25, about 5e-5.
+NEAR = hyperminhash.Settings(width=5, percent=80)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without an id all stay.
     """
     gone = (
-        hyperminhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+        hyperminhash.near_duplicates(docs, NEAR).filter("NOT kept").select("doc_id").distinct()
     )
     stay = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     repeated = stay.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from footfall.llm import hyperminhash as H
 from footfall.llm.components import connected
 
@@ -138,3 +139,11 @@ def test_wrong_settings():
     for wrong in (dict(registers=100), dict(bands=40)):
         with pytest.raises(ValueError):
             H.Settings(**wrong)
+
+
+def test_pipeline_drops_copies_with_an_added_block(spark, docs_of):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words[:100]), "a"), (2, " ".join(words), "a"), (3, " ".join(words[60:]), "a")]
+    assert {r["kept"] for r in H.near_duplicates(docs_of(rows)).collect()} == {True}
+    stay = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "")
+    assert sorted(r["doc_id"] for r in stay.collect()) == [1, 3]
