@@ -45,16 +45,19 @@ LIKELY = frozenset(
     "article body content entry hentry main page post text blog story column".split()
 )
 
+# A quote opens a value only behind an equals sign. As the last character looked at
+# is '>', an open tag always ends, so every character is read a bounded number of times.
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<(script|style)\b(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>"
     r"|<[!?/][^>]*>"
     r"|[^<]+|<",
     re.S | re.I,
 )
 _OPEN_END = re.compile(r"<[a-zA-Z/!?]")
-MOST_DEPTH = 256
+# Levels up to which points fade with the distance; beyond, they count as at it.
+FADING = 256
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAME_PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -78,7 +81,7 @@ _CLOSES = {
 class _Node:
     __slots__ = (
         "tag", "parent", "children", "dropped", "bonus", "block", "chars", "links", "score", "order",
-        "anchors",
+        "anchors", "home", "far",
     )
 
     def __init__(self, tag: str, parent: _Node | None, order: int):
@@ -89,8 +92,10 @@ class _Node:
         self.bonus = 0.0
         self.block = tag in BLOCK
         self.chars = self.links = self.anchors = 0
-        self.score = 0.0
+        self.score = self.far = 0.0
         self.order = order
+        # The nearest block that holds the node, or the node.
+        self.home: _Node = self if self.block or parent is None else parent.home
 
 
 def _judge(node: _Node, attributes: str, inside_article: bool) -> None:
@@ -127,14 +132,31 @@ def _judge(node: _Node, attributes: str, inside_article: bool) -> None:
 def parse(html: str) -> _Node:
     """Element tree of a page; unclosed and stray tags are mended simply.
 
-    A tag that the page ends in is no text. Elements nested deeper than
-    `MOST_DEPTH` do not open a level of their own; their text stays.
+    A tag that the page ends in is no text. The depths at which each kind of element
+    is open are kept, so closing one looks at no other ancestors.
     """
     root = here = _Node("html", None, 0)
-    order = articles = depth = excess = 0
+    order = articles = 0
+    path = [root]
+    opened_at: dict[str, list[int]] = {}
+    blocks = [0]
     end = html.rfind(">") + 1
     rest = html[end:]
     opened = _OPEN_END.search(rest)
+
+    def deepest(kinds) -> int:
+        return max((opened_at[k][-1] for k in kinds if opened_at.get(k)), default=0)
+
+    def close(level: int) -> None:
+        nonlocal articles, here
+        while len(path) > level:
+            node = path.pop()
+            opened_at[node.tag].pop()
+            articles -= node.tag == "article"
+            if node.block:
+                blocks.pop()
+        here = path[-1]
+
     for token in _TOKEN.finditer(html, 0, end):
         tag = token.group(3)
         if tag is None:
@@ -144,52 +166,30 @@ def parse(html: str) -> _Node:
             continue
         tag = tag.lower()
         if token.group(2):
-            if excess and tag not in VOID:
-                excess -= 1
-                continue
-            node = here
-            while node is not None and node.tag != tag:
-                # An inline end tag does not reach out of its block.
-                if node.block and tag not in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while True:
-                    articles -= here.tag == "article"
-                    depth -= 1
-                    done, here = here is node, here.parent
-                    if done:
-                        break
+            level = deepest((tag,))
+            # An inline end tag does not reach out of its block.
+            if level and (tag in BLOCK or blocks[-1] < level):
+                close(level)
             continue
         if tag in ("html", "body"):
-            _judge(root, "", False)
             continue
         for rule in (_PARAGRAPH if tag in BLOCK else None, _CLOSES.get(tag)):
             if rule is None:
                 continue
-            kinds, stops = rule
-            node = here
-            while node is not None and node.tag not in kinds and node.tag not in stops:
-                node = node.parent
-            if node is not None and node.tag in kinds and node.parent is not None:
-                while here is not node:
-                    articles -= here.tag == "article"
-                    depth -= 1
-                    here = here.parent
-                depth -= 1
-                here = node.parent
+            level = deepest(rule[0])
+            if level and level > deepest(rule[1]):
+                close(level)
         order += 1
         node = _Node(tag, here, order)
         _judge(node, token.group(4), articles > 0)
         here.children.append(node)
         if tag in VOID or token.group(4).endswith("/") and tag in ("svg", "path", "use"):
             continue
-        if depth >= MOST_DEPTH:
-            excess += 1
-            continue
         articles += tag == "article"
-        depth += 1
+        opened_at.setdefault(tag, []).append(len(path))
+        if node.block:
+            blocks.append(len(path))
+        path.append(node)
         here = node
     here.children.append(rest[: opened.start()] if opened else rest)
     return root
@@ -231,10 +231,7 @@ def _blocks(node: _Node) -> list[tuple[_Node, str, int]]:
                     stack.append((child, 0, depth + (child.tag == "a")))
         elif current.block and current is not node:
             close(owner)
-            owner = current.parent
-            while owner is not None and not owner.block:
-                owner = owner.parent
-            owner = owner or node
+            owner = current.parent.home
     close(owner)
     return found
 
@@ -245,27 +242,51 @@ def _ancestors(node: _Node):
         yield node
 
 
+def _nodes(root: _Node) -> list[_Node]:
+    """All elements, parents before their children."""
+    out = [root]
+    for node in out:
+        out.extend(child for child in node.children if not isinstance(child, str))
+    return out
+
+
 def _density(node: _Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
-def _score(blocks: list[tuple[_Node, str, int]]) -> list[_Node]:
-    """Adds up sizes and points; returns the candidate containers."""
+def _score(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[_Node]:
+    """Adds up sizes and points; returns the candidate containers.
+
+    Sizes, and points that come from more than `FADING` levels below, are carried
+    from children to parents once.
+    """
     candidates: dict[int, _Node] = {}
     for owner, text, linked in blocks:
-        for node in (owner, *_ancestors(owner)):
-            node.chars += len(text)
-            node.links += linked
-            node.anchors += bool(linked)
+        owner.chars += len(text)
+        owner.links += linked
+        owner.anchors += bool(linked)
         if owner.tag in HEADINGS:
             continue
         points = 1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3.0)
         points *= 1.0 - linked / len(text)
         # Text of a plain division stands in it; a paragraph's points go up.
         holder = owner if owner.tag in ("div", "section", "article", "main", "html") else owner.parent
-        for level, node in enumerate((holder, *_ancestors(holder)) if holder else ()):
+        node, level = holder, 0
+        while node is not None and level < FADING:
             node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             candidates.setdefault(node.order, node)
+            node, level = node.parent, level + 1
+        if node is not None:
+            node.far += points
+    for node in reversed(nodes):
+        if node.far:
+            node.score += node.far / (3 * FADING)
+            candidates.setdefault(node.order, node)
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
+            node.parent.anchors += node.anchors
+            node.parent.far += node.far
     return list(candidates.values())
 
 
@@ -280,8 +301,9 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    nodes = _nodes(root)
     blocks = _blocks(root)
-    candidates = _score(blocks)
+    candidates = _score(nodes, blocks)
     if not candidates:
         return "\n\n".join(text for owner, text, _ in blocks if owner.tag in HEADINGS)
     worth = {n.order: (n.score + (n.bonus if n.score else 0.0)) * (1.0 - _density(n)) for n in candidates}
@@ -317,18 +339,11 @@ def main_text(html: str | None) -> str:
     def menu(node: _Node) -> bool:
         return node.tag in _LISTS and node.anchors > 1 and _density(node) > 0.5
 
-    out = []
-    for owner, text, _ in blocks:
-        kept = False
-        for node in (owner, *_ancestors(owner)):
-            if node.order in keep:
-                kept = True
-                break
-            if menu(node):
-                break
-        if kept:
-            out.append(text)
-    return "\n\n".join(out)
+    kept: dict[int, bool] = {}
+    for node in nodes:
+        above = node.parent is not None and kept[node.parent.order]
+        kept[node.order] = node.order in keep or (above and not menu(node))
+    return "\n\n".join(text for owner, text, _ in blocks if kept[owner.order])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -52,6 +52,27 @@ def test_odd_markup_is_read_in_linear_time():
     assert main_text.main_text("<div>" * 2_000 + "deep, text" + "</div>" * 2_000) == "deep, text"
 
 
+def test_long_attribute_values_are_no_text():
+    state = "<p>x > y</p>, " * 2_000
+    assert main_text.main_text(f'<article data-state="{state}"><p class="a"">Text, here.</p><a href="b">c</a></article>').startswith("Text, here.")
+    assert "x" not in main_text.main_text(f"<article data-state = '{state}'><p>Text, here.</p></article>").replace("Text", "")
+
+
+def test_deep_elements_are_judged_like_others():
+    deep = f'<nav>{LONG}</nav><p hidden>{LONG}</p><div class="comments">{LONG}</div><ul><li>one, more<li>two, more</ul>'
+    html = f'<main>{"<div>" * 1_000}<p>Deep, text.</p>{deep}{"</div>" * 1_000}<p>After.</p></main><p>{LONG}</p>'
+    assert main_text.main_text(html) == "Deep, text.\n\none, more\n\ntwo, more\n\nAfter."
+
+
+def test_deep_pages_are_read_in_linear_time():
+    import time
+
+    for part in ("<div>a, b", "<p><td><div>a", "<span><div>x</div>", "<b>x</i>", '<a b="', "<a =' >"):
+        begin = time.perf_counter()
+        main_text.main_text(part * 30_000)
+        assert time.perf_counter() - begin < 30, part
+
+
 def test_extract(spark):
     rows = [(1, "u", CASES["article"][0], 5), (1, "u", CASES["article"][0], 5), (None, None, None, 5), (3, "v", "<p>é, " * 40_000, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
