@@ -45,6 +45,15 @@ LIKELY = frozenset(
     "article body content entry hentry main page post text blog story column".split()
 )
 
+# Of the marks, those of other people's text; words that say what else
+# a page has; elements that may also wrap a whole page.
+TALK = frozenset(
+    "comment comments commentlist disqus respond reply replies discussion feedback reviews".split()
+)
+STATES = frozenset("has no with without".split())
+WRAPPERS = frozenset("form fieldset".split())
+SHORT = 250
+
 # A quote opens a value only behind an equals sign. As the last character looked at
 # is '>', an open tag always ends, so every character is read a bounded number of times.
 _TOKEN = re.compile(
@@ -98,10 +107,17 @@ class _Node:
         self.home: _Node = self if self.block or parent is None else parent.home
 
 
-def _judge(node: _Node, attributes: str, inside_article: bool) -> None:
-    """Marks what can be told from the element itself."""
+def _judge(
+    node: _Node, attributes: str, inside_article: bool, marks: frozenset[str], wrappers: bool
+) -> None:
+    """Marks what can be told from the element itself.
+
+    `marks` are the words of names that drop an element. A class name that is such a
+    word drops; one that only holds it does unless another name is likely. Names
+    like has-sidebar tell of other elements. Forms stay with `wrappers`.
+    """
     tag = node.tag
-    if tag in DROPPED or (tag == "header" and not inside_article):
+    if tag in DROPPED and not (wrappers and tag in WRAPPERS) or (tag == "header" and not inside_article):
         node.dropped = True
         return
     if tag in ("article", "main"):
@@ -109,10 +125,21 @@ def _judge(node: _Node, attributes: str, inside_article: bool) -> None:
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return
     parts: set[str] = set()
+    found: set[str] = set()
+    bare = likely = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            parts.update(_NAME_PART.findall(value))
+            for word in value.split():
+                pieces = set(_NAME_PART.findall(word))
+                if pieces & STATES:
+                    continue
+                parts |= pieces
+                if pieces & marks:
+                    found |= pieces & marks
+                    bare = bare or word in marks
+                elif pieces & LIKELY:
+                    likely = True
         elif name == "role" and value in DROPPED_ROLES:
             node.dropped = True
         elif name == "role" and value in ("article", "main"):
@@ -123,13 +150,15 @@ def _judge(node: _Node, attributes: str, inside_article: bool) -> None:
             node.dropped = True
     if tag in ("body", "html", "article", "main"):
         return
-    if parts & UNLIKELY and not (inside_article and parts & UNLIKELY <= {"header"}):
-        node.dropped = not parts & LIKELY or bool(parts & UNLIKELY - {"page", "header"})
+    if found and not (inside_article and found <= {"header"}):
+        only_header = found <= {"header"} and parts & LIKELY
+        if not only_header and (bare or not likely):
+            node.dropped = True
     elif parts & LIKELY:
         node.bonus += 15.0
 
 
-def parse(html: str) -> _Node:
+def parse(html: str, marks: frozenset[str] = UNLIKELY, wrappers: bool = False) -> _Node:
     """Element tree of a page; unclosed and stray tags are mended simply.
 
     A tag that the page ends in is no text. The depths at which each kind of element
@@ -181,7 +210,7 @@ def parse(html: str) -> _Node:
                 close(level)
         order += 1
         node = _Node(tag, here, order)
-        _judge(node, token.group(4), articles > 0)
+        _judge(node, token.group(4), articles > 0, marks, wrappers)
         here.children.append(node)
         if tag in VOID or token.group(4).endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -296,12 +325,39 @@ _LISTS = frozenset("ul ol dl table div section".split())
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by two line breaks.
 
-    Null, empty and text-free pages give the empty text.
+    Null, empty and text-free pages give the empty text. Where little is left beside
+    what names or forms have dropped, the page is read again: with the marks of
+    other people's text alone, and if there still is no text, without any. The
+    text is then taken if it is four times as long as a short one or ten times as
+    long as any other.
     """
     if not html:
         return ""
-    root = parse(html)
+    text, dropped = _read(html, UNLIKELY, False)
+    if not dropped:
+        return text
+    for marks in (TALK, frozenset()):
+        other, _ = _read(html, marks, True)
+        if other and len(other) >= (4 if len(text) < SHORT else 10) * len(text):
+            return other
+        if text:
+            break
+    return text
+
+
+def _droppable(nodes: list[_Node]) -> bool:
+    """Whether names or wrapping elements have dropped something with text of its own."""
+    return any(n.dropped and n.children and (n.tag not in DROPPED or n.tag in WRAPPERS) for n in nodes)
+
+
+def _read(html: str, marks: frozenset[str], wrappers: bool) -> tuple[str, bool]:
+    """The article under the given marks, and whether others could change it."""
+    root = parse(html, marks, wrappers)
     nodes = _nodes(root)
+    return _article(root, nodes), _droppable(nodes)
+
+
+def _article(root: _Node, nodes: list[_Node]) -> str:
     blocks = _blocks(root)
     candidates = _score(nodes, blocks)
     if not candidates:

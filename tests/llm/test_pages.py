@@ -52,6 +52,19 @@ def test_odd_markup_is_read_in_linear_time():
     assert main_text.main_text("<div>" * 2_000 + "deep, text" + "</div>" * 2_000) == "deep, text"
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "main with-sidebar", "post no-comments", "main sidebar-right", "layout-sidebar"])
+def test_wrappers_named_for_what_stands_beside_the_article(name):
+    html = page(f'{MENU}<div class="{name}"><p>{LONG}</p><div class="sidebar"><p>Other, text.</p></div></div>{FOOT}')
+    assert LONG.strip() in main_text.main_text(html)
+
+
+def test_article_in_a_page_wide_form():
+    html = page(f'<p>Top line.</p><form id="aspnetForm">{MENU}<div><p>{LONG}</p><p>{LONG}</p></div></form>')
+    assert f"{LONG.strip()}\n\n{LONG.strip()}" in main_text.main_text(html)
+    talk = page(f'<article><p>Short, true.</p></article><div class="comments">{f"<p>{LONG}</p>" * 9}</div>')
+    assert main_text.main_text(talk) == "Short, true."
+
+
 def test_long_attribute_values_are_no_text():
     state = "<p>x > y</p>, " * 2_000
     assert main_text.main_text(f'<article data-state="{state}"><p class="a"">Text, here.</p><a href="b">c</a></article>').startswith("Text, here.")
