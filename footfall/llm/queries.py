@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from footfall.llm import (
-    hyperminhash, lengths, lm_score, main_text, mixing, neighbours, packing, quality, sql, topk, warc,
+    hyperminhash, lengths, licenses, lm_score, main_text, manifest, mixing, neighbours, packing, quality,
+    sql, topk, warc, whitening,
 )
 from footfall.llm.common import table
 
@@ -55,6 +56,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", rows["deviation"].cast("long"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Query] = {
     "op8_context_mixing": op8_context_mixing,
     "op9_nn_descent": op9_nn_descent,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,6 +92,7 @@ ORACLES: dict[str, str] = {
     "op5_source_mix": sql.SOURCE_MIX,
     "op9_nn_descent": sql.NEAR_VECTORS,
     "op10_warc": sql.WARC,
+    "op12_merkle_manifest": sql.MANIFEST,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
