@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 _SHIFT = 10
-# Bernoulli terms of the Stirling series for ln Gamma and digamma.
+# Bernoulli terms of the Stirling series for ln Gamma and its derivatives.
 _LN_GAMMA_TERMS = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 _DIGAMMA_TERMS = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760, 1 / 12)
+_TRIGAMMA_TERMS = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6)
 
 
 def ln_gamma(z):
@@ -41,6 +42,21 @@ def digamma(z):
     return np.log(y) - 0.5 / y - series * square - head
 
 
+def trigamma(z):
+    """Second derivative of ln Gamma for positive arguments."""
+    z = np.asarray(z, dtype=float)
+    low = z < _SHIFT
+    head = np.zeros_like(z)
+    for step in range(_SHIFT):
+        head = head + np.where(low, 1.0 / (z + step) ** 2, 0.0)
+    inverse = 1.0 / np.where(low, z + _SHIFT, z)
+    square = inverse * inverse
+    series = np.zeros_like(inverse)
+    for term in reversed(_TRIGAMMA_TERMS):
+        series = series * square + term
+    return inverse + 0.5 * square + series * square * inverse + head
+
+
 def hyp2f1(a, b, c, z, max_terms: int = 2_000_000):
     """Gauss series for 0 <= z < 1 after Euler's transformation.
 
@@ -61,8 +77,8 @@ def hyp2f1(a, b, c, z, max_terms: int = 2_000_000):
         lt = lt * ratio
         ls = ls + lt
         # The tail is bounded by a geometric series once the ratio is below one.
-        bound = np.abs(lt) * np.maximum(lz, np.abs(ratio)) / np.maximum(1e-300, 1.0 - np.maximum(lz, np.abs(ratio)))
-        done = (np.abs(ratio) < 1.0) & (bound <= 1e-16 * np.abs(ls))
+        most = np.maximum(lz, np.abs(ratio))
+        done = (most < 1.0) & (np.abs(lt) * most <= 1e-16 * np.abs(ls) * (1.0 - most))
         if done.any():
             flat[live[done]] = ls[done]
             keep = ~done

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.special import digamma, ln_gamma
-from footfall.models.fitting import fit_penalised, spread_out, sum_over
+from footfall.functions.special import digamma, ln_gamma, trigamma
+from footfall.models.fitting import Identified, fit_penalised, identified, spread_out, sum_over
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class GammaGamma:
     penalty: float = 0.0
     objective: float = float("nan")
     converged: bool = True
+    certainty: Identified | None = None
 
     @property
     def bounded(self) -> bool:
@@ -29,27 +30,51 @@ class GammaGamma:
         return self.q > 1.0
 
 
-def _likelihood(arrays: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
-    """Rows x vectors x (log-likelihood, three derivatives)."""
+def _log_likelihood(arrays: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+    """Rows x vectors of log-likelihood."""
     x, m = arrays["frequency"], arrays["monetary_value"]
     p, q, v = (points[:, i][None, :] for i in range(3))
     counts, place = np.unique(x, return_inverse=True)
     px = p * counts[:, None]
     by_count = ln_gamma(px + q) - ln_gamma(px) - ln_gamma(q) + q * np.log(v)
-    both, own = digamma(px + q), digamma(px)
-    slope_p = counts[:, None] * (both - own)
-    slope_q = both - digamma(q) + np.log(v)
     x, m = x[:, None], m[:, None]
-    spend = x * m
-    ln_all = np.log(spend + v)
+    return by_count[place] + (p * x - 1.0) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
+
+
+def _sums(arrays: dict[str, np.ndarray], weights: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Weighted log-likelihood, slope and curvature, one row per vector.
+
+    Gamma terms are taken per distinct count. Each customer enters through ln and
+    powers of (spend + v) only, which are summed plain and times the count.
+    """
+    x, m = arrays["frequency"], arrays["monetary_value"]
+    p, q, v = (points[:, i] for i in range(3))
+    counts, place = np.unique(x, return_inverse=True)
+    held, c = np.bincount(place, weights, len(counts)), counts[:, None]
+    total, by_x = weights.sum(), weights * x
+    ln_spend = by_x @ (np.log(m) + np.log(x))
+    both, own, one = digamma(p * c + q), digamma(p * c), digamma(q)
+    both2, own2, one2 = trigamma(p * c + q), trigamma(p * c), trigamma(q)
+    sides = np.stack([weights, by_x])
+    spend = (x * m)[:, None] + v
+    plain, counted = sides @ np.log(spend)
+    plain1, counted1 = sides @ (1.0 / spend)
+    plain2, counted2 = sides @ (1.0 / spend**2)
     return np.stack(
         [
-            by_count[place] + (p * x - 1.0) * np.log(m) + p * x * np.log(x) - (p * x + q) * ln_all,
-            slope_p[place] + x * (np.log(m) + np.log(x) - ln_all),
-            slope_q[place] - ln_all,
-            q / v - (p * x + q) / (spend + v),
+            held @ (ln_gamma(p * c + q) - ln_gamma(p * c)) - total * (ln_gamma(q) - q * np.log(v))
+            + p * ln_spend - weights @ np.log(m) - p * counted - q * plain,
+            held @ (c * (both - own)) + ln_spend - counted,
+            held @ both - total * (one - np.log(v)) - plain,
+            total * q / v - p * counted1 - q * plain1,
+            held @ (c**2 * (both2 - own2)),
+            held @ (c * both2),
+            -counted1,
+            held @ both2 - total * one2,
+            total / v - plain1,
+            p * counted2 + q * plain2 - total * q / v**2,
         ],
-        axis=2,
+        axis=1,
     )
 
 
@@ -59,7 +84,7 @@ _COLUMNS = ("frequency", "monetary_value")
 def likelihood_sums(spend: DataFrame, models: Sequence[GammaGamma]) -> list[float]:
     """Log-likelihood of each model over all customers, in one pass."""
     points = np.array([[m.p, m.q, m.v] for m in models])
-    return [float(v) for v in sum_over(spend, _likelihood, _COLUMNS, "n", points)[:, 0]]
+    return [float(v) for v in sum_over(spend, _sums, _COLUMNS, "n", points)[:, 0]]
 
 
 def with_log_likelihood(customers: DataFrame, model: GammaGamma, name: str = "loglik") -> DataFrame:
@@ -69,7 +94,7 @@ def with_log_likelihood(customers: DataFrame, model: GammaGamma, name: str = "lo
     @F.pandas_udf("double")
     def own(x: pd.Series, m: pd.Series) -> pd.Series:
         arrays = {"frequency": x.to_numpy(float), "monetary_value": m.to_numpy(float)}
-        return pd.Series(_likelihood(arrays, point)[:, 0, 0])
+        return pd.Series(_log_likelihood(arrays, point)[:, 0])
 
     return customers.withColumn(name, own("frequency", "monetary_value"))
 
@@ -115,18 +140,23 @@ def fit_gammagamma(
         # A strong penalty pulls all three down; a weak one leaves the
         # population mean, v p / (q - 1), near the data mean of one.
         starts = ((1.0, 2.0, 1.0), (5.0, 2.0, 0.5), (2.0, 3.0, 1.0), (1.0, 1.2, 0.3))
-        fits = fit_penalised(scaled, _likelihood, _COLUMNS, "n", starts, penalties)
+        fits = fit_penalised(scaled, _sums, _COLUMNS, "n", starts, penalties)
     finally:
         kept.unpersist()
     return [
         GammaGamma(
             fit.params[0], fit.params[1], fit.params[2] * row["mean"], fit.penalty, fit.objective,
-            fit.converged,
+            fit.converged, _certainty(fit, row["mean"]),
         )
         for fit in fits
     ]
 
 
+def _certainty(fit, unit: float) -> Identified:
+    own = identified(fit, ("p", "q", "v"))
+    return Identified({**own.errors, "v": own.errors["v"] * unit}, own.flat)
+
+
 def expected_average_value(
     model: GammaGamma, frequency: str = "frequency", value: str = "monetary_value"
 ) -> Column:

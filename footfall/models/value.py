@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from footfall.models.gammagamma import (
     fit_gammagamma,
     repeat_spend,
 )
-from footfall.models.fitting import settled_only
+from footfall.models.fitting import settled_only, spread_out
 from footfall.session import materialise
 
 DAYS_PER_MONTH = 30
@@ -95,8 +96,17 @@ def error_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def score_purchases(holdout: DataFrame, models: Sequence[BetaGeo]) -> DataFrame:
-    """Squared and absolute holdout error of many models in one pass."""
+@dataclass(frozen=True)
+class _Scored:
+    """What one label predicts: errors of all its models over a batch of columns."""
+
+    label: str
+    columns: tuple[str, ...]
+    errors: Callable[..., np.ndarray]
+    usable: dict[float, bool]
+
+
+def _purchase_errors(models: Sequence[BetaGeo]) -> _Scored:
     chosen = list(models)
 
     def errors(x, t, end, horizon, actual):
@@ -104,9 +114,29 @@ def score_purchases(holdout: DataFrame, models: Sequence[BetaGeo]) -> DataFrame:
             [actual - expected_purchases_at(m, horizon, x, t, end) for m in chosen], axis=1
         )
 
-    columns = ["frequency_cal", "recency_cal", "T_cal", "duration_holdout", "frequency_holdout"]
-    usable = {m.penalty: m.converged for m in chosen}
-    return _score(holdout, columns, errors, usable, "bgnbd")
+    columns = ("frequency_cal", "recency_cal", "T_cal", "duration_holdout", "frequency_holdout")
+    return _Scored("bgnbd", columns, errors, {m.penalty: m.converged for m in chosen})
+
+
+def _spend_errors(models: Sequence[GammaGamma], from_holdout: bool) -> _Scored:
+    p, q, v = (np.array([getattr(m, name) for m in models]) for name in ("p", "q", "v"))
+    part = "holdout" if from_holdout else "cal"
+
+    def errors(x, m, actual):
+        weight = p * x[:, None] / (p * x[:, None] + q - 1.0)
+        return actual[:, None] - ((1.0 - weight) * v * p / (q - 1.0) + weight * m[:, None])
+
+    return _Scored(
+        "gammagamma_holdout" if from_holdout else "gammagamma_forecast",
+        (f"frequency_{part}", f"monetary_value_{part}", "monetary_value_holdout"),
+        errors,
+        {m.penalty: m.converged and m.bounded for m in models},
+    )
+
+
+def score_purchases(holdout: DataFrame, models: Sequence[BetaGeo]) -> DataFrame:
+    """Squared and absolute holdout error of many models in one pass."""
+    return _score(holdout, [_purchase_errors(models)])
 
 
 def score_spend(
@@ -118,47 +148,49 @@ def score_spend(
     value, as the published figure does; without, it uses calibration values
     and is a true forecast error.
     """
-    chosen = list(models)
-    part = "holdout" if from_holdout else "cal"
+    return _score(holdout, [_spend_errors(models, from_holdout)])
 
-    def errors(x, m, actual):
-        predicted = []
-        for model in chosen:
-            px = model.p * x
-            weight = px / (px + model.q - 1.0)
-            predicted.append((1.0 - weight) * model.v * model.p / (model.q - 1.0) + weight * m)
-        return actual[:, None] - np.stack(predicted, axis=1)
 
-    columns = [f"frequency_{part}", f"monetary_value_{part}", "monetary_value_holdout"]
-    label = "gammagamma_holdout" if from_holdout else "gammagamma_forecast"
-    usable = {m.penalty: m.converged and m.bounded for m in chosen}
-    return _score(holdout, columns, errors, usable, label)
+def score_both(
+    holdout: DataFrame, purchases: Sequence[BetaGeo], spend: Sequence[GammaGamma]
+) -> DataFrame:
+    """Purchase errors and both kinds of spend errors, from one pass over the customers."""
+    return _score(
+        holdout,
+        [_purchase_errors(purchases), _spend_errors(spend, True), _spend_errors(spend, False)],
+    )
 
 
-def _score(df: DataFrame, columns, errors, usable: dict[float, bool], label: str) -> DataFrame:
+def _score(df: DataFrame, parts: Sequence[_Scored]) -> DataFrame:
     """(model, l2, customers, mse, rmse, mae, usable); a task emits one row per model.
 
     `usable` is false for a fit that did not converge or has no finite mean.
     """
-    penalties = list(usable)
+    columns = list(dict.fromkeys(c for part in parts for c in part.columns))
 
     def fold(batches):
-        rows, squared, absolute = 0, np.zeros(len(penalties)), np.zeros(len(penalties))
+        rows = 0
+        squared = [np.zeros(len(part.usable)) for part in parts]
+        absolute = [np.zeros(len(part.usable)) for part in parts]
         for batch in batches:
-            off = errors(*(batch[c].to_numpy(dtype=float) for c in columns))
             rows += len(batch)
-            squared += (off**2).sum(axis=0)
-            absolute += np.abs(off).sum(axis=0)
-        yield pd.DataFrame(
-            {"l2": penalties, "rows": rows, "squared": squared, "absolute": absolute}
-        )
-
-    schema = "l2 double, rows long, squared double, absolute double"
-    unique = list(dict.fromkeys(columns))
+            for k, part in enumerate(parts):
+                off = part.errors(*(batch[c].to_numpy(dtype=float) for c in part.columns))
+                squared[k] += (off**2).sum(axis=0)
+                absolute[k] += np.abs(off).sum(axis=0)
+        for k, part in enumerate(parts):
+            yield pd.DataFrame(
+                {
+                    "model": part.label, "l2": list(part.usable), "rows": rows, "squared": squared[k],
+                    "absolute": absolute[k], "usable": list(part.usable.values()),
+                }
+            )
+
+    schema = "model string, l2 double, rows long, squared double, absolute double, usable boolean"
     summed = (
-        df.select(*unique)
+        df.select(*columns)
         .mapInPandas(fold, schema)
-        .groupBy("l2")
+        .groupBy("model", "l2", "usable")
         .agg(
             F.sum("rows").alias("customers"),
             F.sum("squared").alias("squared"),
@@ -167,16 +199,49 @@ def _score(df: DataFrame, columns, errors, usable: dict[float, bool], label: str
     )
     mse = F.try_divide("squared", "customers")
     return summed.select(
-        F.lit(label).alias("model"),
+        "model",
         "l2",
         "customers",
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.try_divide("absolute", "customers").alias("mae"),
-        (~F.col("l2").isin([p for p, good in usable.items() if not good])).alias("usable"),
+        "usable",
     )
 
 
+def refined_penalties(scores: DataFrame, penalties: Sequence[float], between: int = 8) -> dict[str, list[float]]:
+    """For each model, penalties inside the bracket around its best one.
+
+    The bracket reaches to the neighbours of the best; `between` penalties are laid
+    evenly by order of magnitude on either side of it. A best one at an end of the
+    grid is bracketed on its one side.
+    """
+    grid = sorted(penalties)
+    found = {}
+    for row in scores.filter("best").select("model", "l2").collect():
+        at = grid.index(row["l2"])
+        ends = [grid[max(at - 1, 0)], grid[at], grid[min(at + 1, len(grid) - 1)]]
+        found[row["model"]] = [
+            float(low * (high / low) ** (k / (between + 1)))
+            for low, high in zip(ends, ends[1:], strict=False)
+            if low < high
+            for k in range(1, between + 1)
+        ]
+    return found
+
+
+def _ranked(scores: DataFrame) -> DataFrame:
+    # Three rankings times the number of penalties.
+    order = Window.partitionBy("model").orderBy(F.desc("usable"), "mse", "l2")
+    return scores.withColumn("best", (F.row_number().over(order) == 1) & F.col("usable"))
+
+
+def _grid_scores(kept: DataFrame, penalties: Sequence[float]) -> DataFrame:
+    purchases, spend = fit_both(kept, penalties, penalties, "_cal", strict=False)
+    # Each customer meets every model: spread over all cores, not by bytes.
+    return score_both(spread_out(kept), purchases, spend)
+
+
 def penalty_grid(holdout: DataFrame, penalties: Sequence[float]) -> DataFrame:
     """Holdout error of both models for each penalty; `best` marks the lowest.
 
@@ -186,14 +251,33 @@ def penalty_grid(holdout: DataFrame, penalties: Sequence[float]) -> DataFrame:
     the optimum may lie outside. All penalties share every pass over the data.
     """
     kept = materialise(holdout.filter(F.col("frequency_cal") > 0))
-    purchases, spend = fit_both(kept, penalties, penalties, "_cal", strict=False)
-    scores = (
-        score_purchases(kept, purchases)
-        .unionByName(score_spend(kept, spend))
-        .unionByName(score_spend(kept, spend, from_holdout=False))
+    edges = [min(penalties), max(penalties)]
+    return _ranked(_grid_scores(kept, penalties)).withColumn("at_edge", F.col("l2").isin(edges))
+
+
+def penalty_search(holdout: DataFrame, penalties: Sequence[float], between: int = 8) -> DataFrame:
+    """Best penalty of each ranking: the grid, then once more inside the bracket around its best.
+
+    Returns one row per ranking with the scores of `penalty_grid`, `grid_l2`, the
+    best of the grid, and `at_edge`. A model that has no usable fit gives no row.
+    """
+    kept = materialise(holdout.filter(F.col("frequency_cal") > 0))
+    first = materialise(_ranked(_grid_scores(kept, penalties)))
+    finer = refined_penalties(first, penalties, between)
+    tried = sorted({p for own in finer.values() for p in own})
+    coarse = first.filter("best")
+    # One row per ranking and penalty.
+    both = coarse.drop("best")
+    if tried:
+        inside = F.lit(False)
+        for model, own in finer.items():
+            inside = inside | ((F.col("model") == model) & F.col("l2").isin(own))
+        both = both.unionByName(_grid_scores(kept, tried).filter(inside))
+    edges = [min(penalties), max(penalties)]
+    return (
+        _ranked(both)
+        .filter("best")
+        .join(coarse.select("model", F.col("l2").alias("grid_l2")), "model")
+        .withColumn("at_edge", F.col("l2").isin(edges))
+        .drop("best")
     )
-    # Three rankings times the number of penalties.
-    ranked = Window.partitionBy("model").orderBy(F.desc("usable"), "mse", "l2")
-    return scores.withColumn(
-        "best", (F.row_number().over(ranked) == 1) & F.col("usable")
-    ).withColumn("at_edge", F.col("l2").isin(min(penalties), max(penalties)))

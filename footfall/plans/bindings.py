@@ -101,6 +101,25 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def followers(spark: SparkSession, folder: str) -> DataFrame:
+    """Readers of ten shelves each, who leave a shelf after the first event of small value.
+
+    What counts as small differs from reader to reader, so drop-out differs too. The
+    moment of leaving is a minimum folded in the map tasks.
+    """
+    shelf = F.floor(F.get_json_object("props", "$.k").cast("long") / 10)
+    bar = 4 * ((F.col("user_id") * 7 + shelf * 3) % 10)
+    steps = events(spark, folder).select(
+        (F.col("user_id") * 10 + shelf).alias("user_id"), "ts", "value", (F.col("value") < bar).alias("leaves")
+    )
+    left = steps.filter("leaves").groupBy("user_id").agg(F.min("ts").alias("left_at"))
+    return (
+        steps.join(left, "user_id", "left")
+        .filter("left_at IS NULL OR ts <= left_at")
+        .select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("price"))
+    )
+
+
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as purchases; decimal prices keep sums exact."""
     return read_table(spark, "orders", folder).select(
@@ -110,6 +129,17 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FOLLOWERS_SQL = """
+steps AS (
+  SELECT user_id * 10 + CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS user_id, ts, event_id, value,
+         value < 4 * ((user_id * 7 + CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 * 3) % 10) AS leaves
+  FROM events),
+followers AS (
+  SELECT s.user_id, s.ts, CAST(s.value AS DECIMAL(18,2)) AS price
+  FROM steps s LEFT JOIN (SELECT user_id, min(ts) AS left_at FROM steps WHERE leaves GROUP BY user_id) l
+    ON l.user_id = s.user_id
+  WHERE left_at IS NULL OR s.ts <= left_at)"""
+
 COMMENTS_SQL = """
 comments AS (
   SELECT event_id, user_id, ts AS comment_date, event_type AS content,

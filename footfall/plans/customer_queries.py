@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import functions as F
 
 from footfall.models import bgnbd, gammagamma
@@ -14,6 +12,7 @@ from footfall.models.bgnbd import (
     fit_bgnbd,
     with_log_likelihood,
 )
+from footfall.models.fitting import LEAST
 from footfall.models.gammagamma import (
     GammaGamma,
     expected_average_value,
@@ -24,8 +23,7 @@ from footfall.models.value import (
     error_scores,
     fit_both,
     penalty_grid,
-    score_purchases,
-    score_spend,
+    score_both,
     with_lifetime_value,
 )
 from footfall.operators import cleaning, dayparts, histograms, pricing, quantiles, rfm, segments
@@ -424,11 +422,7 @@ UNION ALL {_scores_sql("gammagamma_forecast", "forecast_spend")}""",
 )
 def holdout_scores_fixed(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
-    scores = (
-        score_purchases(holdout, [PURCHASE_MODEL])
-        .unionByName(score_spend(holdout, [SPEND_MODEL]))
-        .unionByName(score_spend(holdout, [SPEND_MODEL], from_holdout=False))
-    )
+    scores = score_both(holdout, [PURCHASE_MODEL], [SPEND_MODEL])
     digits = {"mse": 1, "rmse": 4, "mae": 4}
     return scores.drop("l2", "usable").withColumns({name: F.round(name, d) for name, d in digits.items()})
 
@@ -471,116 +465,308 @@ def likelihood_sums(spark, folder):
 # ------------------------------------------------------------ fitted models
 
 
-def _search_sql(name: str, places: list[str], start: list[str], objective: str, rows: str) -> str:
-    """A search of its own for the smallest objective, in log-parameters.
+def significant(value, digits: int = 6):
+    """A column to so many significant digits."""
+    return F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double")
+
+
+def significant_sql(value: str, digits: int = 6) -> str:
+    return f"printf('%.{digits - 1}e', ({value})::DOUBLE)::DOUBLE"
+
+
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def _solved_sql(size: int, curve: str, damping: str) -> list[tuple[str, str]]:
+    """(alias, expression) of an LDL' factorisation, each using those before it."""
+    out = []
+    for j in range(size):
+        less = "".join(f" - l{j}{k} * l{j}{k} * d{k}" for k in range(j))
+        out.append((f"d{j}", f"{curve}{j}{j} + {damping}{less}"))
+        for i in range(j + 1, size):
+            less = "".join(f" - l{i}{k} * l{j}{k} * d{k}" for k in range(j))
+            out.append((f"l{i}{j}", f"({curve}{j}{i}{less}) / d{j}"))
+    return out
+
+
+def _step_sql(size: int) -> list[tuple[str, str]]:
+    """Aliases x0, x1, ... of the solution of (curvature + mu) x = slope."""
+    out = _solved_sql(size, "h", "mu")
+    for i in range(size):
+        out.append((f"y{i}", f"g{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i))))
+    for i in reversed(range(size)):
+        out.append((f"x{i}", f"y{i} / d{i}" + "".join(f" - l{k}{i} * x{k}" for k in range(i + 1, size))))
+    return out
+
 
-    Each turn tries all neighbours of the best point at the current step, sums the
-    objective over the rows for each, and moves or halves the step.
+def _search_sql(name: str, start: list[str], problems: str, sums: str, turns: int) -> str:
+    """A search of its own for the smallest penalised objective, for all problems at once.
+
+    One damped Newton step per turn in log-parameters (Levenberg and Marquardt):
+    a better point is taken and the damping cut, else the damping grows. `problems`
+    gives (id, l2); `sums` is a subquery over tried(id, l2, c0, c1, ...) that gives
+    per id the mean negative log-likelihood f and its slopes u and second
+    derivatives w by the parameters themselves.
     """
-    steps = " CROSS JOIN ".join(f"(VALUES (-1), (0), (1)) {n}_steps(d)" for n in places)
+    size = len(start)
+    low = f"ln({LEAST})"
+    state = [f"t{i}" for i in range(size)] + ["f"] + [f"g{i}" for i in range(size)]
+    state += [f"h{i}{j}" for i, j in _pairs(size)]
+    tried = {f"t{i}": f"c{i}" for i in range(size)}
+    tried["f"] = "n.f + l2 * (" + " + ".join(f"exp(2 * c{i})" for i in range(size)) + ")"
+    for i in range(size):
+        tried[f"g{i}"] = f"n.u{i} * exp(c{i}) + 2 * l2 * exp(2 * c{i})"
+    for i, j in _pairs(size):
+        tried[f"h{i}{j}"] = f"n.w{i}{j} * exp(c{i}) * exp(c{j})" + (
+            f" + n.u{i} * exp(c{i}) + 4 * l2 * exp(2 * c{i})" if i == j else ""
+        )
+    old = [f"s.{n} AS o_{n}" for n in state]
+    fresh = [f"{tried[n]} AS n_{n}" for n in state]
+    # A parameter that is held at its least value has no slope and a curvature of one.
+    held = [f"(p_t{i} <= {low} + 1e-9 AND p_g{i} > 0) AS held{i}" for i in range(size)]
+    eased = [f"CASE WHEN held{i} THEN 0.0 ELSE p_g{i} END AS g{i}" for i in range(size)]
+    eased += [
+        f"CASE WHEN held{i}{f' OR held{j}' if i != j else ''} THEN {float(i == j)} ELSE p_h{i}{j} END AS h{i}{j}"
+        for i, j in _pairs(size)
+    ]
+    steps = [f"{e} AS {n}" for n, e in _step_sql(size)]
+    steep = lambda p: "greatest(" + ", ".join(f"abs({p}_g{i})" for i in range(size)) + ")"
+    moved = ", ".join(
+        f"greatest(p_t{i} - least(greatest(coalesce(x{i}, 0.0), -2.0), 2.0), {low})" for i in range(size)
+    )
+    names = ", ".join(f"c{i}" for i in range(size))
     return f"""
-{name}_steps AS MATERIALIZED (SELECT {", ".join(f"{n}_steps.d AS step_{n}" for n in places)} FROM {steps}),
-{name}_search(turn, {", ".join(places)}, step, value) AS (
-  SELECT 0, {", ".join(f"{x}::DOUBLE" for x in start)}, 0.5::DOUBLE, 1e300::DOUBLE
+{name}_search(turn, id, l2, mu, {", ".join(state)}, {names}) AS (
+  SELECT 0, id, l2, 1.0::DOUBLE, {", ".join(["0.0::DOUBLE"] * size + ["1e300::DOUBLE"] + ["0.0::DOUBLE"] * (len(state) - size - 1))},
+         {", ".join(f"{x}::DOUBLE" for x in start)}
+  FROM ({problems})
   UNION ALL
-  SELECT turn + 1, {", ".join(f"best.{n}" for n in places)},
-         CASE WHEN low < value - 1e-13 THEN least(step * 1.5, 1.0) ELSE step / 2 END, least(low, value)
+  SELECT turn + 1, id, l2, mu, {", ".join(f"p_{n}" for n in state)}, {moved}
   FROM (
-    SELECT turn, step, any_value(value) AS value, min(f) AS low,
-           arg_min({{{", ".join(f"'{n}': {n}" for n in places)}}}, f) AS best
+    SELECT *, {", ".join(held)}, {", ".join(eased)}, {", ".join(steps)}
     FROM (
-      SELECT turn, step, value, {", ".join(places)}, {objective} AS f
-      FROM (SELECT s.turn, s.step, s.value, {", ".join(f"s.{n} + o.step_{n} * s.step AS {n}" for n in places)}
-            FROM {name}_search s CROSS JOIN {name}_steps o WHERE s.turn < 600 AND s.step > 1e-7) tried
-      CROSS JOIN {rows} data
-      GROUP BY turn, step, value, {", ".join(places)})
-    GROUP BY turn, step))"""
-
-
-_PURCHASE_OBJECTIVE = f"""
-sum(n * -(lgamma(exp(ln_r) + x) - lgamma(exp(ln_r)) + exp(ln_r) * ln_alpha
-  + lgamma(exp(ln_a) + exp(ln_b)) + lgamma(exp(ln_b) + x) - lgamma(exp(ln_b)) - lgamma(exp(ln_a) + exp(ln_b) + x)
-  - (exp(ln_r) + x) * ln(exp(ln_alpha) + t_end)
-  + ln(1 + CASE WHEN x > 0
-                THEN exp(ln_a - ln(exp(ln_b) + greatest(x, 1) - 1)
-                         - (exp(ln_r) + x) * (ln(exp(ln_alpha) + t_x) - ln(exp(ln_alpha) + t_end)))
-                ELSE 0 END))) / sum(n)
-+ {PURCHASE_PENALTY} * (exp(2 * ln_r) + exp(2 * ln_alpha) + exp(2 * ln_a) + exp(2 * ln_b))"""
-
-_SPEND_OBJECTIVE = f"""
-sum(-(lgamma(exp(ln_p) * x + exp(ln_q)) - lgamma(exp(ln_p) * x) - lgamma(exp(ln_q)) + exp(ln_q) * ln_v
-  + (exp(ln_p) * x - 1) * ln(m) + exp(ln_p) * x * ln(x)
-  - (exp(ln_p) * x + exp(ln_q)) * ln(x * m + exp(ln_v)))) / count(*)
-+ {SPEND_PENALTY} * (exp(2 * ln_p) + exp(2 * ln_q) + exp(2 * ln_v))"""
-
-PURCHASE_FIT_SQL = f"""
+      SELECT turn, id, l2, CASE WHEN better THEN greatest(mu / 16, 1e-14) ELSE mu * 8 END AS mu,
+             {", ".join(f"CASE WHEN better THEN n_{n} ELSE o_{n} END AS p_{n}" for n in state)}
+      FROM (
+        SELECT *, n_f < o_f - 1e-11 OR (n_f <= o_f + 1e-11 AND {steep("n")} < {steep("o")}) AS better
+        FROM (
+          SELECT s.turn, s.id, s.l2, s.mu, {", ".join(old)}, {", ".join(fresh)}
+          FROM {name}_search s JOIN ({sums.format(tried=f"(SELECT id, {names} FROM {name}_search WHERE turn < {turns})")}) n
+            ON n.id = s.id)))))"""
+
+
+_PURCHASE_SUMS = """
+SELECT id, one.f + two.f AS f, one.u0 + two.u0 AS u0, two.u1 AS u1, one.u2 + two.u2 AS u2, one.u3 + two.u3 AS u3,
+       one.w00 + two.w00 AS w00, two.w01 AS w01, two.w02 AS w02, two.w03 AS w03, two.w11 AS w11, two.w12 AS w12,
+       two.w13 AS w13, one.w22 + two.w22 AS w22, one.w23 + two.w23 AS w23, one.w33 + two.w33 AS w33
+FROM (
+  SELECT id, -sum(m * (ln(r + j) + ln(b + j) - ln(a + b + j))) AS f,
+         -sum(m / (r + j)) AS u0, sum(m / (a + b + j)) AS u2, -sum(m * (a / ((b + j) * (a + b + j)))) AS u3,
+         sum(m / ((r + j) * (r + j))) AS w00, -sum(m / ((a + b + j) * (a + b + j))) AS w22,
+         -sum(m / ((a + b + j) * (a + b + j))) AS w23,
+         sum(m / ((b + j) * (b + j)) - m / ((a + b + j) * (a + b + j))) AS w33
+  FROM (SELECT id, exp(c0) AS r, exp(c2) AS a, exp(c3) AS b FROM {tried}), tails GROUP BY id) one
+JOIN (
+  SELECT id, -sum(n * (r * ln(alpha) - (r + x) * ln(alpha + e) + ln(1 + odds))) AS f,
+         -sum(n * (ln(alpha) - va * ln(alpha + e) - vl * ln(alpha + t))) AS u0,
+         -sum(n * (r / alpha - (r + x) * (va / (alpha + e) + vl / (alpha + t)))) AS u1,
+         -sum(n * vl / a) AS u2, sum(n * vl / last) AS u3,
+         -sum(n * va * vl * k0 * k0) AS w00,
+         -sum(n * (1 / alpha - va / (alpha + e) - vl / (alpha + t) + va * vl * k0 * k1)) AS w01,
+         -sum(n * va * vl * k0 * k2) AS w02, -sum(n * va * vl * k0 * k3) AS w03,
+         -sum(n * ((r + x) * (va / ((alpha + e) * (alpha + e)) + vl / ((alpha + t) * (alpha + t)))
+              - r / (alpha * alpha) + va * vl * k1 * k1)) AS w11,
+         -sum(n * va * vl * k1 * k2) AS w12, -sum(n * va * vl * k1 * k3) AS w13,
+         -sum(n * (va * vl * k2 * k2 - vl / (a * a))) AS w22, -sum(n * va * vl * k2 * k3) AS w23,
+         -sum(n * (va * vl * k3 * k3 + vl / (last * last))) AS w33
+  FROM (
+    SELECT *, odds / (1 + odds) AS vl, 1 / (1 + odds) AS va, ln(alpha + t) - ln(alpha + e) AS k0,
+           (r + x) * (1 / (alpha + t) - 1 / (alpha + e)) AS k1, -1 / a AS k2, 1 / last AS k3
+    FROM (
+      SELECT *, b + greatest(x, 1) - 1 AS last,
+             CASE WHEN x > 0 THEN exp(ln(a) - ln(b + greatest(x, 1) - 1) - (r + x) * (ln(alpha + t) - ln(alpha + e)))
+                  ELSE 0 END AS odds
+      FROM (SELECT id, exp(c0) AS r, exp(c1) AS alpha, exp(c2) AS a, exp(c3) AS b FROM {tried}),
+           (SELECT x, t_x AS t, t_end AS e, n / (SELECT sum(n) FROM cells) AS n FROM cells)))
+  GROUP BY id) two USING (id)"""
+
+
+def _gamma_slope_sql(z: str, second: bool = False) -> str:
+    """Digamma or trigamma of z: Stirling's series after a shift of ten."""
+    y = f"(({z}) + 10)"
+    head = f"list_sum(list_transform(range(0, 10), lambda i: 1 / (({z}) + i){' / ((' + z + ') + i)' if second else ''}))"
+    if second:
+        terms = ((1, "6", 3), (-1, "30", 5), (1, "42", 7), (-1, "30", 9), (5, "66", 11), (-691, "2730", 13))
+        return f"(1 / {y} + 1 / (2 * {y} * {y}) + " + " + ".join(
+            f"({n}.0 / {d}) / pow({y}, {k})" for n, d, k in terms
+        ) + f" + {head})"
+    terms = ((1, "12", 2), (-1, "120", 4), (1, "252", 6), (-1, "240", 8), (1, "132", 10), (-691, "32760", 12))
+    return f"(ln({y}) - 1 / (2 * {y}) - (" + " + ".join(f"({n}.0 / {d}) / pow({y}, {k})" for n, d, k in terms) + f") - {head})"
+
+
+_SPEND_SUMS = f"""
+SELECT id, one.f + two.f AS f, one.u0 + two.u0 AS u0, one.u1 + two.u1 AS u1, two.u2 AS u2,
+       one.w00 AS w00, one.w01 AS w01, two.w02 AS w02, one.w11 AS w11, two.w12 AS w12, two.w22 AS w22
+FROM (
+  SELECT id, -sum(n * (lgamma(p * x + q) - lgamma(p * x) - lgamma(q))) AS f,
+         -sum(n * x * (d_all - d_own)) AS u0, -sum(n * (d_all - d_q)) AS u1,
+         -sum(n * x * x * (e_all - e_own)) AS w00, -sum(n * x * e_all) AS w01, -sum(n * (e_all - e_q)) AS w11
+  FROM (
+    SELECT *, {_gamma_slope_sql("p * x + q")} AS d_all, {_gamma_slope_sql("p * x")} AS d_own,
+           {_gamma_slope_sql("q")} AS d_q, {_gamma_slope_sql("p * x + q", True)} AS e_all,
+           {_gamma_slope_sql("p * x", True)} AS e_own, {_gamma_slope_sql("q", True)} AS e_q
+    FROM (SELECT id, exp(c0) AS p, exp(c1) AS q FROM {{tried}}), spent_counts)
+  GROUP BY id) one
+JOIN (
+  SELECT id, -avg(q * ln(v) + (p * x - 1) * ln(m) + p * x * ln(x) - (p * x + q) * ln(x * m + v)) AS f,
+         -avg(x * (ln(m) + ln(x) - ln(x * m + v))) AS u0, -avg(ln(v) - ln(x * m + v)) AS u1,
+         -avg(q / v - (p * x + q) / (x * m + v)) AS u2, avg(x / (x * m + v)) AS w02,
+         -avg(1 / v - 1 / (x * m + v)) AS w12,
+         -avg((p * x + q) / ((x * m + v) * (x * m + v)) - q / (v * v)) AS w22
+  FROM (SELECT id, exp(c0) AS p, exp(c1) AS q, exp(c2) AS v FROM {{tried}}), spent
+  GROUP BY id) two USING (id)"""
+
+
+def _errors_sql(size: int, names: list[str], total: str) -> str:
+    """Standard errors from the inverse of the last curvature."""
+    aliases = _solved_sql(size, "h", "0.0")
+    # m holds the inverse of the unit triangle.
+    for j in range(size):
+        for i in range(j + 1, size):
+            inner = "".join(f" + l{i}{k} * m{k}{j}" for k in range(j + 1, i))
+            aliases.append((f"m{i}{j}", f"-(l{i}{j}{inner})"))
+    for j, name in enumerate(names):
+        inverse = " + ".join([f"1 / d{j}", *(f"m{i}{j} * m{i}{j} / d{i}" for i in range(j + 1, size))])
+        aliases.append((f"{name}_error", f"{name} * sqrt(({inverse}) / {total})"))
+    return ", ".join(f"{e} AS {n}" for n, e in aliases)
+
+
+def _last_sql(name: str) -> str:
+    return f"(SELECT * FROM {name}_search QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1)"
+
+
+def purchase_fits_sql(problems: str, turns: int = 60) -> str:
+    """purchase_fits(id, l2, r, alpha, a, b, objective, ...) over cells(x, t_x, t_end, n) and span(scale)."""
+    return f"""
+tails AS MATERIALIZED (
+  SELECT j::DOUBLE AS j, sum(n) / (SELECT sum(n) FROM cells) AS m
+  FROM cells, range(0, 10000) js(j) WHERE j < x GROUP BY j),
+{_search_sql("purchase", ["1", "1", "0", "0"], problems, _PURCHASE_SUMS, turns)},
+purchase_fits AS MATERIALIZED (
+  SELECT *, exp(t0) AS r, exp(t1) / (SELECT scale FROM span) AS alpha, exp(t2) AS a, exp(t3) AS b, f AS objective
+  FROM {_last_sql("purchase")})"""
+
+
+def spend_fits_sql(problems: str, turns: int = 60) -> str:
+    """spend_fits(id, l2, p, q, v, objective, ...) over spent(x, m, unit)."""
+    return f"""
+spent_counts AS MATERIALIZED (SELECT x, count(*) / (SELECT count(*) FROM spent)::DOUBLE AS n FROM spent GROUP BY x),
+{_search_sql("spend", ["0.7", "1", "0"], problems, _SPEND_SUMS, turns)},
+spend_fits AS MATERIALIZED (
+  SELECT *, exp(t0) AS p, exp(t1) AS q, exp(t2) * (SELECT max(unit) FROM spent) AS v, f AS objective
+  FROM {_last_sql("spend")})"""
+
+
+_CELLS_SQL = """
 span AS (SELECT 10.0::DOUBLE / max("T_cal") AS scale FROM repeaters),
 cells AS MATERIALIZED (
   SELECT frequency_cal::DOUBLE AS x, recency_cal * scale AS t_x, "T_cal" * scale AS t_end, count(*)::DOUBLE AS n
-  FROM repeaters, span GROUP BY ALL),
-{_search_sql("purchase", ["ln_r", "ln_alpha", "ln_a", "ln_b"], ["0"] * 4, _PURCHASE_OBJECTIVE, "cells")},
-purchase_fit AS MATERIALIZED (
-  SELECT exp(ln_r) AS r, exp(ln_alpha) / (SELECT scale FROM span) AS alpha, exp(ln_a) AS a, exp(ln_b) AS b,
-         value AS objective
-  FROM purchase_search ORDER BY turn DESC LIMIT 1)"""
-
-SPEND_FIT_SQL = f"""
+  FROM repeaters, span GROUP BY ALL)"""
+
+_SPENT_SQL = """
 spent AS MATERIALIZED (
   SELECT frequency_cal::DOUBLE AS x, monetary_value_cal / avg(monetary_value_cal) OVER () AS m,
          avg(monetary_value_cal) OVER () AS unit
-  FROM repeaters),
-{_search_sql("spend", ["ln_p", "ln_q", "ln_v"], ["0", "0.7", "0"], _SPEND_OBJECTIVE, "spent")},
-spend_fit AS MATERIALIZED (
-  SELECT exp(ln_p) AS p, exp(ln_q) AS q, exp(ln_v) * (SELECT max(unit) FROM spent) AS v, value AS objective
-  FROM spend_search ORDER BY turn DESC LIMIT 1)"""
+  FROM repeaters)"""
 
 
-def _as_table(spark, model, places: dict[str, int]):
-    """One row: parameters, rounded where two searches agree, and how the fit ended.
+def _one_problem(penalty: float) -> str:
+    return f"SELECT 0 AS id, {penalty}::DOUBLE AS l2"
+
+
+PURCHASE_FIT_SQL = f"""{_CELLS_SQL}, {purchase_fits_sql(_one_problem(PURCHASE_PENALTY))},
+purchase_fit AS MATERIALIZED (SELECT * FROM purchase_fits)"""
+
+SPEND_FIT_SQL = f"""{_SPENT_SQL}, {spend_fits_sql(_one_problem(SPEND_PENALTY))},
+spend_fit AS MATERIALIZED (SELECT * FROM spend_fits)"""
 
-    Parameters along which the likelihood is flat are left out of `places`.
-    """
-    values = dataclasses.asdict(model)
-    names = [*places, "penalty", "objective", "converged"]
-    row = [round(values[n], places[n]) if n in places else values[n] for n in names]
-    row[names.index("objective")] = round(values["objective"], 6)
-    return spark.createDataFrame([row], names)
+
+def _as_table(spark, model, names: list[str], with_errors: list[str]):
+    """One row: parameters, standard errors, what the data leave flat, and how the fit ended."""
+    own = model.certainty
+    row = {n: getattr(model, n) for n in names} | {f"{n}_error": own.errors[n] for n in with_errors}
+    row |= {"penalty": model.penalty, "objective": model.objective}
+    kinds = ", ".join(f"{n} double" for n in row) + ", flat string, converged boolean"
+    values = (*(float(v) for v in row.values()), ",".join(own.flat), model.converged)
+    frame = spark.createDataFrame([values], kinds)
+    return frame.withColumns({n: significant(F.col(n)) for n in row if n != "penalty"})
 
 
 @query(
     "bgnbd_fit",
     f"""WITH RECURSIVE {CALIBRATION_SQL}, {PURCHASE_FIT_SQL}
-SELECT round(r, 4) AS r, round(alpha, 2) AS alpha, {PURCHASE_PENALTY}::DOUBLE AS penalty,
-       round(objective, 6) AS objective, true AS converged
+SELECT {significant_sql("r")} AS r, {significant_sql("alpha")} AS alpha, {PURCHASE_PENALTY}::DOUBLE AS penalty,
+       {significant_sql("objective")} AS objective,
+       CASE WHEN h22 < 1e-7 AND h33 < 1e-7 THEN 'a,b' ELSE '' END AS flat, true AS converged
 FROM purchase_fit""",
 )
 def bgnbd_fit(spark, folder):
-    # Orders have no drop-out, so a and b run to where the likelihood is flat.
+    # Orders have no drop-out, so a and b run to where the likelihood is flat: they
+    # are named in `flat`; `dropout_fit` has data that tell all four.
     holdout = materialise(repeat_holdout(spark, folder))
     cells = customer_cells(holdout, "frequency_cal", "recency_cal", "T_cal")
-    model = fit_bgnbd(cells, [PURCHASE_PENALTY])[0]
-    return _as_table(spark, model, {"r": 4, "alpha": 2})
+    return _as_table(spark, fit_bgnbd(cells, [PURCHASE_PENALTY])[0], ["r", "alpha"], [])
+
+
+FOLLOWER_RFM_SQL = _repeat_sql(
+    f"""{bindings.FOLLOWERS_SQL},
+daily AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(price) AS spend FROM followers GROUP BY ALL)"""
+)
+
+
+@query(
+    "dropout_fit",
+    f"""WITH RECURSIVE {FOLLOWER_RFM_SQL},
+span AS (SELECT 10.0::DOUBLE / max("T") AS scale FROM rfm),
+cells AS MATERIALIZED (
+  SELECT frequency::DOUBLE AS x, recency * scale AS t_x, "T" * scale AS t_end, count(*)::DOUBLE AS n
+  FROM rfm, span GROUP BY ALL),
+{purchase_fits_sql(_one_problem(PURCHASE_PENALTY))}
+SELECT {", ".join(f"{significant_sql(n)} AS {n}" for n in ("r", "alpha", "a", "b"))},
+       {", ".join(f"{significant_sql(n + '_error')} AS {n}_error" for n in ("r", "alpha", "a", "b"))},
+       {PURCHASE_PENALTY}::DOUBLE AS penalty, {significant_sql("objective")} AS objective, '' AS flat, true AS converged
+FROM (SELECT *, {_errors_sql(4, ["r", "alpha", "a", "b"], "(SELECT sum(n) FROM cells)")} FROM purchase_fits)""",
+)
+def dropout_fit(spark, folder):
+    log = bindings.followers(spark, folder)
+    customers = materialise(rfm.rfm_repeat(log, rfm.last_day(log)))
+    names = ["r", "alpha", "a", "b"]
+    return _as_table(spark, fit_bgnbd(customer_cells(customers), [PURCHASE_PENALTY])[0], names, names)
 
 
 @query(
     "gammagamma_fit",
     f"""WITH RECURSIVE {CALIBRATION_SQL}, {SPEND_FIT_SQL}
-SELECT round(p, 4) AS p, round(q, 4) AS q, round(v, -1) AS v, {SPEND_PENALTY}::DOUBLE AS penalty,
-       round(objective, 6) AS objective, true AS converged
-FROM spend_fit""",
+SELECT {", ".join(f"{significant_sql(n)} AS {n}" for n in ("p", "q", "v"))},
+       {", ".join(f"{significant_sql(n + '_error')} AS {n}_error" for n in ("p", "q", "v"))},
+       {SPEND_PENALTY}::DOUBLE AS penalty, {significant_sql("objective")} AS objective, '' AS flat, true AS converged
+FROM (SELECT *, {_errors_sql(3, ["p", "q", "v"], "(SELECT count(*) FROM spent)")} FROM spend_fit)""",
 )
 def gammagamma_fit(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     spend = repeat_spend(holdout, "frequency_cal", "monetary_value_cal")
-    model = fit_gammagamma(spend, [SPEND_PENALTY])[0]
-    return _as_table(spark, model, {"p": 4, "q": 4, "v": -1})
+    names = ["p", "q", "v"]
+    return _as_table(spark, fit_gammagamma(spend, [SPEND_PENALTY])[0], names, names)
+
+
+ERRORS = ("mse", "rmse", "mae")
 
 
 def _fitted_scores_sql(label: str, source: str) -> str:
-    digits = (4, 4, 4) if label == "bgnbd" else (-5, 0, 0)
-    return f"""SELECT '{label}' AS model, count(*) AS customers, round(avg(error * error), {digits[0]}) AS mse,
-       round(sqrt(avg(error * error)), {digits[1]}) AS rmse, round(avg(abs(error)), {digits[2]}) AS mae,
-       true AS usable FROM {source}"""
+    errors = {"mse": "avg(error * error)", "rmse": "sqrt(avg(error * error))", "mae": "avg(abs(error))"}
+    return f"""SELECT '{label}' AS model, count(*) AS customers,
+       {", ".join(f"{significant_sql(e)} AS {n}" for n, e in errors.items())}, true AS usable FROM {source}"""
 
 
 @query(
@@ -595,23 +781,59 @@ UNION ALL {_fitted_scores_sql("gammagamma_forecast", "forecast_spend")}""",
 def holdout_scores(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
-    scores = (
-        score_purchases(holdout, purchases)
-        .unionByName(score_spend(holdout, spend))
-        .unionByName(score_spend(holdout, spend, from_holdout=False))
-    )
-    counted = F.col("model") == "bgnbd"
-    return scores.drop("l2").withColumns(
-        {
-            name: F.when(counted, F.round(name, 4)).otherwise(F.round(name, digits))
-            for name, digits in {"mse": -5, "rmse": 0, "mae": 0}.items()
-        }
-    )
-
-
-@query("penalty_grid")
+    scores = score_both(holdout, purchases, spend).drop("l2")
+    return scores.withColumns({name: significant(F.col(name)) for name in ERRORS})
+
+
+def _grid_sql() -> str:
+    """All penalties of the grid in one recursion, then their scores and ranks."""
+    problems = "SELECT id, l2 FROM grid"
+    grid = ", ".join(f"({i}, {p!r}::DOUBLE)" for i, p in enumerate(PENALTY_GRID))
+    z = f"({HOLDOUT_DAYS}::DOUBLE / (alpha + e + {HOLDOUT_DAYS}))"
+
+    def spend(part: str) -> str:
+        weight = f"(p * frequency_{part} / (p * frequency_{part} + q - 1))"
+        return f"""SELECT id, l2, q > 1 AS usable,
+         monetary_value_holdout - ((1 - {weight}) * (v * p / (q - 1)) + {weight} * monetary_value_{part}) AS error
+  FROM spend_fits, repeaters"""
+
+    return f"""WITH RECURSIVE {CALIBRATION_SQL}, {_CELLS_SQL}, {_SPENT_SQL},
+grid AS (SELECT * FROM (VALUES {grid}) g(id, l2)),
+{purchase_fits_sql(problems)}, {spend_fits_sql(problems)},
+kinds AS MATERIALIZED (
+  SELECT frequency_cal::DOUBLE AS x, recency_cal::DOUBLE AS t, "T_cal"::DOUBLE AS e,
+         frequency_holdout::DOUBLE AS actual, count(*)::DOUBLE AS n FROM repeaters GROUP BY ALL),
+-- Each term of the series from the one before, once for every (r, b, count) pair with its z.
+series AS (
+  SELECT id, l2, x, t, e, actual, n, r, alpha, a, b,
+         list_reduce(list_prepend({{'s': 1.0::DOUBLE, 'u': 1.0::DOUBLE}},
+           list_transform(range(0, 400), lambda k: {{'s': k::DOUBLE, 'u': 0.0::DOUBLE}})),
+           lambda c, k: {{'s': c.s + c.u * (r + x + k.s) * (b + x + k.s) / ((a + b + x - 1 + k.s) * (k.s + 1)) * {z},
+                         'u': c.u * (r + x + k.s) * (b + x + k.s) / ((a + b + x - 1 + k.s) * (k.s + 1)) * {z}}}).s AS series
+  FROM purchase_fits, kinds),
+purchase_scores AS (
+  SELECT id, l2, true AS usable, n, actual
+         - (a + b + x - 1) / (a - 1) * (1 - series * pow((alpha + e) / (alpha + e + {HOLDOUT_DAYS}), r + x))
+           / (1 + a / (b + greatest(x, 1) - 1) * pow((alpha + e) / (alpha + t), r + x)) AS error
+  FROM series),
+errors AS (
+  SELECT 'bgnbd' AS model, l2, usable, n, error FROM purchase_scores
+  UNION ALL SELECT 'gammagamma_holdout', l2, usable, 1.0, error FROM ({spend("holdout")})
+  UNION ALL SELECT 'gammagamma_forecast', l2, usable, 1.0, error FROM ({spend("cal")})),
+scores AS (
+  SELECT model, l2, sum(n)::BIGINT AS customers, sum(n * error * error) / sum(n) AS mse,
+         sqrt(sum(n * error * error) / sum(n)) AS rmse, sum(n * abs(error)) / sum(n) AS mae, usable
+  FROM errors GROUP BY ALL)
+SELECT model, l2, customers, {", ".join(f"{significant_sql(n)} AS {n}" for n in ERRORS)}, usable,
+       row_number() OVER (PARTITION BY model ORDER BY usable DESC, mse, l2) = 1 AND usable AS best,
+       l2 IN ((SELECT min(l2) FROM grid), (SELECT max(l2) FROM grid)) AS at_edge
+FROM scores"""
+
+
+@query("penalty_grid", _grid_sql())
 def penalty_grid_query(spark, folder):
-    return penalty_grid(calibration_holdout(spark, folder), PENALTY_GRID)
+    scores = penalty_grid(calibration_holdout(spark, folder), PENALTY_GRID)
+    return scores.withColumns({name: significant(F.col(name)) for name in ERRORS})
 
 
 @query(
@@ -619,18 +841,16 @@ def penalty_grid_query(spark, folder):
     f"""WITH RECURSIVE {CALIBRATION_SQL}, {PURCHASE_FIT_SQL}, {SPEND_FIT_SQL},
 later AS (WITH {ORDER_RFM_SQL} SELECT * FROM rfm),
 rfm AS (SELECT * FROM later), {_ltv_sql(FITTED_PURCHASES, FITTED_SPEND)}
-SELECT user_id, frequency, recency, "T", monetary_value, round(ltv, -4) AS ltv,
-       round(predicted_purchases, 2) AS predicted_purchases,
-       round(predicted_monetary_value, -3) AS predicted_monetary_value
+SELECT user_id, frequency, recency, "T", monetary_value,
+       {", ".join(f"{significant_sql(n)} AS {n}" for n in ("ltv", "predicted_purchases", "predicted_monetary_value"))}
 FROM customers""",
 )
 def ltv_fitted(spark, folder):
     holdout = materialise(repeat_holdout(spark, folder))
     purchases, spend = fit_both(holdout, [PURCHASE_PENALTY], [SPEND_PENALTY], "_cal")
     valued = with_lifetime_value(repeat_customers(spark, folder), purchases[0], spend[0])
-    # Rounded to where searches that stop at different last digits agree.
-    digits = {"ltv": -4, "predicted_purchases": 2, "predicted_monetary_value": -3}
-    return valued.withColumns({name: F.round(name, d) for name, d in digits.items()})
+    names = ("ltv", "predicted_purchases", "predicted_monetary_value")
+    return valued.withColumns({name: significant(F.col(name)) for name in names})
 
 
 # ----------------------------------------------------------------- segments

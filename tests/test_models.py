@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from footfall.models import bgnbd, gammagamma, value
+from footfall.functions import special
+from footfall.models import bgnbd, fitting, gammagamma, value
 from footfall.models.bgnbd import BetaGeo
 from footfall.models.gammagamma import GammaGamma
 
@@ -31,34 +32,55 @@ def simulate(count, seed, horizon=0.0):
     return pd.DataFrame({"frequency": x, "recency": last, "T": end, "later": later})
 
 
-def numeric_gradient(kernel, arrays, point):
+def numeric_slopes(function, point, step=1e-5):
+    """Central differences of a vector function of the parameters."""
     out = []
     for i, p in enumerate(point):
-        step = 1e-6 * p
         up, down = point.copy(), point.copy()
-        up[i] += step
-        down[i] -= step
-        high, low = (kernel(arrays, np.array([q]))[:, 0, 0] for q in (up, down))
-        out.append((high - low) / (2 * step))
-    return np.stack(out, axis=1)
+        up[i] += step * p
+        down[i] -= step * p
+        out.append((function(up) - function(down)) / (2 * step * p))
+    return np.array(out)
 
 
-def test_bgnbd_gradient():
-    arrays = {
-        "frequency": np.array([0.0, 1.0, 5.0, 40.0]),
-        "recency": np.array([0.0, 3.0, 8.0, 9.9]),
-        "T": np.array([10.0, 9.0, 10.0, 10.0]),
-    }
-    point = np.array([0.7, 2.0, 0.6, 1.8])
-    got = bgnbd._likelihood(arrays, point[None])[:, 0, 1:]
-    assert np.allclose(got, numeric_gradient(bgnbd._likelihood, arrays, point), rtol=1e-5, atol=1e-7)
-
-
-def test_gammagamma_gradient():
-    arrays = {"frequency": np.array([1.0, 4.0, 30.0]), "monetary_value": np.array([5.0, 80.0, 31.5])}
-    point = np.array([3.0, 2.2, 20.0])
-    got = gammagamma._likelihood(arrays, point[None])[:, 0, 1:]
-    assert np.allclose(got, numeric_gradient(gammagamma._likelihood, arrays, point), rtol=1e-5, atol=1e-7)
+KERNELS = {
+    "bgnbd": (
+        bgnbd,
+        {
+            "frequency": np.array([0.0, 1.0, 5.0, 40.0, 1.0]),
+            "recency": np.array([0.0, 3.0, 8.0, 9.9, 9.0]),
+            "T": np.array([10.0, 9.0, 10.0, 10.0, 9.0]),
+        },
+        [np.array([0.7, 2.0, 0.6, 1.8]), np.array([9.0, 11.0, 1e-6, 0.01])],
+    ),
+    "gammagamma": (
+        gammagamma,
+        {"frequency": np.array([1.0, 4.0, 30.0, 4.0]), "monetary_value": np.array([5.0, 80.0, 31.5, 2.0])},
+        [np.array([3.0, 2.2, 20.0]), np.array([0.4, 30.0, 1.0])],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_kernel_sums_slopes_and_curvature(name):
+    module, arrays, points = KERNELS[name]
+    weights = np.array([1.0, 3.0, 2.0, 5.0, 1.0])[: len(arrays["frequency"])]
+    size = len(points[0])
+    sums = lambda p: module._sums(arrays, weights, p[None])[0]
+    both = module._sums(arrays, weights, np.array(points))
+    for point, row in zip(points, both, strict=True):
+        assert row[0] == pytest.approx(weights @ module._log_likelihood(arrays, point[None])[:, 0], rel=1e-12)
+        slopes = numeric_slopes(lambda p: sums(p)[0], point)
+        assert np.allclose(row[1 : size + 1], slopes, rtol=1e-5, atol=1e-6 * abs(row[0]))
+        upper = numeric_slopes(lambda p: sums(p)[1 : size + 1], point)[np.triu_indices(size)]
+        assert np.allclose(row[size + 1 :], upper, rtol=1e-4, atol=1e-4 * np.abs(row[1 : size + 1]).max())
+
+
+def test_trigamma():
+    assert special.trigamma(1.0) == pytest.approx(np.pi**2 / 6, rel=1e-13)
+    assert special.trigamma(0.5) == pytest.approx(np.pi**2 / 2, rel=1e-13)
+    z = np.array([1e-6, 0.3, 2.0, 9.9, 10.1, 400.0])
+    assert np.allclose(special.trigamma(z), special.trigamma(z + 1) + 1 / z**2, rtol=1e-12)
 
 
 def test_bgnbd_recovers_parameters(spark):
@@ -70,6 +92,38 @@ def test_bgnbd_recovers_parameters(spark):
     assert model.a / (model.a + model.b) == pytest.approx(TRUE.a / (TRUE.a + TRUE.b), rel=0.1)
 
 
+def test_standard_errors_cover_the_truth_and_shrink_with_customers(spark):
+    fits = {}
+    for count in (4_000, 36_000):
+        cells = bgnbd.customer_cells(spark.createDataFrame(simulate(count, 11)))
+        fits[count] = bgnbd.fit_bgnbd(cells, [0.0])[0]
+        own = fits[count].certainty
+        assert own.flat == ()
+        for name, error in own.errors.items():
+            assert abs(getattr(fits[count], name) - getattr(TRUE, name)) < 4 * error
+    few, many = (fits[c].certainty.errors for c in (4_000, 36_000))
+    assert all(2.0 < few[n] / many[n] < 4.5 for n in few)
+
+
+def test_data_without_drop_out_leave_both_of_its_parameters_flat(spark):
+    rng = np.random.default_rng(12)
+    end = np.full(3000, 100.0)
+    x = rng.poisson(rng.gamma(2.0, 0.05, 3000) * end).astype(float)
+    last = np.where(x > 0, end * rng.random(3000) ** (1 / np.maximum(x, 1)), 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"frequency": x, "recency": last, "T": end}))
+    model = bgnbd.fit_bgnbd(bgnbd.customer_cells(df), [1e-4])[0]
+    assert model.converged and model.certainty.flat == ("a", "b")
+    assert np.isnan(model.certainty.errors["a"]) and model.certainty.errors["r"] > 0
+    assert model.a >= fitting.LEAST
+
+
+def test_expectation_at_a_equal_to_one_is_the_limit():
+    args = (30.0, np.array([0.0, 3.0]), np.array([0.0, 20.0]), np.array([50.0, 40.0]))
+    at = lambda a: bgnbd.expected_purchases_at(BetaGeo(0.9, 12.0, a, 2.5), *args)
+    assert np.allclose(at(1.0), (at(1.001) + at(0.999)) / 2, rtol=1e-5)
+    assert np.allclose(at(1.0 + 1e-9), at(1.0), rtol=1e-8)
+
+
 def test_expectation_matches_simulation(spark):
     sample = simulate(200_000, 2, horizon=30.0)
     predicted = bgnbd.expected_purchases_at(
@@ -150,6 +204,16 @@ def test_grid_equals_single_fits(spark):
     assert grid[0].r > grid[2].r
 
 
+def test_long_grid_continues_from_neighbours_to_the_same_optima(spark):
+    cells = bgnbd.customer_cells(spark.createDataFrame(simulate(2000, 5)))
+    penalties = [10.0 ** (-4 + 0.2 * i) for i in range(20)][::-1]
+    for model in bgnbd.fit_bgnbd(cells, penalties)[::6]:
+        alone = bgnbd.fit_bgnbd(cells, [model.penalty])[0]
+        assert model.converged
+        for name in ("r", "alpha", "a", "b"):
+            assert getattr(model, name) == pytest.approx(getattr(alone, name), rel=1e-6)
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "actual double, predicted double")
     assert tuple(value.error_scores(df, "actual", "predicted").first()) == (2.0, math.sqrt(2.0), 1.0)
@@ -191,7 +255,7 @@ def test_spend_score_uses_the_chosen_part(spark):
         assert row["mse"] == pytest.approx((off**2).mean())
 
 
-def test_penalty_grid_marks_one_best_per_model(spark):
+def grid_holdout(spark):
     sample = simulate(800, 6, horizon=30.0)
     money = spend_sample(len(sample), 7)
     holdout = pd.DataFrame(
@@ -202,14 +266,33 @@ def test_penalty_grid_marks_one_best_per_model(spark):
             "duration_holdout": 30,
         }
     )
-    rows = value.penalty_grid(spark.createDataFrame(holdout), [0.001, 0.1]).collect()
+    return spark.createDataFrame(holdout)
+
+
+RANKINGS = ("bgnbd", "gammagamma_holdout", "gammagamma_forecast")
+
+
+def test_penalty_grid_marks_one_best_per_model(spark):
+    rows = value.penalty_grid(grid_holdout(spark), [0.001, 0.1]).collect()
     assert len(rows) == 6
     assert all(r["at_edge"] for r in rows)
-    for model in ("bgnbd", "gammagamma_holdout", "gammagamma_forecast"):
+    for model in RANKINGS:
         own = [r for r in rows if r["model"] == model]
         assert [r["l2"] for r in own if r["best"]] == [min(own, key=lambda r: r["mse"])["l2"]]
 
 
+def test_penalty_search_refines_inside_the_bracket(spark):
+    holdout, penalties = grid_holdout(spark), [1e-5, 1e-3, 1e-1, 10.0]
+    coarse = {r["model"]: r for r in value.penalty_grid(holdout, penalties).filter("best").collect()}
+    found = {r["model"]: r for r in value.penalty_search(holdout, penalties, between=4).collect()}
+    assert set(found) == set(RANKINGS)
+    for model, row in found.items():
+        at = penalties.index(coarse[model]["l2"])
+        assert row["grid_l2"] == penalties[at] and row["mse"] <= coarse[model]["mse"]
+        assert penalties[max(at - 1, 0)] <= row["l2"] <= penalties[min(at + 1, 3)]
+        assert row["at_edge"] == (row["l2"] in (1e-5, 10.0))
+
+
 def test_nothing_to_fit(spark):
     empty = spark.createDataFrame([], "frequency double, recency double, T double")
     with pytest.raises(ValueError):
