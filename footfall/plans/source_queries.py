@@ -170,24 +170,41 @@ def csv_roundtrip(spark, folder):
     "csv_union_drift",
     f"""WITH {bindings.RAW_COMMENTS_SQL}
 SELECT event_id, user_id, comment_date, content,
-       CASE WHEN content IS NOT NULL THEN comment_like END AS comment_like,
-       CASE WHEN content IS NULL THEN chapter END AS chapter
+       CASE WHEN content IS NOT NULL AND content <> 'click' THEN comment_like END AS comment_like,
+       CASE WHEN content IS NULL THEN chapter END AS chapter,
+       CASE WHEN content = 'purchase' THEN chapter::VARCHAR END AS seen,
+       CASE WHEN content = 'click' THEN concat(comment_like, '|', chapter) END AS surplus
 FROM raw_comments""",
 )
 def csv_union_drift(spark, folder):
-    # Two file families of one folder: moderated rows carry no likes, the
-    # others no chapter, and their columns come in another order.
+    # Four file families of one folder: moderated rows carry no likes, most others no
+    # chapter, and columns come in another order. Purchases name theirs by a header
+    # cell with a line break; clicks have two cells more than their header.
     path = scratch_path(spark, "drift csv 댓글")
     raw = bindings.raw_comments(spark, folder)
-    live = raw.filter(F.col("content").isNotNull()).select(
-        "event_id", "user_id", "comment_date", "content", "comment_like"
+    kind = F.col("content")
+    common = ["event_id", "user_id", "comment_date", "content"]
+    clicks = F.concat_ws(",", *common, "comment_like", "chapter").alias(",".join(common))
+    csv_files.write_csv_folder(
+        raw.filter(~kind.isin("purchase", "click")).select(*common, "comment_like"), f"{path}/live"
     )
-    moderated = raw.filter(F.col("content").isNull()).select(
-        "chapter", "comment_date", "content", "event_id", "user_id"
+    csv_files.write_csv_folder(
+        raw.filter(kind.isNull()).select("chapter", "comment_date", "content", "event_id", "user_id"),
+        f"{path}/moderated",
+    )
+    csv_files.write_csv_folder(
+        raw.filter(kind == "purchase").select(F.col("chapter").alias("seen\nat"), *common, "comment_like"),
+        f"{path}/paid",
+    )
+    raw.filter(kind == "click").select(clicks).write.csv(
+        f"{path}/clicks", header=True, sep="\u0001", quote="\u0000"
+    )
+    both = csv_files.read_csv_union(spark, path, FILE_LAYOUT, multiline=True)
+    both = materialise(
+        both.withColumnRenamed("seen\nat", "seen")
+        .withColumn("surplus", F.array_join(csv_files.SURPLUS, "|"))
+        .drop(csv_files.SURPLUS)
     )
-    csv_files.write_csv_folder(live, f"{path}/live")
-    csv_files.write_csv_folder(moderated, f"{path}/moderated")
-    both = materialise(csv_files.read_csv_union(spark, path, FILE_LAYOUT))
     remove_scratch(spark, path)
     return both
 

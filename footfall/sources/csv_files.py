@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import csv
+import io
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 READ_OPTIONS = {"header": "true", "encoding": "UTF-8", "escape": '"', "mode": "FAILFAST"}
+SURPLUS = "_surplus"
 
 
 def read_csv_folder(
@@ -39,26 +44,94 @@ def _files(reader, suffix: str):
     return reader.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
 
 
-def file_headers(spark: SparkSession, prefix: str, suffix: str = ".csv") -> DataFrame:
-    """(path, header line) of every file, from one text scan.
-
-    The header is the first row of the split that begins the file.
-    """
-    lines = (
+def _first_lines(spark: SparkSession, prefix: str, suffix: str) -> DataFrame:
+    """(path, line, value) of the split that begins each file, in order of `line`."""
+    return (
         _files(spark.read, suffix)
         .text(prefix)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
-            "value",
             F.monotonically_increasing_id().alias("line"),
+            "value",
         )
         .filter(F.col("start") == 0)
+        .drop("start")
     )
-    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+
+
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first record of each file from its lines in order: lines until all quotes are closed."""
+    done, path, held = None, None, []
+    for batch in batches:
+        paths = batch.column(0)
+        if done is not None and paths[0].as_py() == done == paths[-1].as_py():
+            continue
+        found: list[tuple[str, str]] = []
+        for own, value in zip(paths.to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own == done:
+                continue
+            if own != path:
+                if held:
+                    found.append((path, "\n".join(held)))
+                path, held = own, []
+            held.append(value)
+            if sum(line.count('"') for line in held) % 2 == 0:
+                found.append((path, "\n".join(held)))
+                done, path, held = own, None, []
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["path", "header"]
+            )
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array(["\n".join(held)])], names=["path", "header"])
+
+
+def file_headers(
+    spark: SparkSession, prefix: str, suffix: str = ".csv", multiline: bool = False
+) -> DataFrame:
+    """(path, header record) of every file, from one text scan.
+
+    The header is the first record of the split that begins the file. Without
+    `multiline` it is one line, folded in the map tasks; with it, lines are read on
+    until the quotes of the record are closed.
+    """
+    lines = _first_lines(spark, prefix, suffix)
+    if multiline:
+        first = lines.select("path", "value").mapInArrow(_whole_records, "path string, header string")
+    else:
+        first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
     return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
 
 
+def header_names(header: str) -> list[str]:
+    """Column names of a header record.
+
+    A name that repeats gets `.1`, `.2` and so on, and one without a name is
+    `Unnamed: ` with its place, so that every place can be kept.
+    """
+    names: list[str] = []
+    for place, name in enumerate(next(csv.reader(io.StringIO(header, newline="")), [])):
+        name, again = name or f"Unnamed: {place}", 0
+        while (f"{name}.{again}" if again else name) in names:
+            again += 1
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cells_beyond(record: pd.Series, width: pd.Series) -> pd.Series:
+    """Cells of a raw record from place `width` on; null without a record."""
+
+    def cut(raw, at):
+        if raw is None:
+            return None
+        cells = next(csv.reader(io.StringIO(raw, newline="")), [])
+        return [cell or None for cell in cells[int(at) :]]
+
+    return pd.Series([cut(r, w) for r, w in zip(record, width, strict=True)], dtype=object)
+
+
 def read_csv_union(
     spark: SparkSession,
     prefix: str,
@@ -66,6 +139,7 @@ def read_csv_union(
     suffix: str = ".csv",
     multiline: bool = False,
     undeclared: str = "keep",
+    surplus: str = "keep",
 ) -> DataFrame:
     """Union of files whose headers differ, matched by column name.
 
@@ -74,16 +148,25 @@ def read_csv_union(
     `"drop"` leaves them out. All files are read in one scan by position, with as
     many places as the widest header, and each row takes its names from the
     header of its file. Only the distinct headers reach the driver. A cell that
-    does not parse as its declared type fails the job; a row with more cells than
-    the widest header loses the rest, one with fewer is filled with NULL.
+    does not parse as its declared type fails the job; a row with fewer cells is
+    filled with NULL.
+
+    Cells beyond a file's own header come last, as the array `_surplus`, null for
+    rows without any; `surplus="fail"` raises with path and record instead, and
+    `"drop"` leaves them out. A header with a line break inside quotes needs
+    `multiline`, as rows with one do; without it, it raises.
     """
-    if undeclared not in ("keep", "fail", "drop"):
-        raise ValueError("undeclared must be 'keep', 'fail' or 'drop'")
-    headers = file_headers(spark, prefix, suffix)
+    for name, given in (("undeclared", undeclared), ("surplus", surplus)):
+        if given not in ("keep", "fail", "drop"):
+            raise ValueError(f"{name} must be 'keep', 'fail' or 'drop'")
+    headers = file_headers(spark, prefix, suffix, multiline)
     layouts = {
-        row["header"]: next(csv.reader([row["header"]]), [])
+        row["header"]: header_names(row["header"])
         for row in headers.select("header").distinct().collect()
     }
+    broken = [header for header in layouts if header.count('"') % 2]
+    if broken:
+        raise ValueError(f"a header goes on after its line ends, read with multiline: {broken[:3]}")
     declared = {field.name: field.dataType for field in schema.fields}
     extra = sorted({name for names in layouts.values() for name in names} - set(declared))
     if extra and undeclared == "fail":
@@ -91,17 +174,22 @@ def read_csv_union(
     if undeclared == "drop":
         extra = []
     wanted = declared | {name: T.StringType() for name in extra}
+    kept = surplus == "keep"
     widest = max((len(names) for names in layouts.values()), default=0)
     if not widest:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType(
+            [*schema.fields, *([T.StructField(SURPLUS, T.ArrayType(T.StringType()))] if kept else [])]
+        ))
     places = [f"_c{i}" for i in range(widest)]
+    # Rows that do not have exactly the widest number of cells also give their raw record.
+    raw = [] if surplus == "drop" else ["_raw"]
     rows = (
         _files(spark.read, suffix)
-        .schema(", ".join(f"{place} string" for place in places))
-        .options(**READ_OPTIONS | {"mode": "PERMISSIVE"})
+        .schema(", ".join(f"{place} string" for place in [*places, *raw]))
+        .options(**READ_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"})
         .option("multiLine", str(multiline).lower())
         .csv(prefix)
-        .select(F.col("_metadata.file_path").alias("_path"), *places)
+        .select(F.col("_metadata.file_path").alias("_path"), *places, *raw)
     )
     named = rows.join(headers.withColumnRenamed("path", "_path"), "_path")
 
@@ -115,7 +203,27 @@ def read_csv_union(
             found = F.when(F.col("header").isin(of), F.col(places[place])).otherwise(found)
         return found.cast(wanted[name]).alias(name)
 
-    return named.select(*[cell(name) for name in wanted])
+    if surplus == "drop":
+        return named.select(*[cell(name) for name in wanted])
+    width = F.lit(0)
+    for count in sorted({len(names) for names in layouts.values()}):
+        width = F.when(F.col("header").isin([h for h, n in layouts.items() if len(n) == count]), count).otherwise(width)
+    # Only records with more separators than the widest header can hold more cells than were read.
+    longer = F.regexp_count("_raw", F.lit(",")) >= widest
+    beyond = F.coalesce(
+        _cells_beyond(F.when(longer, F.col("_raw")), F.col("_width")),
+        F.slice(F.array(*places), F.col("_width") + 1, F.lit(widest)),
+    )
+    named = named.withColumn("_width", width).withColumn(SURPLUS, beyond)
+    named = named.withColumn(SURPLUS, F.when(F.exists(SURPLUS, lambda c: c.isNotNull()), F.col(SURPLUS)))
+    if not kept:
+        told = F.concat(
+            F.lit("cells beyond the header in "), "_path", F.lit(": "),
+            F.coalesce("_raw", F.array_join(F.array(*places), ",", "")),
+        )
+        named = named.filter(F.when(F.col(SURPLUS).isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
+        return named.select(*[cell(name) for name in wanted])
+    return named.select(*[cell(name) for name in wanted], SURPLUS)
 
 
 def write_csv_folder(df: DataFrame, path: str) -> None:

@@ -59,8 +59,8 @@ def test_union_of_different_headers(spark, tmp_path):
     (tmp_path / "3.csv").write_text('﻿a,"b",extra\n3,z,drop\n')
     (tmp_path / "4.csv").write_text("a,b\n4,\n")
     got = csv_files.read_csv_union(spark, str(tmp_path), layout)
-    assert got.columns == ["a", "b", "c", "extra"]
-    assert as_rows(got.drop("extra")) == [(1, "x", None), (2, None, 9), (3, "z", None), (4, None, None)]
+    assert got.columns == ["a", "b", "c", "extra", "_surplus"]
+    assert as_rows(got.drop("extra", "_surplus")) == [(1, "x", None), (2, None, 9), (3, "z", None), (4, None, None)]
     assert [r["extra"] for r in got.filter("a = 3").collect()] == ["drop"]
 
 
@@ -72,9 +72,10 @@ def test_union_keeps_undeclared_columns_and_odd_paths(spark, tmp_path):
     (folder / "2.csv").write_text("a,extra\n2,more\n")
     (folder / "3.csv").write_text("a")
     got = csv_files.read_csv_union(spark, str(folder), layout)
-    assert got.columns == ["a", "b", "extra"]
-    assert as_rows(got) == [(1, "x", None), (2, None, "more")]
-    assert csv_files.read_csv_union(spark, str(folder), layout, undeclared="drop").columns == ["a", "b"]
+    assert got.columns == ["a", "b", "extra", "_surplus"]
+    assert as_rows(got) == [(1, "x", None, None), (2, None, "more", None)]
+    dropped = csv_files.read_csv_union(spark, str(folder), layout, undeclared="drop", surplus="drop")
+    assert dropped.columns == ["a", "b"]
     with pytest.raises(ValueError, match="extra"):
         csv_files.read_csv_union(spark, str(folder), layout, undeclared="fail")
     (folder / "4.csv").write_text("a,b\nno number,x\n")
@@ -82,6 +83,52 @@ def test_union_keeps_undeclared_columns_and_odd_paths(spark, tmp_path):
         csv_files.read_csv_union(spark, str(folder), layout).collect()
 
 
+def test_union_keeps_cells_beyond_the_header(spark, tmp_path):
+    layout = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    (tmp_path / "1.csv").write_text('a,b\n3,4,5\n4,"x,y"\n5,x,,\n6,x,,"q, ""r""",7,8\n7\n')
+    (tmp_path / "2.csv").write_text("b,a,c\nx,1,2,3\ny,2\n")
+    got = csv_files.read_csv_union(spark, str(tmp_path), layout)
+    assert as_rows(got) == [
+        (1, "x", "2", ["3"]), (2, "y", None, None), (3, "4", None, ["5"]), (4, "x,y", None, None),
+        (5, "x", None, None), (6, "x", None, [None, 'q, "r"', "7", "8"]), (7, None, None, None),
+    ]
+    # A narrower selection reads the same cells.
+    assert as_rows(got.select("a")) == [(i,) for i in range(1, 8)]
+    assert got.filter("_surplus IS NOT NULL").count() == 3
+    with pytest.raises(Exception, match="(?s)cells beyond the header in file.*csv: "):
+        csv_files.read_csv_union(spark, str(tmp_path), layout, surplus="fail").collect()
+    dropped = csv_files.read_csv_union(spark, str(tmp_path), layout, surplus="drop")
+    assert dropped.columns == ["a", "b", "c"] and dropped.count() == 7
+    with pytest.raises(ValueError, match="surplus must be"):
+        csv_files.read_csv_union(spark, str(tmp_path), layout, surplus="ignore")
+
+
+def test_headers_with_line_breaks_repeats_and_blanks(spark, tmp_path):
+    layout = T.StructType([T.StructField("a", T.LongType())])
+    (tmp_path / "1.csv").write_text('\ufeff"c\nd",a,"e ""f""\ng"\n1,2,3\n"4\n5",6,7,8\n')
+    (tmp_path / "2.csv").write_text("a,x,x,\n9,10,11,12\n")
+    (tmp_path / "3.csv").write_text("")
+    (tmp_path / "4.csv").write_text("a")
+    got = csv_files.read_csv_union(spark, str(tmp_path), layout, multiline=True)
+    assert got.columns == ["a", "Unnamed: 3", "c\nd", 'e "f"\ng', "x", "x.1", "_surplus"]
+    assert as_rows(got) == [
+        (2, None, "1", "3", None, None, None), (6, None, "4\n5", "7", None, None, ["8"]),
+        (9, "12", None, None, "10", "11", None),
+    ]
+    with pytest.raises(ValueError, match="read with multiline"):
+        csv_files.read_csv_union(spark, str(tmp_path), layout)
+
+
+def test_many_files_in_one_task_give_each_its_header(spark, tmp_path):
+    layout = T.StructType([T.StructField("k", T.LongType())])
+    for i in range(60):
+        (tmp_path / f"{i}.csv").write_text(f'"n\n{i % 3}",k\n' + f"{i},{i}\n" * (i % 5))
+    got = csv_files.read_csv_union(spark, str(tmp_path), layout, multiline=True)
+    assert got.columns == ["k", "n\n0", "n\n1", "n\n2", "_surplus"]
+    want = [(i, *[str(i) if i % 3 == j else None for j in range(3)], None) for i in range(60) for _ in range(i % 5)]
+    assert as_rows(got) == sorted(want, key=str)
+
+
 def test_block_records_keep_their_own_fields(spark):
     html = "<t>title</t><r><u>a</u><n>1</n></r><r><u>b</u></r><r><u>c</u><n>3</n></r><r><n>4</n></r><r><u>e</u><n>x</n></r>"
     pages = spark.createDataFrame([(1, html), (2, "none"), (3, None)], "page_id long, html string")
