@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from footfall.llm.common import Workspace, mix64, raw_texts, runs, whole_groups, words_of
 from footfall.llm.components import connected
 
+_COLUMNS_AT_ONCE = 4096
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, registers binary"
 
 
@@ -38,7 +39,6 @@ class Settings:
     bands: int = 25
     rows: int = 5
     margin: float = 5.0
-    nearest_rounds: int = 2
 
     def __post_init__(self):
         if self.registers & (self.registers - 1) or self.registers > 256:
@@ -285,98 +285,188 @@ def _confirmed(
     return grouped.mapInArrow(compare, "u long, v long")
 
 
-def _across(
-    members: DataFrame, classes: DataFrame, settings: Settings, block: int, nearest: bool
-) -> DataFrame:
-    """Promising pairs inside a band bucket whose ends lie in different components.
+SETS = "group long, rep long, component long, n_shingles long, registers binary, shingles array<long>"
+
+
+def _shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(group, rep, component, text) with registers and the whole shingle set."""
+
+    def cut(batches):
+        for batch in batches:
+            sets = [shingle_set(text, settings.width) for text in raw_texts(batch)]
+            # One id may have several texts, some of them empty.
+            full = np.array([len(x) > 0 for x in sets], dtype=bool)
+            sets = [x for x in sets if len(x)]
+            kept = [batch.column(i).filter(pa.array(full)) for i in range(3)]
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *kept, pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([registers_of(x, settings).tobytes() for x in sets], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ],
+                names=["group", "rep", "component", "n_shingles", "registers", "shingles"],
+            )
+
+    return rows.select("group", "rep", "component", "text").mapInArrow(cut, SETS)
+
+
+def _with_partners(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
+    """Sets that could link with another one of their group.
+
+    A link needs `percent` of a set's shingles in common with its partner, so a set
+    whose own shingles, found nowhere else in the group, are too many links with
+    none. Such sets, which abound where many texts were changed a lot, leave
+    before any pair is formed. Groups that fit one block are not worth the count.
+    """
+    large = (
+        sets.groupBy("group").agg(F.sum("n_shingles").alias("all")).filter(F.col("all") > block).select("group")
+    )
+    own = (
+        sets.join(large, "group", "left_semi")
+        .select("group", "rep", F.explode("shingles").alias("shingle"))
+        .groupBy("group", "shingle")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep"))
+        .filter("rows = 1")
+        .groupBy("group", "rep")
+        .agg(F.count(F.lit(1)).alias("own"))
+    )
+    counted = sets.join(own, ["group", "rep"], "left")
+    common = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    return counted.filter(100 * common >= settings.percent * F.col("n_shingles")).drop("own")
+
 
-    With `nearest`, each visiting row gives its most similar partner only.
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets on the left with sets on the right.
 
-    The largest component of a bucket need not be compared with itself, so its
-    rows meet only those of the others. Rows of the others go to every block of
-    the bucket and all rows have one home block; a group holds one block of
-    each, so it is bounded however large the bucket.
+    Only shingles on both sides count; they are taken some thousand at a time, each
+    a column of two indicator matrices whose product adds to the counts.
     """
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    ends = np.append(starts[1:], len(flat))
+    # Within a shingle owners ascend, so the first is on the left and the last on the right.
+    both = (owner[starts] < len(left)) & (owner[ends - 1] >= len(left))
+    column = np.repeat(np.cumsum(both) - 1, ends - starts)
+    held = np.repeat(both, ends - starts)
+    column, owner = column[held], owner[held]
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(both.sum()), _COLUMNS_AT_ONCE):
+        low, high = np.searchsorted(column, [first, first + _COLUMNS_AT_ONCE])
+        dense = np.zeros((len(left) + len(right), _COLUMNS_AT_ONCE), dtype=np.float32)
+        dense[owner[low:high], column[low:high] - first] = 1.0
+        counts += dense[: len(left)] @ dense[len(left) :].T
+    return counts
+
+
+def _joining(components: np.ndarray, others: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (i, j) as few as join all components that they join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    i, j = np.nonzero(link)
+    _, first = np.unique(np.stack([components[i], others[j]]), axis=1, return_index=True)
+    kept = []
+    for at in first.tolist():
+        a, b = root(int(components[i[at]])), root(int(others[j[at]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append((int(i[at]), int(j[at])))
+    return kept
+
+
+def _across(sets: DataFrame, settings: Settings, block: int) -> DataFrame:
+    """Links that join different components of a group, found on full sets.
+
+    The largest component of a group need not be compared with itself, so its
+    sets meet only those of the others. Sets of the others go to every block of
+    the group and all sets have one home block; a block holds sets of about `block`
+    shingles together, and a task one block of each side. In a pair of blocks the
+    corrected estimates drop sets without a promising partner, the others are
+    compared in full, and as few links leave as join what is linked.
+    """
+    sizes = sets.groupBy("group", "component").agg(F.sum("n_shingles").alias("held"))
     mixed = (
-        sizes.groupBy("key")
+        sizes.groupBy("group")
         .agg(
             F.count(F.lit(1)).alias("components"),
-            F.sum("rows").alias("all_rows"),
-            F.max(F.struct("rows", "component")).alias("main"),
+            F.sum("held").alias("all"),
+            F.max(F.struct("held", "component")).alias("main"),
         )
         .filter("components > 1")
         .select(
-            "key",
+            "group",
             F.col("main.component").alias("main"),
-            F.ceil(F.col("all_rows") / block).cast("int").alias("homes"),
-            F.ceil((F.col("all_rows") - F.col("main.rows")) / block).cast("int").alias("visits"),
+            F.ceil(F.col("all") / block).cast("int").alias("homes"),
+            F.ceil((F.col("all") - F.col("main.held")) / block).cast("int").alias("visits"),
         )
     )
-    rows = members.join(mixed, "key").join(
-        classes.select("rep", "n_shingles", "registers"), "rep"
-    )
+    rows = sets.join(mixed, "group")
+    carried = ("rep", "component", "n_shingles", "registers", "shingles")
     home = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("visits") - 1)).alias("visit"),
-        F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int").alias("home"),
-        F.lit(0).alias("side"), "rep", "component", "n_shingles", "registers",
-        (F.col("component") == F.col("main")).alias("inner"),
+        "group", F.explode(F.sequence(F.lit(0), F.col("visits") - 1)).alias("visit"),
+        F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int").alias("home"), F.lit(0).alias("side"), *carried,
     )
     visit = rows.filter("component <> main").select(
-        "key", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("visits")).cast("int").alias("visit"),
-        F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"),
-        F.lit(1).alias("side"), "rep", "component", "n_shingles", "registers",
-        F.lit(False).alias("inner"),
+        "group", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("visits")).cast("int").alias("visit"),
+        F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"), F.lit(1).alias("side"), *carried,
     )
     grouped = (
         home.unionByName(visit)
-        .repartition("key", "visit", "home")
-        .sortWithinPartitions("key", "visit", "home", "side")
+        .repartition("group", "visit", "home")
+        .sortWithinPartitions("group", "visit", "home", "side")
     )
 
-    def meet(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        key, visit_no, home_no, side, rep, comp, size = (
-            table.column(i).to_numpy() for i in range(7)
-        )
-        registers = _register_matrix(table.column(7), settings)
-        inner = table.column(8).to_numpy(zero_copy_only=False)
-        left, right = [], []
-        for start, end in runs(key, visit_no, home_no):
-            cut = start + int(np.searchsorted(side[start:end], 1))
-            if cut == start or cut == end:
-                continue
-            for at in range(cut, end):
-                other = np.arange(start, cut)
-                # A pair of two visitors is met from both ends; one is enough.
-                other = other[
-                    (comp[start:cut] != comp[at]) & (inner[start:cut] | (rep[start:cut] > rep[at]))
-                ]
-                if not len(other):
-                    continue
-                equal = (registers[other] == registers[at]).sum(axis=1)
-                good = worth_checking(equal, size[other], np.full(len(other), size[at]), settings)
-                keep = other[good]
-                if nearest and len(keep) > 1:
-                    keep = keep[[int(np.argmax(equal[good]))]]
-                if len(keep):
-                    left.append(np.minimum(rep[keep], rep[at]))
-                    right.append(np.maximum(rep[keep], rep[at]))
-        return left, right
+    def meet(table: pa.Table, start: int, cut: int, end: int) -> list[tuple[int, int]]:
+        rep, comp, size = (table.column(i).to_numpy()[start:end] for i in (4, 5, 6))
+        registers = _register_matrix(table.column(7).slice(start, end - start), settings)
+        at = cut - start
+        promising = np.empty((at, end - cut), dtype=bool)
+        for j in range(end - cut):
+            equal = (registers[:at] == registers[at + j]).sum(axis=1)
+            promising[:, j] = worth_checking(equal, size[:at], np.full(at, size[at + j]), settings)
+        promising &= comp[:at, None] != comp[None, at:]
+        i, j = np.flatnonzero(promising.any(axis=1)), np.flatnonzero(promising.any(axis=0))
+        if not len(i):
+            return []
+        column = table.column(8).slice(start, end - start).combine_chunks()
+        edges = column.offsets.to_numpy()
+        values = column.values.to_numpy()
+        sets_of = lambda places: [values[edges[k] : edges[k + 1]] for k in places]
+        common = _common_counts(sets_of(i), sets_of(at + j))
+        union = size[i][:, None] + size[at + j][None, :] - common
+        link = (100 * common >= settings.percent * union) & (comp[i][:, None] != comp[at + j][None, :])
+        return [
+            (int(rep[i[x]]), int(rep[at + j[y]])) for x, y in _joining(comp[i], comp[at + j], link)
+        ]
 
     def search(batches):
         for table in whole_groups(batches, 3):
-            left, right = meet(table)
-            if left:
+            group, visit_no, home_no, side = (table.column(i).to_numpy() for i in range(4))
+            found: list[tuple[int, int]] = []
+            for start, end in runs(group, visit_no, home_no):
+                cut = start + int(np.searchsorted(side[start:end], 1))
+                if start < cut < end:
+                    found += meet(table, start, cut, end)
+            if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
-                    names=["hub", "rep"],
+                    [pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["u", "v"]
                 )
 
-    return grouped.mapInArrow(search, "hub long, rep long").distinct()
+    return grouped.mapInArrow(search, "u long, v long")
 
 
 def near_duplicates(
-    docs: DataFrame, settings: Settings = Settings(), block: int = 512
+    docs: DataFrame, settings: Settings = Settings(), block: int = 100_000
 ) -> DataFrame:
     """Shingle-set size, component and whether the document stays.
 
@@ -387,11 +477,11 @@ def near_duplicates(
     2. Each band bucket compares its members with its smallest id (linear in the
        bucket), each class with its most similar hub only; links are confirmed
        on full sets and joined to components.
-    3. Members of a bucket that are still in different components are compared
-       with each other in bounded blocks. For some rounds each gives its most
-       similar partner in another component, so a large group soon is one
-       component; the last round gives every pair that is left. Links inside a
-       component could change nothing, so none is lost.
+    3. Buckets that share members form a group. Where a group still holds several
+       components, sets that share too little with the rest of it leave, and the
+       others are compared across components in blocks of about `block` shingles.
+       Links inside a component could change nothing, so none is lost, and what
+       leaves a task is a few links, however many texts are alike.
 
     Null and empty texts have no shingles and link with nothing. Rows that share a
     `doc_id` are one node, linked wherever any of their texts is. A null `doc_id`
@@ -414,35 +504,37 @@ def near_duplicates(
         .filter("members > 1")
         .select("key", "hub")
     )
-    members = work.stage(bands.join(hubs, "key"), "members")
-    wanted = members.select("rep").distinct()
+    near = work.stage(
+        bands.join(hubs, "key").filter("hub <> rep").select("hub", "rep").distinct(), "near"
+    )
+    wanted = near.select("rep").union(near.select("hub")).distinct()
     texts = work.stage(
         slim.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
         .withColumnRenamed("doc_id", "rep"),
         "texts",
     )
-    stars = _promising(
-        members.filter("hub <> rep").select("hub", "rep").distinct(), classes, settings
-    )
     nearest = (
-        stars.groupBy("rep")
+        _promising(near, classes, settings).groupBy("rep")
         .agg(F.max(F.struct("estimate", -F.col("hub"))).alias("best"))
         .select((-F.col("best.col2")).alias("hub"), "rep")
     )
-    links = work.stage(_confirmed(nearest, texts, settings), "links_0")
-    plain = members.select("key", "rep")
-    for turn in range(1, settings.nearest_rounds + 2):
-        found = work.stage(connected(links), f"found_{turn}")
-        labelled = plain.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        last = turn > settings.nearest_rounds
-        pairs = work.stage(_across(labelled, classes, settings, block, not last), f"pairs_{turn}")
-        if not pairs.take(1):
-            break
-        more = work.stage(_confirmed(pairs, texts, settings), f"links_{turn}")
-        links = links.unionByName(more)
-    work.drop("members", "texts")
+    links = work.stage(_confirmed(nearest, texts, settings), "links")
+    found = connected(links).withColumnRenamed("node", "rep")
+    groups = connected(near.select(F.col("hub").alias("u"), F.col("rep").alias("v"))).select(
+        F.col("node").alias("rep"), F.col("component").alias("group")
+    )
+    placed = groups.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = work.stage(placed, "placed")
+    contested = (
+        placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high").select("group")
+    )
+    # Several rows of one id may hold the same text.
+    open_ = placed.join(contested, "group", "left_semi").join(texts, "rep")
+    sets = work.stage(_shingle_sets(open_, settings), "sets")
+    sets = sets.withColumn("code", F.xxhash64("shingles")).dropDuplicates(["group", "rep", "code"]).drop("code")
+    more = work.stage(_across(_with_partners(sets, settings, block), settings, block), "more")
+    work.drop("near", "texts", "placed", "sets")
     # A document belongs with its class; one id with several texts joins their classes.
     with_rep = signed.filter("doc_id IS NOT NULL").join(
         classes.select("h1", "h2", "rep"), ["h1", "h2"], "left"
@@ -451,7 +543,7 @@ def near_duplicates(
         F.col("doc_id").alias("u"), F.col("rep").alias("v")
     )
     labels = work.stage(
-        connected(links.unionByName(own)), "components"
+        connected(links.unionByName(more).unionByName(own)), "components"
     )
     work.drop("classes")
     return signed.select("doc_id", "n_shingles").join(

@@ -70,13 +70,57 @@ def test_equals_comparing_all_pairs(spark, docs_of, seed, words, edits):
 
 def test_large_group_of_near_copies_in_small_blocks(spark, docs_of):
     rows = corpus(4, 1, (150, 150), (200, 200), 9)
-    check(rows, H.near_duplicates(docs_of(rows), block=16).collect())
+    check(rows, H.near_duplicates(docs_of(rows), block=3000).collect())
 
 
-def test_last_round_alone_finds_every_link(spark, docs_of):
+def test_blocks_alone_find_every_link(spark, docs_of, monkeypatch):
     rows = corpus(5, 2, (40, 40), (200, 200), 9)
-    settings = H.Settings(nearest_rounds=0)
-    check(rows, H.near_duplicates(docs_of(rows), settings, block=16).collect())
+    hubs = H._confirmed
+    monkeypatch.setattr(H, "_confirmed", lambda *a: hubs(*a).filter("false"))
+    check(rows, H.near_duplicates(docs_of(rows), block=1000).collect())
+
+
+def test_group_of_2000_near_copies_gives_few_candidates(spark, docs_of, monkeypatch):
+    """Similar to each other from 0.6 to 0.95, so many pairs lie near the threshold."""
+    rows = corpus(6, 1, (2000, 2000), (150, 150), 8)
+    counts = {}
+
+    def counted(name):
+        inner = getattr(H, name)
+
+        def run(*args):
+            out = inner(*args).cache()
+            counts[name] = out.count()
+            return out
+
+        monkeypatch.setattr(H, name, run)
+
+    for name in ("_promising", "_confirmed", "_across"):
+        counted(name)
+    got = H.near_duplicates(docs_of(rows)).collect()
+    assert counts["_promising"] <= 25 * 2000 and counts["_confirmed"] <= 2000 and counts["_across"] <= 4000
+    check(rows, got)
+
+
+def test_sets_without_a_partner_leave_before_pairs(spark):
+    rows = [(1, i, i, 100, b"", list(range(100 * (i < 5))) or [10_000 * i + k for k in range(100)]) for i in range(8)]
+    rows.append((1, 9, 9, 100, b"", [*range(84), *range(900_000, 900_016)]))
+    rows.append((1, 10, 10, 100, b"", [*range(85), *range(800_000, 800_015)]))
+    sets = spark.createDataFrame(rows, H.SETS)
+    kept = lambda block: {r["rep"] for r in H._with_partners(sets, H.Settings(), block).collect()}
+    assert kept(500) == {0, 1, 2, 3, 4, 10}
+    assert kept(5000) == {*range(8), 9, 10}
+
+
+def test_counts_of_common_shingles():
+    rng = np.random.default_rng(8)
+    for columns in (3, 4096):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(12)]
+        old, H._COLUMNS_AT_ONCE = H._COLUMNS_AT_ONCE, columns
+        got = H._common_counts(sets[:5], sets[5:])
+        H._COLUMNS_AT_ONCE = old
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert H._common_counts([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
 
 
 def test_nulls_empties_ties_and_repeats(spark, docs_of):
