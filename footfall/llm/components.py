@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from footfall.session import materialise
 
+_LINKS_PER_TASK = 20_000
+
 
 def _nearest(edges: DataFrame) -> DataFrame:
     """Each u of (u, v) with the smallest v, folded in the map tasks first."""
@@ -40,12 +42,16 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             break
+        # Few links need few tasks; many keep the partitions they have.
+        tasks = before[0] // _LINKS_PER_TASK + 1
+        links = links.coalesce(tasks)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _nearest(both).select("u", F.least("u", "low").alias("low"))
         large = (
             both.join(low, "u")
             .filter("v > u AND v <> low")
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
+            .coalesce(tasks)
             .distinct()
         )
         low = _nearest(large)
@@ -55,9 +61,10 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
             .unionByName(low.withColumnRenamed("low", "v"))
             .filter("u <> v")
+            .coalesce(tasks)
             .distinct()
         )
-        links = materialise(small)
+        links = materialise(small.coalesce(tasks))
         after = _state(links)
         if after == before:
             break

@@ -21,6 +21,7 @@ from footfall.llm.common import Workspace, mix64, raw_texts, runs, whole_groups,
 from footfall.llm.components import connected
 
 _COLUMNS_AT_ONCE = 4096
+_SLOTS = 1 << 20
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, registers binary"
 
 
@@ -285,6 +286,19 @@ def _confirmed(
     return grouped.mapInArrow(compare, "u long, v long")
 
 
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among the wanted `rep`s.
+
+    A first sieve drops most others before anything is shuffled: it holds the slots,
+    of a fixed number, that wanted keys fall into, so it never has more rows than
+    that. Where nearly all slots are taken it sieves little and the join alone decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS))
+    taken = wanted.select(slot("rep").alias("slot")).distinct()
+    sieved = rows.join(F.broadcast(taken), slot(key) == F.col("slot"), "left_semi")
+    return sieved.join(wanted.withColumnRenamed("rep", key), key, "left_semi")
+
+
 SETS = "group long, rep long, component long, n_shingles long, registers binary, shingles array<long>"
 
 
@@ -507,34 +521,34 @@ def near_duplicates(
     near = work.stage(
         bands.join(hubs, "key").filter("hub <> rep").select("hub", "rep").distinct(), "near"
     )
-    wanted = near.select("rep").union(near.select("hub")).distinct()
-    texts = work.stage(
-        slim.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .withColumnRenamed("doc_id", "rep"),
-        "texts",
-    )
+    wanted = work.stage(near.select("rep").union(near.select("hub")).distinct(), "wanted")
+    texts = work.stage(_only(slim, "doc_id", wanted).withColumnRenamed("doc_id", "rep"), "texts")
+    sides = work.stage(_only(classes, "rep", wanted), "sides")
     nearest = (
-        _promising(near, classes, settings).groupBy("rep")
+        _promising(near, sides, settings).groupBy("rep")
         .agg(F.max(F.struct("estimate", -F.col("hub"))).alias("best"))
         .select((-F.col("best.col2")).alias("hub"), "rep")
     )
     links = work.stage(_confirmed(nearest, texts, settings), "links")
-    found = connected(links).withColumnRenamed("node", "rep")
-    groups = connected(near.select(F.col("hub").alias("u"), F.col("rep").alias("v"))).select(
-        F.col("node").alias("rep"), F.col("component").alias("group")
+    found = connected(links)
+    in_part = wanted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("component")
     )
-    placed = groups.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = work.stage(placed, "placed")
-    contested = (
-        placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high").select("group")
+    in_part = work.stage(in_part, "in_part")
+    # Components that share a bucket, whose members may yet link.
+    touching = (
+        near.join(in_part.withColumnRenamed("component", "v"), "rep")
+        .join(in_part.select(F.col("rep").alias("hub"), F.col("component").alias("u")), "hub")
+        .filter("u <> v")
+        .select("u", "v")
     )
+    groups = connected(touching).select(F.col("node").alias("component"), F.col("component").alias("group"))
     # Several rows of one id may hold the same text.
-    open_ = placed.join(contested, "group", "left_semi").join(texts, "rep")
+    open_ = in_part.join(groups, "component").join(texts, "rep")
     sets = work.stage(_shingle_sets(open_, settings), "sets")
     sets = sets.withColumn("code", F.xxhash64("shingles")).dropDuplicates(["group", "rep", "code"]).drop("code")
     more = work.stage(_across(_with_partners(sets, settings, block), settings, block), "more")
-    work.drop("near", "texts", "placed", "sets")
+    work.drop("near", "wanted", "texts", "sides", "in_part", "sets")
     # A document belongs with its class; one id with several texts joins their classes.
     with_rep = signed.filter("doc_id IS NOT NULL").join(
         classes.select("h1", "h2", "rep"), ["h1", "h2"], "left"
