@@ -8,7 +8,7 @@ columns of `documents`.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import hyperminhash, mixing, packing, quality
@@ -41,13 +41,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = (
         hyperminhash.near_duplicates(docs, NEAR).filter("NOT kept").select("doc_id").distinct()
     )
-    stay = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    repeated = stay.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    work = Workspace(spark, "kept-documents")
+    stay = work.stage(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "stay")
+    repeated = stay.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.take(1):
         return stay
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    first = stay.withColumn("_row", F.row_number().over(order))
-    return first.filter("_row = 1 OR doc_id IS NULL").drop("_row")
+    # The first by its values is folded in the map tasks, however often an id repeats.
+    row = F.struct(*[F.col(f"`{c}`") for c in stay.columns])
+    first = (
+        stay.join(repeated, "doc_id", "left_semi")
+        .groupBy(F.col("doc_id").alias("id"))
+        .agg(F.min_by(row, F.to_json(row)).alias("row"))
+        .select("row.*")
+    )
+    return stay.join(repeated, "doc_id", "left_anti").select(stay.columns).unionByName(first)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
