@@ -191,3 +191,14 @@ def test_pipeline_drops_copies_with_an_added_block(spark, docs_of):
     assert {r["kept"] for r in H.near_duplicates(docs_of(rows)).collect()} == {True}
     stay = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "")
     assert sorted(r["doc_id"] for r in stay.collect()) == [1, 3]
+
+
+def test_pipeline_keeps_one_row_of_an_id_whatever_its_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, {"a": 1}, 5), (1, text + " more", {"b": 2}, 4), (None, text, None, 3), (None, text, None, 3), (2, "x y", {}, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row map<string,int>, id int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    found = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    assert [r["doc_id"] for r in found] == [1, 2, None, None] and found[0]["_row"] == {"a": 1}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
