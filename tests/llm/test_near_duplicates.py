@@ -200,5 +200,5 @@ def test_pipeline_keeps_one_row_of_an_id_whatever_its_columns(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     found = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
-    assert [r["doc_id"] for r in found] == [1, 2, None, None] and found[0]["_row"] == {"a": 1}
+    assert [r["doc_id"] for r in found] == [1, 2, None, None] and found[0]["_row"] == {"b": 2}
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
