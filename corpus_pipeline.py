@@ -35,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id.
 
-    Of rows that share the id that stays, the first by their values stays. Rows
+    Of rows that share the id that stays, the first as JSON stays. Rows
     without an id all stay.
     """
     gone = (
@@ -46,7 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = stay.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not repeated.take(1):
         return stay
-    # The first by its values is folded in the map tasks, however often an id repeats.
+    # The first by its values, written as JSON, is folded in the map tasks, however
+    # often an id repeats.
     row = F.struct(*[F.col(f"`{c}`") for c in stay.columns])
     first = (
         stay.join(repeated, "doc_id", "left_semi")
