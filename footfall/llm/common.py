@@ -65,9 +65,9 @@ class Workspace:
         self._files = self._hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.deleteOnExit(self._hadoop)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
-        df.write.parquet(target)
+        df.write.parquet(target, compression=codec)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, *names: str) -> None:

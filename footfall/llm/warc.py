@@ -13,7 +13,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +53,12 @@ def record_head(
         f"Content-Length: {len(http) + (0 if revisit else size)}",
     ]
     if url is not None:
-        # Control characters and white space would break the header line.
-        lines.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
+        # A target holds no control characters, blanks or characters beyond ASCII; a
+        # url that does is given whole as well, so that it comes back as it was.
+        target = quote(url, safe=_SAFE)
+        lines.append(f"WARC-Target-URI: {target}")
+        if target != url or not url:
+            lines.append(f"Page-URL: {quote(url, safe='')}")
     if page_id is not None:
         lines.append(f"Page-Number: {page_id}")
     if revisit:
@@ -203,54 +207,83 @@ class RecordReader:
         else:
             size = int(self._http[b"content-length"])
         number, first = fields.get(b"page-number"), fields.get(b"page-number-referred")
-        url = fields.get(b"warc-target-uri")
+        url, whole = fields.get(b"warc-target-uri"), fields.get(b"page-url")
+        url = unquote(whole.decode()) if whole is not None else None if url is None else url.decode()
         return (
-            None if number is None else int(number), None if url is None else url.decode(),
-            size, digest, kind, None if first is None else int(first),
+            None if number is None else int(number), url, size, digest, kind, None if first is None else int(first),
         )
 
 
+_SCHEMA = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+        ("broken", pa.string()),
+    ]
+)
+
+
+def _parse(batches: Iterable, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of `_SCHEMA`; a record that does not read to its end raises, or is named in `broken`."""
+    at: str | None = None
+    reader: RecordReader | None = None
+
+    def attempt(step):
+        nonlocal reader
+        try:
+            return step()
+        except (ValueError, KeyError):
+            if strict:
+                raise
+            reader = None
+            return None
+
+    def close() -> list[tuple]:
+        if at is None:
+            return []
+        row = attempt(reader.finish) if reader is not None else None
+        return [(*row, None) if row else (*[None] * 6, at)]
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [[]] * len(_SCHEMA)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA
+        )
+
+    for batch in batches:
+        found: list[tuple] = []
+        for record, _, data, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if record != at:
+                found += close()
+                at, reader = record, RecordReader()
+            if reader is not None:
+                attempt(lambda d=data, m=mark: reader.feed(d, m))
+        yield rows_of(found)
+    yield rows_of(close())
+
+
 def read_archives(chunks: DataFrame) -> DataFrame:
     """One row per record (`PAGES`) from chunk rows in any order.
 
-    The pieces of a record meet in one task in order and are read as a stream: a
-    task holds the headers of one record and one batch of pieces.
+    `chunks` should be a written table, as it is read twice. First each task reads
+    its rows as they stand, as a stream: headers of one record and one batch of
+    pieces. Records that do not end there, because a split or a file ends first or
+    rows are out of order, are only named; their pieces alone are then brought
+    together and read in order, and one that still does not end raises.
     """
+    work = Workspace(chunks.sparkSession, "read-archives")
+    pieces = chunks.select("record", "chunk", "data", "sha1_so_far")
+    schema = f"{PAGES}, broken string"
+    first = work.stage(pieces.mapInArrow(lambda rows: _parse(rows, False), schema), "first")
+    broken = first.filter("broken IS NOT NULL").select(F.col("broken").alias("record")).distinct()
     ordered = (
-        chunks.select("record", "chunk", "data", "sha1_so_far")
+        pieces.join(broken, "record", "left_semi")
+        .select("record", "chunk", "data", "sha1_so_far")
         .repartition("record")
         .sortWithinPartitions("record", "chunk")
     )
-    schema = pa.schema(
-        [
-            ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
-            ("payload_digest", pa.string()), ("record_type", pa.string()),
-            ("refers_to", pa.int64()),
-        ]
-    )
-
-    def rows_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) if found else [[]] * len(schema)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)],
-            schema=schema,
-        )
-
-    def parse(batches):
-        at, reader = None, None
-        for batch in batches:
-            found = []
-            for record, _, data, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if record != at:
-                    if reader is not None:
-                        found.append(reader.finish())
-                    at, reader = record, RecordReader()
-                reader.feed(data, mark)
-            yield rows_of(found)
-        if reader is not None:
-            yield rows_of([reader.finish()])
-
-    return ordered.mapInArrow(parse, PAGES)
+    second = ordered.mapInArrow(lambda rows: _parse(rows, True), schema)
+    return first.filter("broken IS NULL").unionByName(second).drop("broken")
 
 
 def archive_stream(rows: Iterable) -> Iterator[bytes]:
@@ -268,9 +301,9 @@ def round_trip(
     is an empty payload. Rows that share the smallest `page_id` of a payload are
     all responses. A null `page_id` is stored as such: it revisits a page with an
     id if there is one, and is a response otherwise. A null url leaves the target
-    out; control characters and blanks in a url are percent-encoded. An empty
-    table gives no rows.
+    out; control characters, blanks and characters beyond ASCII are percent-encoded in
+    the target, and the url itself comes back as it was. An empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "archives")
-    chunks = work.stage(write_archives(pages, least_revisit_bytes, chunk_bytes), "chunks")
+    chunks = work.stage(write_archives(pages, least_revisit_bytes, chunk_bytes), "chunks", codec="zstd")
     return read_archives(chunks)

@@ -168,3 +168,24 @@ def test_a_damaged_or_cut_record_is_refused(spark):
     reader.feed(head)
     with pytest.raises(ValueError):
         reader.feed(b"ab", hashlib.sha1(b"xx").hexdigest())
+
+
+URLS = ["https://x.example/é b", "https://x.example/%20 %C3%A9", "a%20b", "a b", "", " ", None, "x\r\nWARC-Type: revisit", "ü" * 5000]
+
+
+def test_urls_come_back_as_given(spark):
+    rows = [(i, u, f"page {i}") for i, u in enumerate(URLS)]
+    got = warc.round_trip(pages_of(spark, rows)).collect()
+    assert {r["page_id"]: r["url"] for r in got} == dict(enumerate(URLS))
+
+
+def test_records_that_cross_files_or_come_out_of_order(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 400) for i in range(60)]
+    chunks = warc.write_archives(pages_of(spark, rows).coalesce(2), chunk_bytes=100).collect()
+    want = sorted(tuple(r) for r in warc.round_trip(pages_of(spark, rows), chunk_bytes=100).collect())
+    for number, order in enumerate((chunks, chunks[::-1], chunks[1::2] + chunks[::2])):
+        spark.createDataFrame(order, warc.CHUNKS).repartitionByRange(7, "chunk").write.parquet(f"{tmp_path}/{number}")
+        got = warc.read_archives(spark.read.parquet(f"{tmp_path}/{number}"))
+        assert sorted(tuple(r) for r in got.collect()) == want
+    with pytest.raises(Exception, match="damaged or missing|ends before its length|does not match"):
+        warc.read_archives(spark.createDataFrame(chunks[:5] + chunks[6:], warc.CHUNKS)).collect()
