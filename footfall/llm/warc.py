@@ -275,7 +275,9 @@ def read_archives(chunks: DataFrame) -> DataFrame:
     pieces = chunks.select("record", "chunk", "data", "sha1_so_far")
     schema = f"{PAGES}, broken string"
     first = work.stage(pieces.mapInArrow(lambda rows: _parse(rows, False), schema), "first")
-    broken = first.filter("broken IS NOT NULL").select(F.col("broken").alias("record")).distinct()
+    # Written on its own, the list's size is known when the join is planned.
+    named = first.filter("broken IS NOT NULL").select(F.col("broken").alias("record")).distinct()
+    broken = work.stage(named, "broken")
     ordered = (
         pieces.join(broken, "record", "left_semi")
         .select("record", "chunk", "data", "sha1_so_far")
