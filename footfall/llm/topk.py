@@ -16,7 +16,7 @@ from footfall.llm.common import Workspace, runs, whole_groups
 
 CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 2_048
-_EXACT = float(2**53)
+_EXACT, _LONG = float(2**53), float(2**63)
 
 
 def usable(vector: Column) -> Column:
@@ -41,16 +41,25 @@ class SortedLists:
         self.rows = rows
         self.order = np.argsort(rows, axis=0, kind="stable")
         self.values = np.take_along_axis(rows, self.order, axis=0)
+        self.queries = self.stopped_by_bound = self.rows_met = 0
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, ties to smaller ids, but for `own`."""
+        """Ids and scores of the k best rows, ties to smaller ids, but for `own`.
+
+        Lists are read from one row each, in steps that double; after each step the
+        bound is tested. Reading ends when the bound is below the k-th score, or when
+        no row is left that was not met.
+        """
         size = len(self.ids)
         allowed = self.ids != own
         seen = np.zeros(size, dtype=bool)
         scores = np.zeros(size, dtype=self.rows.dtype)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        depth, read = 0, 16
-        while depth < size:
+        if not len(up) and not len(down):
+            # Every row scores 0, so there is no list to read.
+            seen[:] = True
+        depth, read = 0, 1
+        while not seen.all():
             now = min(read, size)
             met = np.zeros(size, dtype=bool)
             met[self.order[size - now : size - depth, up].ravel()] = True
@@ -58,10 +67,6 @@ class SortedLists:
             fresh = np.flatnonzero(met & ~seen)
             seen[fresh] = True
             depth, read = now, now * 2
-            if not len(up) and not len(down) or 4 * np.count_nonzero(seen) > size:
-                # Most rows are met: scoring the others costs less than reading on.
-                scores, seen[:] = self.rows @ query, True
-                break
             scores[fresh] = self.rows[fresh] @ query
             best = scores[seen & allowed]
             if len(best) < k:
@@ -70,7 +75,10 @@ class SortedLists:
             bound = self.values[size - depth, up] @ query[up] + self.values[depth - 1, down] @ query[down]
             # An unread row at the bound could tie with a smaller id, so not at equality.
             if kth > bound:
+                self.stopped_by_bound += 1
                 break
+        self.queries += 1
+        self.rows_met += int(np.count_nonzero(seen))
         found = np.flatnonzero(seen & allowed)
         own_scores = scores[found]
         if len(found) > k:
@@ -155,6 +163,8 @@ def top_products(
                 if largest * block.shape[1] < _EXACT:
                     # Whole numbers this small are exact as doubles, and faster.
                     block, asked = block.astype(np.float64), asked.astype(np.float64)
+                elif largest * block.shape[1] >= _LONG:
+                    raise OverflowError("inner products of these vectors exceed 64 bits")
                 lists = SortedLists(ids[start:cut], block)
                 found = [lists.top(q, own, k) for q, own in zip(asked, ids[cut:end], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -177,8 +187,14 @@ def top_products(
 
 
 def search_embeddings(embeddings: DataFrame, k: int = 20, query_modulus: int = 20) -> DataFrame:
-    """Top products of `embeddings` after scaling components to whole numbers."""
-    rows = embeddings.filter(usable(F.col("embedding"))).select(
+    """Top products of `embeddings` after scaling components to whole numbers.
+
+    A finite component whose scaled value passes 2^53 raises and names its vector.
+    """
+    huge = F.exists("embedding", lambda x: F.abs(x.cast("double")) >= F.lit(_EXACT / 64.0))
+    told = F.concat(F.lit("a component is too large in vector "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))
+    sound = F.when(huge, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    rows = embeddings.filter(usable(F.col("embedding"))).filter(sound).select(
         "vec_id", whole_numbers(F.col("embedding")).alias("vector")
     )
     return top_products(rows, k, query_modulus)

@@ -55,6 +55,30 @@ def test_large_whole_numbers_stay_exact():
     assert ids.tolist() == [7, 6] and scores.tolist() == [2**60 + 3, 2**60 + 2]
 
 
+def test_reading_stops_by_the_bound_where_few_dimensions_decide():
+    rng = np.random.default_rng(9)
+    rows = np.floor(1000 * rng.standard_normal((5000, 8)) * (0.2 ** np.arange(8))).astype(np.int64)
+    lists = topk.SortedLists(np.arange(5000), rows)
+    for q in range(0, 400, 20):
+        ids, scores = lists.top(rows[q], q, 20)
+        all_scores = rows @ rows[q]
+        order = [i for i in np.lexsort((np.arange(5000), -all_scores)) if i != q][:20]
+        assert ids.tolist() == order and scores.tolist() == all_scores[order].tolist()
+    assert lists.queries == 20 and lists.stopped_by_bound == 20 and lists.rows_met < 20 * 2500
+    even = topk.SortedLists(np.arange(300), rng.integers(-50, 50, (300, 64)))
+    even.top(even.rows[3], 3, 20)
+    assert even.rows_met == 300 and even.stopped_by_bound == 0
+    assert topk.SortedLists(np.arange(3), np.ones((3, 2), int)).top(np.zeros(2, int), 1, 5)[0].tolist() == [0, 2]
+
+
+def test_components_too_large_for_exact_scores_raise(spark):
+    with pytest.raises(Exception, match="too large in vector 7"):
+        topk.search_embeddings(vectors_of(spark, [(7, [1e30, 1.0]), (20, [1.0, 2.0])])).collect()
+    wide = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 2])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="exceed 64 bits"):
+        topk.top_products(wide).collect()
+
+
 def links_of(rows, threshold=0.95):
     ids = sorted({i for i, v in rows if i is not None})
     units = {i: [] for i in ids}
