@@ -47,12 +47,18 @@ def test_matches_sql(spark, tables, name):
     assert left == right
 
 
+# Columns that are null where there is nothing to point at.
+NULLABLE = {"op13_license_scan": {"first_word", "last_word"}}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_fitted_queries_run(spark, tables, name):
     _, folder = tables
-    rows = QUERIES[name](spark, folder).collect()
+    df = QUERIES[name](spark, folder)
+    rows = df.collect()
     assert rows
-    assert not any(v is None or v != v for r in rows for v in r)
+    full = [c for c in df.columns if c not in NULLABLE.get(name, ())]
+    assert not any(r[c] is None or r[c] != r[c] for r in rows for c in full)
 
 
 def test_entry(spark, data_root):
