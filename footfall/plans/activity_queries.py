@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from footfall.operators import activity, cleaning, content, dayparts
+from footfall.operators import activity, cleaning, content, daily_state, dayparts
 from footfall.plans.bindings import events
 from footfall.plans.registry import query
+from footfall.session import materialise
 
 RELEASE_DAYS = ["Sunday", "Wednesday"]
 RANGE_START, RANGE_END = "2024-01-08", "2024-01-21"
@@ -17,6 +20,9 @@ daily AS (
          dayname(CAST(ts AS DATE)) AS day_name
   FROM events GROUP BY CAST(ts AS DATE))"""
 
+# As many days as the kept ones of a state cover with their whole window.
+REPORTED_DAYS = 25
+
 TRAILING_SQL = f"""{DAILY_SQL},
 trailing_week AS (
   SELECT d.date, count(DISTINCT e.user_id) AS wau_trailing
@@ -73,6 +79,31 @@ def dau_wau_stickiness(spark, folder):
     return activity.trailing_stickiness(events(spark, folder)).orderBy("date")
 
 
+@query(
+    "trailing_from_state",
+    f"""WITH {TRAILING_SQL}
+SELECT d.date, d.dau, w.wau_trailing FROM daily d JOIN trailing_week w ON d.date = w.date
+WHERE d.date > (SELECT max(date) FROM daily) - {REPORTED_DAYS}""",
+)
+def trailing_from_state(spark, folder):
+    # The log arrives in three parts, errors two days late; each part meets the state
+    # of the one before, and the last state gives the report of all days it covers.
+    log = events(spark, folder)
+    day = F.to_date("ts")
+    arrival = F.date_add(day, F.when(F.col("event_type") == "error", 2).otherwise(0))
+    last = log.agg(F.max(day)).first()[0]
+    if last is None:
+        return daily_state.report(spark.createDataFrame([], daily_state.STATE), dt.date(1970, 1, 1))
+    ends = [last - dt.timedelta(days=back) for back in (10, 5, 0)]
+    state, was = None, None
+    for end in ends:
+        part = log if was is None else log.filter(arrival > F.lit(was))
+        part = part if end == last else part.filter(arrival <= F.lit(end))
+        state = materialise(daily_state.advance(state, was, part, end))
+        was = end
+    return daily_state.report(state, last, REPORTED_DAYS)
+
+
 @query(
     "dau_wau_selfjoin",
     """WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events)
