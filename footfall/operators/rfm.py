@@ -112,6 +112,63 @@ def rfm_repeat(
     )
 
 
+def repeat_state(
+    transactions: DataFrame, user: str = "user_id", ts: str = "ts", price: str = "price"
+) -> DataFrame:
+    """One row per user that says all `rfm_repeat` needs of a part of the log.
+
+    `user_id, days, first_day, last_day, total, first_spend`. Parts merge as long as a
+    user's day lies in one part, so a part is some whole days of the log; rows
+    without a time are left out.
+    """
+    daily = _daily_spend(transactions.filter(F.col(ts).isNotNull()), user, ts, price)
+    return daily.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("days"),
+        F.min("_day").alias("first_day"),
+        F.max("_day").alias("last_day"),
+        F.sum("_spend").alias("total"),
+        F.min_by("_spend", "_day").alias("first_spend"),
+    )
+
+
+def merge_states(*parts: DataFrame) -> DataFrame:
+    """The state of all parts together, in any order.
+
+    Stretches of days may interleave; the earliest first day keeps its spend. A
+    day that two parts share as first or last day of a user raises, as it would
+    count twice.
+    """
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    ends = F.array_distinct(F.array("first_day", "last_day"))
+    shared = (
+        both.select("user_id", F.explode(ends).alias("day")).groupBy("user_id", "day").count().filter("count > 1")
+    )
+    clash = shared.first()
+    if clash is not None:
+        raise ValueError(f"day {clash['day']} of user {clash['user_id']} lies in two parts")
+    return both.groupBy("user_id").agg(
+        F.sum("days").alias("days"),
+        F.min_by("first_spend", "first_day").alias("first_spend"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
+        F.sum("total").alias("total"),
+    )
+
+
+def rfm_of_state(state: DataFrame, observation_end) -> DataFrame:
+    """`rfm_repeat` from a state whose days all lie up to the observation end."""
+    end = as_day(observation_end)
+    return state.select(
+        "user_id",
+        (F.col("days") - 1).alias("frequency"),
+        F.datediff("last_day", "first_day").alias("recency"),
+        F.datediff(end, "first_day").alias("T"),
+        _mean_after_first(F.col("days"), F.col("total"), F.col("first_spend")).alias("monetary_value"),
+    )
+
+
 def calibration_holdout(
     transactions: DataFrame,
     observation_end,

@@ -184,6 +184,15 @@ def rfm_repeat_orders(spark, folder):
     return rfm.rfm_repeat(log, rfm.last_day(log))
 
 
+@query("rfm_merged", f"WITH {ORDER_RFM_SQL} SELECT * FROM rfm")
+def rfm_merged(spark, folder):
+    # Even and odd months are summed up apart, as parts that arrive one by one.
+    log = bindings.transactions(spark, folder)
+    odd = F.month("ts") % 2 == 1
+    parts = [materialise(rfm.repeat_state(log.filter(part))) for part in (odd, ~odd)]
+    return rfm.rfm_of_state(rfm.merge_states(*parts), rfm.last_day(log))
+
+
 CALIBRATION_SQL = f"""{bindings.TRANSACTIONS_SQL},
 ends AS (SELECT max(day) AS last_day, max(day) - {HOLDOUT_DAYS} AS split FROM txn),
 daily AS (

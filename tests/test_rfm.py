@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from collections import defaultdict
 
 import pytest
@@ -168,3 +169,22 @@ def test_observation_end_reaches_the_scan(spark, data_root):
 def test_last_day_of_empty_log(spark):
     with pytest.raises(ValueError):
         rfm.last_day(spark.createDataFrame([], "ts timestamp_ntz"))
+
+
+def test_merged_daily_states_equal_one_pass(spark):
+    rng = random.Random(4)
+    rows = [
+        (rng.randrange(25), dt.datetime(2024, 1, 1 + rng.randrange(12), rng.randrange(24)), rng.randrange(1, 900))
+        for _ in range(300)
+    ]
+    log = spark.createDataFrame([*rows, (3, None, 5)], "user_id long, ts timestamp_ntz, price long")
+    whole = rfm.rfm_repeat(log.filter("ts IS NOT NULL"), dt.date(2024, 1, 12))
+    days = [rfm.repeat_state(log.filter(f"day(ts) % 4 = {k}")) for k in (2, 0, 3, 1)]
+    merged = rfm.rfm_of_state(rfm.merge_states(*days), dt.date(2024, 1, 12))
+    assert merged.columns == whole.columns
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+    step = rfm.merge_states(rfm.merge_states(days[0], days[1]), rfm.merge_states(days[3], days[2]))
+    assert sorted(map(tuple, rfm.rfm_of_state(step, dt.date(2024, 1, 12)).collect())) == sorted(map(tuple, whole.collect()))
+    with pytest.raises(ValueError, match="lies in two parts"):
+        rfm.merge_states(days[0], days[1], days[0])
+    assert rfm.merge_states(rfm.repeat_state(log.limit(0))).count() == 0
