@@ -898,9 +898,8 @@ FROM (SELECT quantile_cont(ltv, 0.4) AS a, quantile_cont(ltv, 0.6) AS b, quantil
       FROM customers), (VALUES (CAST(0.4 AS DOUBLE)), (CAST(0.6 AS DOUBLE)), (CAST(0.8 AS DOUBLE))) ps(p)""",
 )
 def ltv_quantiles(spark, folder):
-    found = quantiles.exact_quantiles(
-        valued_customers(spark, folder), ["ltv"], list(segments.SEGMENT_QUANTILES)
-    )
+    customers = materialise(valued_customers(spark, folder).select("ltv"))
+    found = quantiles.exact_quantiles(customers, ["ltv"], list(segments.SEGMENT_QUANTILES))
     return found.withColumn("value", F.round("value", 2))
 
 
@@ -941,7 +940,8 @@ SELECT metric, CAST(0.8 AS DOUBLE) AS probability, round(v, 2) AS value,
        CAST(trunc(v) AS BIGINT) AS value_int FROM long""",
 )
 def rfml_top20(spark, folder):
-    top = segments.top_share_thresholds(valued_customers(spark, folder), METRICS)
+    customers = materialise(valued_customers(spark, folder).select(*METRICS))
+    top = segments.top_share_thresholds(customers, METRICS)
     return top.withColumn("value", F.round("value", 2))
 
 

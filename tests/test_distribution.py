@@ -37,6 +37,46 @@ def test_quantiles_of_many_values_and_a_hot_one(spark):
         assert math.isclose(got[("b", p)], 2 * np.percentile(values, p * 100), rel_tol=1e-12)
 
 
+def test_ordered_bits_sort_like_the_doubles():
+    rng = np.random.default_rng(3)
+    values = np.concatenate(
+        [rng.standard_normal(500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, 5e-324, -5e-324, np.inf, -np.inf]]
+    )
+    keys = quantiles.ordered_bits(values)
+    assert (np.argsort(keys) == np.argsort(values)).all()
+    assert (quantiles.from_ordered_bits(keys) == values).all()
+    odd = quantiles.ordered_bits(np.array([-0.0, 0.0, np.inf, -np.nan, np.nan]))
+    assert odd[0] == odd[1] and odd[3] == odd[4] > odd[2]
+
+
+def test_quantiles_read_on_inside_ranges_that_hold_many_rows(spark, monkeypatch):
+    """With a small bound for few rows, every pass down to the last bit is taken."""
+    monkeypatch.setattr(quantiles, "FEW", 2)
+    rng = np.random.default_rng(4)
+    close = 1.0 + rng.integers(0, 400, 2_000) * 2.0**-50
+    wide = rng.standard_normal(2_000) * 10.0 ** rng.integers(-200, 200, 2_000)
+    rows = [("close", float(v)) for v in close] + [("wide", float(v)) for v in wide]
+    rows += [("one", 7.0), ("same", -3.5), ("same", -3.5), ("none", None), (None, 1.0)]
+    long = spark.createDataFrame(rows, "metric string, value double").repartition(5)
+    wanted = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["metric"], r["probability"]): r["value"] for r in quantiles.quantiles_by_metric(long, wanted).collect()}
+    slow = {(r["metric"], r["probability"]): r["value"] for r in quantiles.quantiles_by_slices(long, wanted).collect()}
+    assert got == slow
+    assert set(got) == {(m, p) for m in ("close", "wide", "one", "same") for p in wanted}
+    for name, values in (("close", close), ("wide", wide)):
+        for p in wanted:
+            assert got[(name, p)] == pytest.approx(np.quantile(values, p), rel=1e-15)
+
+
+def test_quantiles_of_more_metrics_than_the_driver_holds(spark):
+    rows = [(i % 300, float(i * 7919 % 1_000)) for i in range(3_000)]
+    long = spark.createDataFrame(rows, "metric int, value double")
+    got = {r["metric"]: r["value"] for r in quantiles.quantiles_by_metric(long, [0.3]).collect()}
+    assert got == {
+        m: pytest.approx(np.quantile([v for k, v in rows if k == m], 0.3)) for m in range(300)
+    }
+
+
 def test_quantiles_skip_nulls_and_empty_input(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
     assert quantiles.quantile_edges(df, ["v"], [0.5])[("v", 0.5)] == 2.0
