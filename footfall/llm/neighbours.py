@@ -3,9 +3,10 @@
 A neighbour graph starts from random-hyperplane blocks and is refined by letting
 every vector's neighbours meet each other. Its strong edges give groups. Vectors whose
 list is full of strong neighbours may have more: they search again, among vectors
-of other groups only, until no two groups have a strong edge between them. Inside
-a group all pairs are compared in bounded blocks. A sample compared with all
-vectors audits the recall, by how many links the vectors have.
+of other groups only, as long as such lists are full too. Inside a group pairs are
+compared in bounded blocks; blocks of a large group whose angles to a pivot differ
+too much for a link do not meet. A sample compared with all vectors audits the
+recall, by how many links the vectors have.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ class Descent:
 
     `slack` is how far below the threshold an edge between vectors rounded to
     bytes may lie and still tie a group; links themselves use double precision.
+    Groups above `block` vectors are cut by their angle to a pivot, in cells of the
+    `cells`-th part of the angle at the threshold.
     """
 
     threshold: float = 0.95
@@ -37,7 +40,8 @@ class Descent:
     most_rounds: int = 6
     settled: float = 0.001
     slack: float = 0.02
-    block: int = 512
+    block: int = 2048
+    cells: int = 4
     audited: int = 512
     recall: float = 0.98
     most_enlargements: int = 2
@@ -118,6 +122,23 @@ def _top_edges(rows: pa.Table, keep: int) -> pa.RecordBatch:
     return _edge_batch([u[best]], [v[best]], [s[best]])
 
 
+def _combined(parts, keep: int, most: int = 1_000_000):
+    """The edges of a task with no more than `keep` of each u among `most` at a time."""
+    waiting, size = [], 0
+    for part in parts:
+        waiting.append(part)
+        size += part.num_rows
+        if size > most:
+            best = _top_edges(pa.Table.from_batches(waiting), keep)
+            waiting, size = [best], best.num_rows
+            # Lists of too many vectors to wait for what may still come.
+            if size > most // 2:
+                yield from waiting
+                waiting, size = [], 0
+    if size:
+        yield _top_edges(pa.Table.from_batches(waiting), keep)
+
+
 def _best_lists(edges: DataFrame, keep: int) -> DataFrame:
     def cut(batches):
         for table in whole_groups(batches, 1):
@@ -211,8 +232,9 @@ def _proposals(
 
     Every vector calls its neighbours and a sample of those that name it, as many
     as twice its list; a pair is compared if one of them is new there. Only what
-    beats the last place of a list and has another `own` is proposed. `paths` are
-    further (u, v) whose ends are called, but no edges of the graph.
+    beats the last place of a list and has another `own` is proposed, and of that no
+    more than a list holds leaves a task, however many centres a vector meets in.
+    `paths` are further (u, v) whose ends are called, but no edges of the graph.
     """
     order = Window.partitionBy("center").orderBy(F.xxhash64("member", F.lit(turn)), "member")
     callers = (
@@ -264,7 +286,7 @@ def _proposals(
                 s.append(like[a, b])
             yield _edge_batch(u, v, s)
 
-    return met.mapInArrow(compare, _EDGES)
+    return met.mapInArrow(lambda batches: _combined(compare(batches), keep), _EDGES)
 
 
 def neighbour_graph(
@@ -304,67 +326,141 @@ def _groups(
 
     A strong edge is in neither list only if both are full of better ones. The
     vectors with such lists are searched again for their best neighbours outside
-    their group, along the lists they have; a strong one joins two groups. As
-    lists then leave out what is joined, a round more finds what they had no room
-    for, until a round finds none.
+    their group, along the lists they have; a strong one joins two groups. The same
+    holds for the lists so found: only vectors whose list was full of strong ones
+    outside can have more, and search again among what is not yet joined. Each turn
+    thus asks fewer vectors or ends.
     """
     strong = graph.filter(F.col("similarity") >= plan.threshold - plan.slack).select("u", "v")
     groups = work.stage(connected(strong), f"{label}-0")
-    full = strong.groupBy("u").count().filter(F.col("count") >= plan.neighbours)
-    crowded = work.stage(
-        points.join(full.select(F.col("u").alias("id")), "id", "left_semi").select(
-            "id", "length", "small"
-        ),
-        f"{label}-crowded",
-    )
-    count, edges, turn = crowded.count(), strong, 0
-    if not count:
-        return groups
-    ends = crowded.select("id")
-    paths = work.stage(
-        strong.join(ends.withColumnRenamed("id", "u"), "u", "left_semi").join(
-            ends.withColumnRenamed("id", "v"), "v", "left_semi"
-        ),
-        f"{label}-paths",
-    )
+    edges, found, asked, paths, turn = strong, strong, points, strong, 0
     while True:
+        full = found.groupBy("u").count().filter(F.col("count") >= plan.neighbours)
+        full = full.select(F.col("u").alias("id"))
         own = groups.select(F.col("node").alias("id"), F.col("component").alias("own"))
-        labelled = work.stage(crowded.join(own, "id"), f"{label}-own-{turn}")
-        if labelled.select("own").distinct().limit(2).count() < 2:
+        crowded = work.stage(
+            asked.select("id", "length", "small").join(full, "id", "left_semi").join(own, "id"),
+            f"{label}-crowded-{turn}",
+        )
+        count = crowded.count()
+        if not count or crowded.select("own").distinct().limit(2).count() < 2:
             return groups
-        outside = neighbour_graph(labelled, count, plan, work, f"{label}-outside-{turn}", paths)
+        ends = crowded.select("id")
+        paths = work.stage(
+            paths.join(ends.withColumnRenamed("id", "u"), "u", "left_semi").join(
+                ends.withColumnRenamed("id", "v"), "v", "left_semi"
+            ),
+            f"{label}-paths-{turn}",
+        )
+        outside = neighbour_graph(crowded, count, plan, work, f"{label}-outside-{turn}/graph", paths)
         found = work.stage(
             outside.filter(F.col("similarity") >= plan.threshold - plan.slack).select("u", "v"),
             f"{label}-found-{turn}",
         )
         if not found.take(1):
             return groups
-        edges, turn = edges.unionByName(found), turn + 1
-        groups = work.stage(connected(edges), f"{label}-{turn}")
+        # The components so far stand for the links they came from.
+        edges = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        joined = work.stage(connected(edges.unionByName(found)), f"{label}-{turn + 1}")
+        work.drop(f"{label}-{turn}", f"{label}-outside-{turn}", f"{label}-found-{turn - 1}")
+        if turn:
+            work.drop(f"{label}-crowded-{turn - 1}", f"{label}-paths-{turn - 1}")
+        groups, asked, turn = joined, crowded, turn + 1
 
 
-def _exact_links(points: DataFrame, groups: DataFrame, plan: Descent, work: Workspace) -> DataFrame:
-    """All links inside groups: rows (u, v, linked, forest).
+def _angles(members: DataFrame) -> DataFrame:
+    """(node, angle) of rows (node, unit, pivot): between the unit vectors."""
+
+    def measure(batches):
+        for batch in batches:
+            units, pivots = _by_length(batch.column(1)), _by_length(batch.column(2))
+            angle = np.empty(batch.num_rows)
+            for at, rows in units:
+                other = next(rows for where, rows in pivots if where[0] == at[0])
+                angle[at] = np.arccos(np.clip((rows * other).sum(axis=1), -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(angle)], names=["node", "angle"])
+
+    return members.select("node", "unit", "pivot").mapInArrow(measure, "node long, angle double")
+
+
+def _by_length(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) of the binary vectors of each length."""
+    values = column.to_pylist()
+    size = np.array([len(x) for x in values])
+    out = []
+    for length in np.unique(size).tolist():
+        at = np.flatnonzero(size == length)
+        rows = np.frombuffer(b"".join(values[i] for i in at), dtype=np.float64)
+        out.append((at, rows.reshape(len(at), -1)))
+    return out
+
 
-    The rows of a group are dealt into blocks and every pair of blocks meets once.
-    A meeting gives how many rows each row is linked with, not the links, and of
-    the links only a forest that connects the same rows, so what leaves it is
-    linear in the rows it read.
+def _blocks_by_angle(large: DataFrame, points: DataFrame, plan: Descent, work: Workspace) -> DataFrame:
+    """Rows of large groups, one for each pair of blocks (low, high) their own is in.
+
+    By the triangle inequality linked vectors' angles to a pivot differ by no more
+    than the angle at the threshold, so other blocks need not meet.
     """
-    sizes = groups.groupBy("component").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(plan.block)).cast("int").alias("blocks")
+    reach = float(np.arccos(plan.threshold)) + 1e-6
+    pivots = points.select(F.col("id").alias("component"), F.col("unit").alias("pivot"))
+    angles = _angles(large.join(pivots, "component"))
+    placed = work.stage(
+        large.select("component", "node")
+        .join(angles, "node")
+        .select(
+            "component", "node", F.floor(F.col("angle") * (plan.cells / reach)).cast("int").alias("cell")
+        ),
+        "cells",
     )
-    rows = (
-        groups.join(sizes, "component")
+    held = placed.groupBy("component", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(plan.block)).cast("int").alias("parts")
+    )
+    # A block's number holds its cell and part.
+    number = lambda cell, part: F.col(cell).cast("long") * F.lit(1 << 31) + part
+    # A group has no more cells than fit in half a turn, so its list is short.
+    near = held.alias("a").join(held.alias("b"), "component").filter(
+        F.abs(F.col("a.cell") - F.col("b.cell")) <= plan.cells
+    )
+    meetings = near.groupBy("component", F.col("a.cell").alias("cell"), F.col("a.parts").alias("parts")).agg(
+        F.flatten(
+            F.collect_list(
+                F.transform(F.sequence(F.lit(0), F.col("b.parts") - 1), lambda part: number("b.cell", part))
+            )
+        ).alias("others")
+    )
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return (
+        placed.join(meetings, ["component", "cell"])
+        .select("component", "node", number("cell", part).alias("own"), F.explode("others").alias("other"))
         .join(points.select(F.col("id").alias("node"), "copies", "unit"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "component", F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"), "own", "node", "copies", "unit",
         )
     )
-    grouped = rows.repartition("component", "low", "high").sortWithinPartitions(
+
+
+def _exact_links(points: DataFrame, groups: DataFrame, plan: Descent, work: Workspace) -> DataFrame:
+    """All links inside groups: rows (u, v, linked, forest).
+
+    The rows of a group are dealt into blocks, by their angle to the group's first
+    vector where they are more than one block, and two blocks meet once, unless
+    angles in them differ by more than that of a link. A meeting gives how many
+    rows each row is linked with, not the links, and of the links only a forest that
+    connects the same rows, so what leaves it is linear in the rows it read.
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    members = groups.join(sizes, "component").join(
+        points.select(F.col("id").alias("node"), "copies", "unit"), "node"
+    )
+    small = members.filter(F.col("members") <= plan.block).select(
+        "component", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("own"),
+        "node", "copies", "unit",
+    )
+    if sizes.filter(F.col("members") > plan.block).take(1):
+        large = members.filter(F.col("members") > plan.block)
+        small = small.unionByName(_blocks_by_angle(large, points, plan, work))
+    grouped = small.repartition("component", "low", "high").sortWithinPartitions(
         "component", "low", "high", "own", "node"
     )
 
@@ -529,7 +625,7 @@ def near_vectors(vectors: DataFrame, plan: Descent = Descent()) -> DataFrame:
         graph = neighbour_graph(lone, count, wider, work, f"graph-{attempt}")
         groups = _groups(points, graph, wider, work, f"groups-{attempt}")
         if attempt:
-            work.drop("links")
+            work.drop("links", "cells")
         links = _exact_links(points, groups, plan, work)
         linked = work.stage(
             links.filter("v < 0").groupBy(F.col("u").alias("id")).agg(

@@ -1,6 +1,7 @@
 """Top-k search and near vectors against comparing all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from footfall.llm import neighbours, topk
@@ -142,6 +143,38 @@ def test_full_lists_do_not_hide_links_between_clusters(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_long_groups_meet_only_where_angles_allow(spark, tmp_path):
+    """A chain of vectors over half a turn: one group in many blocks, few of which meet."""
+    angles = np.linspace(0.0, 3.0, 900)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a)), 0.0]) for i, a in enumerate(angles)]
+    want = links_of(rows)
+    assert want[899][1] == 0
+    plan = neighbours.Descent(block=32, start_block=16)
+    got = neighbours.near_vectors(vectors_of(spark, rows), plan).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    units = neighbours.unit_vectors(vectors_of(spark, rows))
+    points = units.selectExpr("vec_id AS id", "length", "unit", "small", "1L AS copies")
+    large = points.selectExpr("0L AS component", "id AS node", "copies", "unit")
+    work = neighbours.Workspace(spark, "test-blocks")
+    dealt = neighbours._blocks_by_angle(large, points, plan, work).select("low", "high", "node").collect()
+    blocks = {r["low"] for r in dealt} | {r["high"] for r in dealt}
+    met = {(r["low"], r["high"]) for r in dealt}
+    assert len(blocks) > 30 and len(met) < len(blocks) * (len(blocks) + 1) / 4
+
+
+def test_proposals_of_a_task_are_cut_to_a_list():
+    rng = np.random.default_rng(8)
+    u, v = rng.integers(0, 20, 5_000), rng.integers(100, 400, 5_000)
+    s = (u * 31 + v * 17) % 997 / 997
+    parts = [neighbours._edge_batch([u[i : i + 100]], [v[i : i + 100]], [s[i : i + 100]]) for i in range(0, 5_000, 100)]
+    whole = neighbours._top_edges(pa.Table.from_batches(parts), 8).to_pylist()
+    for most in (10, 200, 1_000):
+        cut = list(neighbours._combined(iter(parts), 8, most))
+        assert neighbours._top_edges(pa.Table.from_batches(cut), 8).to_pylist() == whole
+        # Lists that fill half the room leave at once; others wait for what may come.
+        assert most < 1_000 or sum(b.num_rows for b in cut) <= 20 * 8
+
+
 def test_audit_judges_few_and_many_links_apart(spark):
     rows = [(k, [1.0, 0.001 * k, 0.0]) for k in range(60)] + [(100, [0.0, 0.0, 1.0]), (101, [0.0, 0.01, 1.0])]
     units = neighbours.unit_vectors(vectors_of(spark, rows))
