@@ -52,6 +52,11 @@ TALK = frozenset(
 )
 STATES = frozenset("has no with without".split())
 WRAPPERS = frozenset("form fieldset".split())
+# Words of a heading that announces what a text rests on.
+SOURCES = frozenset(
+    "source sources reference references note notes footnotes citations bibliography literature "
+    "quellen literatur fuentes referencias références".split()
+)
 SHORT = 250
 
 # A quote opens a value only behind an equals sign. As the last character looked at
@@ -325,7 +330,9 @@ _LISTS = frozenset("ul ol dl table div section".split())
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by two line breaks.
 
-    Null, empty and text-free pages give the empty text. Where little is left beside
+    Null, empty and text-free pages give the empty text. Lists and divisions that are
+    mostly links stay between paragraphs of the article, around sentences, and
+    under headings that announce sources. Where little is left beside
     what names or forms have dropped, the page is read again: with the marks of
     other people's text alone, and if there still is no text, without any. The
     text is then taken if it is four times as long as a short one or ten times as
@@ -395,11 +402,47 @@ def _article(root: _Node, nodes: list[_Node]) -> str:
     def menu(node: _Node) -> bool:
         return node.tag in _LISTS and node.anchors > 1 and _density(node) > 0.5
 
-    kept: dict[int, bool] = {}
+    # Of each node, whether it is part of the article, and the outermost part of it
+    # that is mostly links and holds the node.
+    inside: dict[int, bool] = {}
+    links: dict[int, int | None] = {}
     for node in nodes:
-        above = node.parent is not None and kept[node.parent.order]
-        kept[node.order] = node.order in keep or (above and not menu(node))
-    return "\n\n".join(text for owner, text, _ in blocks if kept[owner.order])
+        above = node.parent is not None and inside[node.parent.order]
+        inside[node.order] = above or node.order in keep
+        outer = links[node.parent.order] if above and node.order not in keep else None
+        if outer is None and above and node.order not in keep and menu(node):
+            outer = node.order
+        links[node.order] = outer
+    kept = _kept_links(
+        [(owner, text, linked, links[owner.order]) for owner, text, linked in blocks if inside[owner.order]]
+    )
+    return "\n\n".join(
+        text
+        for owner, text, _ in blocks
+        if inside[owner.order] and (links[owner.order] is None or links[owner.order] in kept)
+    )
+
+
+def _kept_links(blocks: list[tuple[_Node, str, int, int | None]]) -> set[int]:
+    """Link-rich parts that belong to the article.
+
+    Those that stand between its paragraphs, hold a sentence around their links, or
+    follow a heading that announces sources. Others lead to other pages.
+    """
+    plain = [at for at, (owner, _, _, part) in enumerate(blocks) if part is None and owner.tag not in HEADINGS]
+    kept: set[int] = set()
+    sources = False
+    for at, (owner, text, linked, part) in enumerate(blocks):
+        if owner.tag in HEADINGS:
+            words = re.findall(r"\w+", text.lower())
+            sources = len(words) <= 4 and not SOURCES.isdisjoint(words)
+        if part is None:
+            continue
+        between = plain and plain[0] < at < plain[-1]
+        sentence = 0 < linked < len(text) and _SENTENCE_END.search(text)
+        if between or sentence or sources:
+            kept.add(part)
+    return kept
 
 
 def extract(pages: DataFrame) -> DataFrame:

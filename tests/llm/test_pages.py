@@ -86,6 +86,28 @@ def test_deep_pages_are_read_in_linear_time():
         assert time.perf_counter() - begin < 30, part
 
 
+A, B = '<a href="a">The first source</a>', '<a href="b">The second source</a>'
+LINKED = {
+    "list between paragraphs": (f"<p>{LONG}</p><ul><li>{A}</li><li>{B}</li></ul><p>End.</p>",
+                                ["The first source", "The second source", "End."]),
+    "section of sources": (f"<p>{LONG}</p><section><h2>Sources</h2><ul><li>{A}</li><li>{B}</li></ul></section>",
+                           ["Sources", "The first source", "The second source"]),
+    "list under a heading": (f"<p>{LONG}</p><h3>Notes and references</h3><ol><li>{A}<li>{B}</ol>",
+                             ["Notes and references", "The first source", "The second source"]),
+    "sentence": (f"<p>{LONG}</p><div>See {A} and {B}.</div>", ["See The first source and The second source."]),
+    "other pages": (f"<p>{LONG}</p><section><h2>More to read</h2><ul><li>{A}</li><li>{B}</li></ul></section>", []),
+    "before the text": (f"<h1>Head</h1><ul><li>{A}</li><li>{B}</li></ul><p>{LONG}</p>", None),
+}
+
+
+@pytest.mark.parametrize("name", LINKED)
+def test_link_rich_parts_of_an_article_stay(name):
+    body, more = LINKED[name]
+    want = ["Head", LONG.strip()] if more is None else [LONG.strip(), *more]
+    for html in (f"{MENU}<article>{body}</article>{FOOT}", f'{MENU}<div class="content">{body}</div>{FOOT}'):
+        assert main_text.main_text(page(html)) == "\n\n".join(want)
+
+
 def test_extract(spark):
     rows = [(1, "u", CASES["article"][0], 5), (1, "u", CASES["article"][0], 5), (None, None, None, 5), (3, "v", "<p>é, " * 40_000, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
