@@ -1,28 +1,29 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is the sequence of its lower-cased words and one end. A word is spelled
-byte by byte, each byte as eight bits, and closed by a blank. For every bit,
-several predictors look up what followed the last few bytes in training; their
-predictions are combined in the logistic domain by weights that a gate selects,
-and the result is refined by a table learnt beside them. Since every context
-lies inside the word, a word is spelled at the same price wherever it stands, so
-each distinct word is spelled once, however often it occurs.
-
-The spelling is then mixed with what is known of whole words: a word seen in
+A text is the sequence of its lower-cased words and one end. It is spelled in its
+order, byte by byte, a blank behind every word, each byte as the bits of a prefix code
+in which bytes frequent in training have few. For every bit, several predictors look up what followed the same context in training: the
+last few bytes, across the blanks, and the word before with what is spelled of the
+word so far. Their predictions are combined in the logistic domain by weights that
+a gate selects, and the result is refined by a table learnt beside them. Counts,
+weights and refinement are learnt from all training texts in their order, and every
+bit of every text is predicted where it stands.
+
+The spelling is also mixed with what is known of whole words: a word seen in
 training keeps its discounted share, and what the discounts leave is spelled.
 That is done for several kinds of documents, found by clustering word
-profiles; a text is given by all of them together, and as it goes on, those
-that predict it well outweigh the others.
-
-Last, the text is followed in its order: the words before a place, looked up where
-they stood earlier in the text, say which word may come now. How far that is
-trusted is a probability gated by the length of the context and by whether the word
-before came as told, and it adapts with every word of the text. So the order of the
-words counts. All steps are probabilities, so the score is the logarithm of one.
+profiles; a text is given by its spelling alone and by all of them together, and as
+it goes on, those that predict it well outweigh the others.
+
+Last, the words before a place, looked up where they stood earlier in the text, say
+which word may come now. How far that is trusted is a probability gated by the length
+of the context and by whether the word before came as told, and it adapts with every
+word of the text. All steps are probabilities, so the score is the logarithm of one.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from array import array
 from dataclasses import dataclass
@@ -34,12 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import Workspace, mix64, raw_texts, remainder_of, words_of
+from footfall.llm.common import Workspace, mix64, raw_texts, remainder_of, runs, words_of
 
 CHUNK_BYTES = 12_000_000
 CHUNKS = (
-    "chunk long, words array<binary>, profiles binary, rows binary, sizes binary, ids binary, "
-    "told binary, trust array<long>"
+    "chunk long, words binary, profiles binary, rows binary, sizes binary, ids binary, "
+    "told binary, trust array<long>, letters array<long>"
 )
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -47,8 +48,6 @@ SCORES = (
 )
 # The end of a text, as a word that no text holds.
 END = b""
-# The place of a chunk's documents behind all its words.
-_LAST = 2**31 - 1
 # Contexts in a text: one word, two words, two words after a word that came as told.
 FOLLOWED = 3
 
@@ -60,9 +59,9 @@ class Mixing:
     orders: tuple[int, ...] = (1, 2, 3, 4, 6)
     slot_bits: int = 20
     block_bits: int = 14
-    words_per_task: int = 250_000
     prior: float = 0.4
     batch_words: int = 8_000
+    batch_bytes: int = 1 << 18
     least_steps: int = 24
     refine_prior: float = 20.0
     kinds: int = 12
@@ -76,93 +75,230 @@ class Mixing:
         return 4**3
 
     @property
-    def inputs(self) -> int:
+    def contexts(self) -> int:
+        """Contexts of a bit in a text: the orders, and the word before."""
         return len(self.orders) + 1
 
 
 # --- words to bits -----------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Code:
+    """Bits of every byte, and by byte what `Spelled` looks up for each of them.
+
+    Bits are taken four at a time: `group` names the bits of a byte before its four,
+    `inner` the place among the 15 that these four bits can reach.
+    """
+
+    def __init__(self, bits: list[str]):
+        self.size = np.array([len(b) for b in bits])
+        most = int(self.size.max())
+        self.value = np.zeros((most, 256), dtype=np.int8)
+        self.node = np.zeros((most, 256), dtype=np.int64)
+        self.inner = np.zeros((most, 256), dtype=np.int64)
+        self.group = np.zeros((-(-most // 4), 256), dtype=np.uint32)
+        nodes = _Numbers()
+        for k in range(most):
+            for byte, b in enumerate(bits):
+                if k < len(b):
+                    self.value[k, byte] = b[k] == "1"
+                    self.node[k, byte] = nodes[b[:k]]
+                    self.inner[k, byte] = int("1" + b[k // 4 * 4 : k], 2)
+                    self.group[k // 4, byte] = nodes[b[: k // 4 * 4]]
+
+    @classmethod
+    def plain(cls) -> Code:
+        return cls([f"{byte:08b}" for byte in range(256)])
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> Code:
+        """Shortest bits on average, by joining the two rarest sets of bytes each time."""
+        rare = [(int(c) + 1, byte, [byte]) for byte, c in enumerate(counts)]
+        bits = [""] * 256
+        heapq.heapify(rare)
+        while len(rare) > 1:
+            (a, first, left), (b, _, right) = heapq.heappop(rare), heapq.heappop(rare)
+            for sign, some in (("0", left), ("1", right)):
+                for byte in some:
+                    bits[byte] = sign + bits[byte]
+            heapq.heappush(rare, (a + b, first, left + right))
+        return cls(bits)
+
+
+class Lexicon:
+    """The bytes of distinct words, laid end to end, with what stands before each in its word."""
+
+    # Places looked back at most.
+    LEAD = 6
+
+    def __init__(self, words: list[bytes], contexts: bool = True):
+        texts = [w + b" " if w else b"\n" for w in words]
+        self.size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not contexts:
+            return
+        self.prefix = np.empty(len(self.bytes), dtype=np.uint32)
+        self.before = np.empty(len(self.bytes), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            power = np.full(int(self.size.max(initial=1)), 0x9E3779B97F4A7C15, dtype=np.uint64)
+            power = np.cumprod(power)
+            for at, size in self.blocks():
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                held = self.bytes[at].astype(np.uint64)
+                term = (held + np.uint64(1)) * power[place]
+                before = np.cumsum(term) - term
+                before -= np.repeat(before[np.cumsum(size) - size], size)
+                self.prefix[at] = mix64(before) >> np.uint64(32)
+                before = np.zeros(len(held), dtype=np.uint64)
+                for back in range(1, self.LEAD + 1):
+                    near = np.flatnonzero(place >= back)
+                    before[near] |= held[near - back] << np.uint64(8 * back - 8)
+                self.before[at] = before
+        last = self.start + self.size - 1
+        # Hash and last bytes of whole words, as seen from the word behind.
+        self.hash = self.prefix[last]
+        self.tail = self.before[last] << np.uint64(8) | self.bytes[last]
+
+    def blocks(self, many: int = 100_000):
+        for first in range(0, len(self.size), many):
+            size = self.size[first : first + many]
+            yield slice(self.start[first], self.start[first] + size.sum()), size
+
+
 class Spelled:
-    """The bytes of many words, laid end to end, with their contexts."""
+    """The bytes of many words, laid end to end, with their contexts.
+
+    Bytes with more bits come first, so those with a bit k are the first `many[k]`. Slots
+    lie in groups of 16, so that four bits of a byte in a context are found side by side.
+    """
 
     def __init__(self, words: list[bytes], mixing: Mixing):
-        self.mixing = mixing
-        texts = [w + b" " if w else b"\n" for w in words]
-        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.uint32)
-        self.word = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(self.bytes)) - np.repeat(np.cumsum(size) - size, size)
-        self.words = len(words)
+        """Each word as a text of its own, of which no word before is known."""
+        ids = np.arange(len(words))
+        self._lay(Lexicon(words), ids, np.full(len(words), -1), mixing, Code.plain())
+        self.hashes.pop()
+
+    @classmethod
+    def in_text(cls, lexicon: Lexicon, ids: np.ndarray, last: np.ndarray, mixing: Mixing, code: Code):
+        """Words by number, each behind the word `last`, or opening a text if that is -1."""
+        self = cls.__new__(cls)
+        self._lay(lexicon, ids, last, mixing, code)
+        return self
+
+    def _lay(self, lexicon, ids, last, mixing, code):
+        self.mixing, self.code, self.words = mixing, code, len(ids)
+        size = lexicon.size[ids]
+        start = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(start, size)
+        at = np.repeat(lexicon.start[ids], size) + place
+        self.word = np.repeat(np.arange(self.words), size)
+        self.bytes = lexicon.bytes.take(at).astype(np.int64)
+        before, prefix = lexicon.before.take(at), lexicon.prefix.take(at)
+        size_of = code.size.take(self.bytes)
+        self.many = len(self.bytes) - np.cumsum(np.bincount(size_of, minlength=len(code.value) + 1))
+        # Behind what is spelled of the word come the last bytes of the word before.
+        near = np.flatnonzero(place < lexicon.LEAD)
+        tail = np.where(last < 0, np.uint64(0), lexicon.tail[last])
+        before[near] |= tail.take(self.word[near]) << (8 * place[near]).astype(np.uint64)
         self.hashes = []
-        code = np.full(len(self.bytes), 17, dtype=np.uint64)
-        done = 0
         with np.errstate(over="ignore"):
             for order in mixing.orders:
-                for back in range(done + 1, order + 1):
-                    before = np.full(len(self.bytes), 256, dtype=np.uint64)
-                    before[back:] = self.bytes[:-back] if back else self.bytes
-                    before[place < back] = 256
-                    code = code * np.uint64(0x100000001B3) + before + np.uint64(1)
-                done = order
-                self.hashes.append((mix64(code + np.uint64(order)) >> np.uint64(32)).astype(np.uint32))
+                key = (before & np.uint64((1 << 8 * order) - 1)) + (np.uint64(order) << np.uint64(56))
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                self.hashes.append(((key ^ key >> np.uint64(29)) >> np.uint64(24)).astype(np.uint32))
+            whole = np.where(last < 0, np.uint32(1), lexicon.hash[last])
+            whole = (whole * np.uint32(0x85EBCA6B)) ^ np.uint32(0x5BD1E995)
+            self.hashes.append(prefix ^ whole.take(self.word))
+        if code.size.min() < code.size.max():
+            order = np.argsort((255 - size_of).astype(np.uint8), kind="stable")
+            self.bytes, self.word = self.bytes.take(order), self.word.take(order)
+            self.hashes = [h.take(order) for h in self.hashes]
+
+    def bits(self):
+        """Value of each bit, its node, and its slot for each context, of the bytes that have it."""
+        groups = []
+        for k, many in enumerate(self.many[:-1]):
+            if not many:
+                break
+            if k % 4 == 0:
+                groups = self._groups(k, many)
+            yield self._bit(k, many, groups)
 
     def bit(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Value of bit k of every byte, its node, and its slot for each order."""
-        node = (np.uint32(1) << np.uint32(k)) | (self.bytes >> np.uint32(8 - k))
-        value = (self.bytes >> np.uint32(7 - k)) & np.uint32(1)
-        shift = np.uint32(32 - self.mixing.slot_bits)
+        return self._bit(k, self.many[k], self._groups(k, self.many[k]))
+
+    def _groups(self, k: int, many: int) -> list[np.ndarray]:
+        """First slot of the group that bit k of the first bytes has in each context."""
+        shift = np.uint32(36 - self.mixing.slot_bits)
         with np.errstate(over="ignore"):
-            key = node * np.uint32(0x9E3779B1)
-            slots = [((h ^ key) * np.uint32(0x85EBCA6B)) >> shift for h in self.hashes]
-        return value.astype(np.int8), node, slots
+            key = self.code.group[k // 4].take(self.bytes[:many]) * np.uint32(0x9E3779B1)
+            return [
+                (((h[:many] ^ key) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) << 4
+                for h in self.hashes
+            ]
+
+    def _bit(self, k, many, groups) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        held = self.bytes[:many]
+        inner = self.code.inner[k].take(held)
+        return self.code.value[k].take(held), self.code.node[k].take(held), [g[:many] + inner for g in groups]
 
 
 class Model:
-    """Counts by order, bit and slot; gated weights; refinement table.
+    """Counts by context, bit and slot; gated weights; refinement table.
 
     A gate is made of how often the contexts of three orders were seen, in four
-    levels each. Single precision is enough for predictions and halves the time.
+    levels each. Single precision is enough for predictions and halves the time; the
+    level of a slot is kept in the last two bits of its stretched prediction.
     """
 
-    def __init__(self, counts: np.ndarray, mixing: Mixing):
-        self.mixing = mixing
-        self.counts = counts  # orders x 2 x slots
-        self.weights = np.full((mixing.gates, mixing.inputs), 0.35)
+    def __init__(self, counts: np.ndarray, mixing: Mixing, code: Code | None = None):
+        self.mixing, self.code = mixing, code
+        self.counts = counts  # contexts x 2 x slots
+        self.inputs = len(counts) + 1
+        self.weights = np.full((mixing.gates, self.inputs), 0.35)
         self.weights[:, -1] = 0.0
         self.refine = np.zeros((256, 33, 2))
         orders = len(mixing.orders)
         self.gated = (orders - 1, orders - 2, min(1, orders - 1))
         self._fixed = None
 
-    @staticmethod
-    def _level(total: np.ndarray) -> np.ndarray:
-        return (total > 0.5).view(np.uint8) + (total > 4.5) + (total > 50.5)
+    def _stretched(self, no: np.ndarray, yes: np.ndarray) -> np.ndarray:
+        prior = np.float32(self.mixing.prior)
+        total = no + yes
+        level = (total > 0.5).view(np.uint8) + (total > 4.5) + (total > 50.5)
+        out = np.log((yes + prior) / (no + prior)).astype(np.float32)
+        held = out.view(np.uint32)
+        held &= np.uint32(0xFFFFFFFC)
+        held |= level.astype(np.uint32)
+        return out
 
-    def training_inputs(
-        self, value: np.ndarray, slots: list[np.ndarray]
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions of bit 1 and the gate, for bits that were counted.
+    def training_tables(self) -> np.ndarray:
+        """Stretched predictions by context, slot and value of the bit.
 
         One occurrence of the bit itself is taken out of the counts, so training
         sees what a text not counted would see.
         """
-        prior = np.float32(self.mixing.prior)
-        one = value.astype(np.float32)
-        zero = np.float32(1.0) - one
-        x = np.empty((len(value), self.mixing.inputs), dtype=np.float32)
-        levels = {}
-        for i, slot in enumerate(slots):
-            no = np.maximum(self.counts[i, 0][slot] - zero, np.float32(0.0))
-            yes = np.maximum(self.counts[i, 1][slot] - one, np.float32(0.0))
-            if i in self.gated:
-                levels[i] = self._level(no + yes)
-            x[:, i] = np.log((yes + prior) / (no + prior))
-        x[:, -1] = 0.3
-        gate = np.zeros(len(value), dtype=np.uint8)
+        contexts, _, slots = self.counts.shape
+        out = np.empty((contexts, slots, 2), dtype=np.float32)
+        for i, (no, yes) in enumerate(self.counts):
+            out[i, :, 0] = self._stretched(np.maximum(no - np.float32(1.0), np.float32(0.0)), yes)
+            out[i, :, 1] = self._stretched(no, np.maximum(yes - np.float32(1.0), np.float32(0.0)))
+        return out.reshape(contexts, -1)
+
+    def gate(self, stretched: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(stretched[0]), dtype=np.uint32)
         for i in self.gated:
-            gate = gate * np.uint8(4) + levels[i]
-        return x, gate
+            out = out * np.uint32(4) + (stretched[i].view(np.uint32) & np.uint32(3))
+        return out.astype(np.int64)
 
     @staticmethod
     def cell(logit: np.ndarray) -> np.ndarray:
@@ -171,14 +307,12 @@ class Model:
     def _tables(self):
         """What scoring looks up, worked out once."""
         if self._fixed is None:
-            prior = self.mixing.prior
-            stretch = np.log((self.counts[:, 1] + prior) / (self.counts[:, 0] + prior))
-            levels = {i: self._level(self.counts[i].sum(axis=0)) for i in self.gated}
+            stretch = [self._stretched(no, yes) for no, yes in self.counts]
             total = self.refine.sum(axis=2) + self.mixing.refine_prior
             shift = (0.5 * self.refine[:, :, 1] / total).astype(np.float32).reshape(-1)
             scale = (0.5 + 0.5 * self.mixing.refine_prior / total).astype(np.float32).reshape(-1)
-            weights = self.weights.astype(np.float32)
-            self._fixed = stretch.astype(np.float32), levels, shift, scale, weights
+            weights = np.ascontiguousarray(self.weights.T.astype(np.float32))
+            self._fixed = stretch, shift, scale, weights
         return self._fixed
 
     def for_scoring(self) -> Model:
@@ -189,26 +323,43 @@ class Model:
 
     def bit_probability(self, node: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """Probability of bit 1: mixed, then refined halfway."""
-        stretch, levels, shift, scale, weights = self._tables()
-        gate = np.zeros(len(node), dtype=np.uint8)
-        for i in self.gated:
-            gate = gate * np.uint8(4) + levels[i][slots[i]]
-        logit = np.float32(0.3) * weights[:, -1][gate]
-        for i, slot in enumerate(slots):
-            logit += weights[:, i][gate] * stretch[i][slot]
-        cell = node.astype(np.int32) * 33 + self.cell(logit)
+        stretch, shift, scale, weights = self._tables()
+        seen = [stretch[i].take(slot) for i, slot in enumerate(slots)]
+        gate = self.gate(seen)
+        logit = np.float32(0.3) * weights[-1].take(gate)
+        for i, x in enumerate(seen):
+            x *= weights[i].take(gate)
+            logit += x
+        cell = node * 33 + self.cell(logit)
         p = np.float32(1.0) / (np.float32(1.0) + np.exp(-np.clip(logit, -16.0, 16.0)))
-        return np.clip(shift[cell] + scale[cell] * p, np.float32(1e-6), np.float32(1.0 - 1e-6))
+        p = shift.take(cell) + scale.take(cell) * p
+        return np.clip(p, np.float32(1e-6), np.float32(1.0 - 1e-6))
 
     def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's spelling."""
-        spelled = Spelled(words, self.mixing)
+        """log10 probability of each word's spelling, as a text of its own."""
+        return self.spelling(Spelled(words, self.mixing)) / _LN10
+
+    def spelling(self, spelled: Spelled) -> np.ndarray:
+        """Natural log probability of each word, spelled where it stands."""
         total = np.zeros(len(spelled.bytes))
-        for k in range(8):
-            value, node, slots = spelled.bit(k)
-            p = self.bit_probability(node, slots)
-            total += np.log10(np.where(value == 1, p, np.float32(1.0) - p))
-        return np.bincount(spelled.word, weights=total, minlength=len(words))
+        one = np.float32(1.0)
+        p = np.ones(len(spelled.bytes), dtype=np.float32)
+        for k, (value, node, slots) in enumerate(spelled.bits()):
+            yes = self.bit_probability(node, slots)
+            p[: len(yes)] *= np.where(value == 1, yes, one - yes)
+            if k % 4 == 3:
+                total[: len(yes)] += np.log(p[: len(yes)])
+                p[: len(yes)] = one
+        total += np.log(p)
+        return np.bincount(spelled.word, weights=total, minlength=spelled.words)
+
+    def in_texts(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Natural log probability of every word of texts laid end to end."""
+        pairs = Pairs(words, ids, sizes, places=True)
+        out = np.empty(len(pairs.ids))
+        for some, spelled in pairs.parts(1 << 15, self.mixing, self.code):
+            out[some] = self.spelling(spelled)
+        return out[pairs.of]
 
 
 class _Learner:
@@ -216,42 +367,85 @@ class _Learner:
 
     def __init__(self, model: Model):
         self.model = model
-        size = model.mixing.inputs
-        self.curve = np.zeros((model.mixing.gates, size, size))
-        self.ridge = np.eye(size)
+        self.tables = model.training_tables()
+        self.curve = np.zeros((model.mixing.gates, model.inputs, model.inputs))
+        self.ridge = np.eye(model.inputs)
 
     def learn(self, words: list[bytes], times: np.ndarray, refine: bool) -> None:
+        """From words that each are a text of their own, so many times."""
+        spelled = Spelled(words, self.model.mixing)
+        self.learn_spelled(spelled, times[spelled.word].astype(np.float32), refine)
+
+    def learn_spelled(self, spelled: Spelled, much: np.ndarray, refine: bool) -> None:
         model = self.model
-        spelled = Spelled(words, model.mixing)
-        weight = times[spelled.word].astype(np.float32)
-        for k in range(8):
-            value, node, slots = spelled.bit(k)
-            x, gate = model.training_inputs(value, slots)
-            order = np.argsort(gate, kind="stable")
-            edges = np.searchsorted(gate[order], np.arange(model.mixing.gates + 1))
-            x, truth, much = x[order], value[order], weight[order]
-            logit = np.empty(len(x), dtype=np.float32)
+        gates, one = model.mixing.gates, np.float32(1.0)
+        for value, node, slots in spelled.bits():
+            seen = [self.tables[i].take(2 * slot + value) for i, slot in enumerate(slots)]
+            gate = model.gate(seen)
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
+            x = np.zeros((model.inputs, len(value)), dtype=np.float32)
+            for i, column in enumerate(seen):
+                column.take(order, out=x[i], mode="clip")
+            x[-1] = 0.3
+            truth = value.take(order)
+            logit = np.empty(len(truth), dtype=np.float32)
             current = model.weights.astype(np.float32)
             filled = np.flatnonzero(np.diff(edges))
             for g in filled:
                 at = slice(edges[g], edges[g + 1])
-                logit[at] = x[at] @ current[g]
-            p = np.float32(1.0) / (np.float32(1.0) + np.exp(-np.clip(logit, -16.0, 16.0)))
+                logit[at] = current[g] @ x[:, at]
+            p = one / (one + np.exp(-np.clip(logit, -16.0, 16.0)))
+            weight = much[: len(value)].take(order)
             if refine:
-                cell = (node[order].astype(np.int64) * 33 + model.cell(logit)) * 2 + truth
-                model.refine += np.bincount(
-                    cell, weights=much, minlength=256 * 33 * 2
-                ).reshape(256, 33, 2)
-            slope = much * (truth - p)
-            bend = much * p * (np.float32(1.0) - p)
+                cell = (node.take(order) * 33 + model.cell(logit)) * 2 + truth
+                model.refine += np.bincount(cell, weights=weight, minlength=256 * 33 * 2).reshape(256, 33, 2)
+            slope, bend = weight * (truth - p), weight * p * (one - p)
+            pull = np.zeros((gates, model.inputs))
             for g in filled:
                 at = slice(edges[g], edges[g + 1])
-                self.curve[g] += (x[at] * bend[at, None]).T @ x[at]
-                step = np.linalg.solve(self.curve[g] + self.ridge, (slope[at] @ x[at]).astype(float))
-                model.weights[g] += np.clip(step, -0.25, 0.25)
+                self.curve[g] += (x[:, at] * bend[at]) @ x[:, at].T
+                pull[g] = x[:, at] @ slope[at]
+            step = np.linalg.solve(self.curve[filled] + self.ridge, pull[filled][:, :, None])
+            model.weights[filled] += np.clip(step[:, :, 0], -0.25, 0.25)
         model._fixed = None
 
 
+class Pairs:
+    """The distinct pairs of a word and the word before in texts laid end to end.
+
+    A pair fixes the contexts of its word's bytes, so each is spelled once. Pairs are
+    sorted by word, so that slots looked up one after another are often the same.
+    """
+
+    def __init__(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray, places: bool = False):
+        self.lexicon = Lexicon(words)
+        last = np.full(len(ids), -1)
+        last[1:] = ids[:-1]
+        last[np.cumsum(sizes) - sizes] = -1
+        last += ids * (len(words) + 1) + 1
+        if places:
+            key, self.of = np.unique(last, return_inverse=True)
+        else:
+            key, self.times = np.unique(last, return_counts=True)
+        self.ids, self.last = np.divmod(key, len(words) + 1)
+        self.last -= 1
+
+    def parts(self, most: int, mixing: Mixing, code: Code, spread: bool = False):
+        """Which pairs, and their words as `Spelled`, in parts of about so many bytes.
+
+        Spread parts take every so many-th pair, so each is like the whole.
+        """
+        ends = np.cumsum(self.lexicon.size[self.ids])
+        many = -(-int(ends[-1]) // most)
+        edges = np.searchsorted(ends, np.arange(1, many) * most).tolist()
+        for first, (start, end) in enumerate(zip([0, *edges], [*edges, len(ends)], strict=True)):
+            some = slice(first, None, many) if spread else slice(start, end)
+            ids, last = self.ids[some], self.last[some]
+            if len(ids):
+                yield some, Spelled.in_text(self.lexicon, ids, last, mixing, code)
+
+
 # --- whole words -------------------------------------------------------------
 
 _LN10 = math.log(10.0)
@@ -304,6 +498,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _words_packed(words) -> bytes:
+    """Words, which hold no white space, in one value."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def _words_of(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
 def _rows_packed(doc_id: list, held_out: list, n_bytes: list) -> bytes:
     """Columns of documents in one value: a stream of rows whose lists are mostly null
     takes time quadratic in its batches on the way to Python.
@@ -326,14 +529,6 @@ def _code(word: bytes, width: int) -> int:
     return xxhash.xxh3_64_intdigest(word) % width
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 def _profiles_of(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, width: int) -> np.ndarray:
     """Profiles of documents: square roots of the shares of hashed words.
 
@@ -344,15 +539,26 @@ def _profiles_of(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, width: i
     return np.rint(255.0 * np.sqrt(held / held.max(axis=1, keepdims=True))).astype(np.uint8)
 
 
-def _points(data: bytes, width: int, block: int = 2_048):
-    """Profiles of a chunk's training documents at length 1, some at a time."""
+def _rows(data: bytes, width: int, block: int = 2_048):
+    """Profiles of a chunk's training documents, some at a time."""
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     rows = flat.reshape(-1, width)
     for first in range(0, len(rows), block):
-        points = rows[first : first + block].astype(float)
+        yield rows[first : first + block].astype(np.float32)
+
+
+def _points(data: bytes, width: int):
+    """The same at length 1."""
+    for rows in _rows(data, width):
+        points = rows.astype(float)
         yield points / np.sqrt((points * points).sum(axis=1, keepdims=True))
 
 
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre by angle; the length of a row is free."""
+    return (rows @ centres.T.astype(np.float32)).argmax(axis=1)
+
+
 def document_kinds(chunks: DataFrame, mixing: Mixing) -> np.ndarray:
     """Centres of the profiles of all training documents, by k-means.
 
@@ -396,9 +602,10 @@ def document_kinds(chunks: DataFrame, mixing: Mixing) -> np.ndarray:
             total = np.zeros((len(centres), width))
             for batch in batches:
                 for data in batch.column(1).to_pylist():
-                    for points in _points(data, width):
-                        nearest = (points @ centres.T).argmax(axis=1)
-                        total += (nearest == np.arange(len(centres))[:, None]).astype(float) @ points
+                    for held in _rows(data, width):
+                        own = _nearest(held, centres) == np.arange(len(centres))[:, None]
+                        size = np.sqrt(np.einsum("ij,ij->i", held, held))
+                        total += (own / size).astype(np.float32) @ held
             some = np.flatnonzero(total.any(axis=1))
             yield _sums(some, total[some])
 
@@ -493,12 +700,24 @@ def follow(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _letters(words: list[bytes], many: np.ndarray) -> np.ndarray:
+    """How often each byte is spelled in words that occur so often."""
+    lexicon = Lexicon(words, contexts=False)
+    out = np.zeros(256)
+    done = 0
+    for at, size in lexicon.blocks():
+        times = np.repeat(many[done : done + len(size)], size)
+        out += np.bincount(lexicon.bytes[at], weights=times, minlength=256)
+        done += len(size)
+    return out.astype(np.int64)
+
+
 def word_chunks(docs: DataFrame, mixing: Mixing, modulus: int = 7, held: int = 2) -> DataFrame:
     """Documents in chunks: distinct words, and each document's words in their order.
 
     `profiles` are those of the training documents, `told` what `follow` gives, and
     `trust` how often each of its contexts told something, and rightly, in training
-    documents. A chunk closes at `CHUNK_BYTES`, so its vocabulary is bounded by that
+    documents; `letters` counts their bytes. A chunk closes at `CHUNK_BYTES`, so its vocabulary is bounded by that
     and one document.
     """
     keyed = docs.select(
@@ -531,15 +750,18 @@ def word_chunks(docs: DataFrame, mixing: Mixing, modulus: int = 7, held: int = 2
                     profiles.append(squeeze.compress(held_in.tobytes()))
             profiles.append(squeeze.flush())
             told = follow(tokens, many)
-            trust = np.bincount(told[np.repeat(learnt, many)], minlength=1 + 2 * FOLLOWED)
+            use = np.repeat(learnt, many)
+            trust = np.bincount(told[use], minlength=1 + 2 * FOLLOWED)
+            seen = np.bincount(tokens[use], minlength=len(words))
+            letters = _letters(list(words), seen)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number], pa.int64()), pa.array([list(words)], pa.list_(pa.binary())),
+                    pa.array([number], pa.int64()), pa.array([_words_packed(words)], pa.binary()),
                     pa.array([b"".join(profiles)], pa.binary()),
                     pa.array([_rows_packed(docs_of, flags, spelled)], pa.binary()),
                     pa.array([_packed(many)], pa.binary()), pa.array([_packed(tokens)], pa.binary()),
                     pa.array([zstandard.ZstdCompressor(level=1).compress(told.tobytes())], pa.binary()),
-                    pa.array([trust], pa.list_(pa.int64())),
+                    pa.array([trust], pa.list_(pa.int64())), pa.array([letters], pa.list_(pa.int64())),
                 ],
                 names=names,
             )
@@ -580,13 +802,13 @@ def vocabulary(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     def count(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                profiles, rows, sizes, ids = (batch.column(k)[i].as_py() for k in range(1, 5))
-                words = batch.column(0)[i].values
+                packed, profiles, rows, sizes, ids = (batch.column(k)[i].as_py() for k in range(5))
+                words = pa.array(_words_of(packed), pa.binary())
                 learnt = ~_rows_of(rows).column(1).to_numpy(zero_copy_only=False)
                 kind_of = np.zeros(len(learnt), dtype=np.int64)
                 if learnt.any():
                     kind_of[learnt] = np.concatenate(
-                        [(x @ centres.T).argmax(axis=1) for x in _points(profiles, width)]
+                        [_nearest(x, centres) for x in _rows(profiles, width)]
                     )
                 sizes, ids = _unpacked(sizes), _unpacked(ids)
                 use = np.repeat(learnt, sizes)
@@ -607,70 +829,81 @@ def vocabulary(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     return whole.select("word", every.alias("c"), *columns)
 
 
-def _spread(vocab: DataFrame, rows: int, mixing: Mixing) -> DataFrame:
-    """Training words dealt by hash over few tasks, as each holds whole tables."""
-    return vocab.filter("c > 0").repartition(max(1, -(-rows // mixing.words_per_task)))
+def _training_texts(batches):
+    """Columns of every chunk with training texts, see `_training_pairs`."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = [batch.column(k)[i].as_py() for k in range(4)]
+            if not _rows_of(row[1]).column(1).to_numpy(zero_copy_only=False).all():
+                yield row
 
 
-def _word_batches(batches, size: int):
-    for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            part = batch.slice(start, size)
-            yield part, part.column(0).to_pylist()
+def _training_pairs(words: bytes, rows: bytes, sizes: bytes, ids: bytes) -> Pairs:
+    learnt = ~_rows_of(rows).column(1).to_numpy(zero_copy_only=False)
+    many = _unpacked(sizes)
+    return Pairs(_words_of(words), _unpacked(ids)[np.repeat(learnt, many)], many[learnt])
 
 
-def count_tables(vocab: DataFrame, rows: int, mixing: Mixing) -> np.ndarray:
-    """Bit counts by order and slot, summed over all training words.
+def count_tables(chunks: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
+    """Bit counts by context and slot, summed over all training texts.
 
     Tasks give their tables in blocks, which are summed by block; what reaches
     the driver is one table, whose size `slot_bits` fixes.
     """
     slots, block = 1 << mixing.slot_bits, 1 << mixing.block_bits
-    orders = len(mixing.orders)
+    contexts = mixing.contexts
 
-    def count(batches):
-        tables = np.zeros((orders, 2 * slots))
-        for part, words in _word_batches(batches, 20_000):
-            spelled = Spelled(words, mixing)
-            weight = part.column(1).to_numpy().astype(float)[spelled.word]
-            weight = np.tile(weight, 8)
-            bits = [spelled.bit(k) for k in range(8)]
-            for i in range(orders):
-                at = np.concatenate([x[i] + value * np.uint32(slots) for value, _, x in bits])
-                tables[i] += np.bincount(at, weights=weight, minlength=2 * slots)
-        for i in range(orders):
+    def blocks(tables):
+        for i in range(contexts):
             for start in range(0, 2 * slots, 2 * block):
-                piece = tables[i, start : start + 2 * block].astype("<f4")
+                piece = tables[i, start : start + 2 * block]
                 if piece.any():
-                    data = zstandard.ZstdCompressor(level=1).compress(piece.tobytes())
-                    yield _block_row(i, start, data)
+                    yield _block_row(i, start, _packed(piece))
+
+    def count(batches):
+        # By slot and value of the bit; given away before a count could overflow.
+        tables, seen = np.zeros((contexts, 2 * slots), dtype=np.int32), 0
+        for texts in _training_texts(batches):
+            pairs = _training_pairs(*texts)
+            for some, spelled in pairs.parts(1 << 15, mixing, code):
+                times = pairs.times[some].astype(np.int32).take(spelled.word)
+                most = int(times.sum(dtype=np.int64)) * len(code.value)
+                if seen + most >= 2**31:
+                    yield from blocks(tables)
+                    tables[:], seen = 0, 0
+                seen += most
+                for value, _, slot in spelled.bits():
+                    for i, at in enumerate(slot):
+                        at *= 2
+                        at += value
+                        np.add.at(tables[i], at, times[: len(at)])
+        yield from blocks(tables)
 
     def add(batches):
         at, total = None, None
         for batch in batches:
             for i, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                piece = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<f4")
+                piece = _unpacked(data)
                 if (i, start) != at:
                     if at is not None:
                         yield _block_row(*at, total.astype("<f4").tobytes())
-                    at, total = (i, start), np.zeros(len(piece))
+                    at, total = (i, start), np.zeros(len(piece), dtype=np.int64)
                 total += piece
         if at is not None:
             yield _block_row(*at, total.astype("<f4").tobytes())
 
     schema = "part int, start int, data binary"
-    partial = _spread(vocab, rows, mixing).select("word", "c").mapInArrow(count, schema)
+    partial = chunks.select("words", "rows", "sizes", "ids").mapInArrow(count, schema)
     summed = (
         partial.repartition("part", "start")
         .sortWithinPartitions("part", "start")
         .mapInArrow(add, schema)
     )
-    out = np.zeros((orders, 2, slots), dtype=np.float32)
-    flat = out.reshape(orders, -1)
+    out = np.zeros((contexts, 2 * slots), dtype=np.float32)
     for row in summed.toLocalIterator():
         piece = np.frombuffer(row["data"], dtype="<f4")
-        flat[row["part"], row["start"] : row["start"] + len(piece)] = piece
-    return out
+        out[row["part"], row["start"] : row["start"] + len(piece)] = piece
+    return np.ascontiguousarray(out.reshape(contexts, slots, 2).transpose(0, 2, 1))
 
 
 def _block_row(part: int, start: int, data: bytes) -> pa.RecordBatch:
@@ -680,34 +913,48 @@ def _block_row(part: int, start: int, data: bytes) -> pa.RecordBatch:
     )
 
 
-def train(vocab: DataFrame, rows: int, mixing: Mixing) -> Model:
+def _summed(chunks: DataFrame, column: str, size: int) -> np.ndarray:
+    """Sums of a column of counts, place by place, over all chunks."""
+    each = chunks.select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(size)
+    for row in each.collect():
+        out[row["at"]] = row["n"]
+    return out
+
+
+def train(chunks: DataFrame, mixing: Mixing) -> Model:
     """Counts, then weights and refinement learnt online in every task.
 
-    Each task runs through its words once or, where they are few, several times.
-    The weights of the tasks are averaged by the curvature they have seen;
-    refinement counts are summed. Word counts weigh the words.
+    Each task runs through its texts in their order once or, where they are few,
+    several times. The weights of the tasks are averaged by the curvature they have
+    seen; refinement counts are summed.
     """
-    spark = vocab.sparkSession
-    counts = count_tables(vocab, rows, mixing)
+    spark = chunks.sparkSession
+    code = Code.of_counts(_summed(chunks, "letters", 256))
+    counts = count_tables(chunks, mixing, code)
     shared = spark.sparkContext.broadcast(counts)
-    gates, inputs = mixing.gates, mixing.inputs
+    gates, inputs = mixing.gates, mixing.contexts + 1
 
-    def learn(batches):
-        model = Model(shared.value, mixing)
-        learner = _Learner(model)
-        steps, kept = 0, []
-        for part, words in _word_batches(batches, mixing.batch_words):
-            times = part.column(1).to_numpy().astype(float)
-            learner.learn(words, times, refine=True)
+    def learn_all(learner, texts, refine):
+        pairs, steps = _training_pairs(*texts), 0
+        for some, spelled in pairs.parts(mixing.batch_bytes, mixing, code, spread=True):
+            times = pairs.times[some].astype(np.float32).take(spelled.word)
+            learner.learn_spelled(spelled, times, refine)
             steps += 1
-            if steps < mixing.least_steps:
-                kept.append((words, times))
-        while kept and steps < mixing.least_steps:
-            for words, times in kept:
-                learner.learn(words, times, refine=False)
-                steps += 1
+        return steps
+
+    def learn(batches):
+        model = Model(shared.value, mixing, code)
+        learner, steps, kept = None, 0, []
+        for texts in _training_texts(batches):
+            learner = learner or _Learner(model)
+            steps += learn_all(learner, texts, True)
+            kept = [*kept, texts] if steps < mixing.least_steps else []
         if not steps:
             return
+        while kept and steps < mixing.least_steps:
+            for texts in kept:
+                steps += learn_all(learner, texts, False)
         pull = np.einsum("gij,gj->gi", learner.curve, model.weights)
         flat = np.concatenate([learner.curve.reshape(-1), pull.reshape(-1), model.refine.reshape(-1)])
         some = np.flatnonzero(flat)
@@ -715,13 +962,13 @@ def train(vocab: DataFrame, rows: int, mixing: Mixing) -> Model:
             [pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["at", "value"]
         )
 
-    learnt = _spread(vocab, rows, mixing).select("word", "c").mapInArrow(learn, "at int, value double")
+    learnt = chunks.select("words", "rows", "sizes", "ids").mapInArrow(learn, "at int, value double")
     size = gates * inputs * (inputs + 1)
     flat = np.zeros(size + 256 * 33 * 2)
     for row in learnt.groupBy("at").agg(F.sum("value").alias("value")).toLocalIterator():
         flat[row["at"]] = row["value"]
     shared.unpersist()
-    model = Model(counts, mixing)
+    model = Model(counts, mixing, code)
     curve = flat[: gates * inputs * inputs].reshape(gates, inputs, inputs)
     pull = flat[gates * inputs * inputs : size].reshape(gates, inputs)
     ridge = np.eye(inputs)
@@ -742,9 +989,8 @@ def score_documents(
     Repeated rows each count and each get a row; an empty table gives none.
     `bits_per_byte` is the model's total over the bytes it spells.
 
-    Words meet their counts and scores once per chunk of documents, not once per
-    document, and stream back to the chunk in the order of their numbers, its
-    documents behind them; no chunk is collected into a row.
+    Words meet their counts once per chunk of documents, not once per document, and
+    come back to the chunk in packed pieces of bounded size, its documents behind them.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm-score")
@@ -762,60 +1008,74 @@ def score_documents(
     ).first()
     total, distinct = seen["n_c"], seen["v_c"]
     shares = [_Discount(*(seen[f"{name}_{c}"] for name in _STATISTICS)) for c in columns]
-    model = train(vocab, distinct, mixing)
+    model = train(chunks, mixing)
     shared = spark.sparkContext.broadcast(model.for_scoring())
 
-    def price(batches):
-        for part, words in _word_batches(batches, 10_000):
-            counts = np.stack([part.column(i).to_numpy() for i in range(1, 2 + kinds)], axis=1)
-            whole = shares[0].mixed(counts[:, 0], shared.value.log10(words) * _LN10)
-            at, kind = np.nonzero(counts[:, 1:])
+    def entries(batches):
+        for batch in batches:
+            counts = np.stack([batch.column(i).to_numpy() for i in range(1, 1 + kinds)], axis=1)
+            at, kind = np.nonzero(counts)
             known = np.empty(len(at), dtype=_KNOWN)
-            known["kind"], known["c"] = kind, counts[at, kind + 1]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words)))])
+            known["kind"], known["c"] = kind, counts[at, kind]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(counts)))])
             packed = pa.Array.from_buffers(
-                pa.binary(), len(words),
+                pa.binary(), len(counts),
                 [
                     None, pa.py_buffer((ends * _KNOWN.itemsize).astype(np.int32).tobytes()),
                     pa.py_buffer(known.tobytes()),
                 ],
             )
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(whole), packed], names=["word", "log_p", "known"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["word", "known"])
+
+    def words(batches):
+        for batch in batches:
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                listed = pa.array(_words_of(packed), pa.binary())
+                for start in range(0, len(listed), 20_000):
+                    part = listed.slice(start, 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), chunk)),
+                            pa.array(np.arange(start, start + len(part), dtype=np.int32)), part,
+                        ],
+                        names=["chunk", "at", "word"],
+                    )
 
-    priced = vocab.select("word", *columns).mapInArrow(
-        price, "word binary, log_p double, known binary"
+    counted = vocab.filter("c > 0").select("word", *columns[1:]).mapInArrow(
+        entries, "word binary, known binary"
     )
-    told = chunks.select(F.posexplode("trust").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
-    trust = np.zeros(1 + 2 * FOLLOWED)
-    for row in told.collect():
-        trust[row["at"]] = row["n"]
+    trust = _summed(chunks, "trust", 1 + 2 * FOLLOWED)
     wrong, right = trust[1::2], trust[2::2]
     rates = (right + 0.5) / (right + wrong + 1.0)
-    documents = ["rows", "sizes", "ids", "told"]
-    used = chunks.select("chunk", F.posexplode("words").alias("at", "word")).join(priced, "word")
-    last = chunks.select("chunk", F.lit(_LAST).alias("at"), *documents)
+    documents = ["words", "rows", "sizes", "ids", "told"]
+    used = chunks.select("chunk", "words").mapInArrow(words, "chunk long, at int, word binary")
+    pieces = used.join(counted, "word").select("chunk", "at", "known").mapInArrow(
+        _pieces, "chunk long, known binary"
+    )
+    last = chunks.select("chunk", F.lit(True).alias("last"), *documents)
     stream = (
-        used.drop("word")
+        pieces.withColumn("last", F.lit(False))
         .unionByName(last, allowMissingColumns=True)
-        .repartition("chunk")
-        .sortWithinPartitions("chunk", "at")
-        .select("at", "log_p", "known", *documents)
+        .repartition(max(1, chunks.count()), "chunk")
+        .sortWithinPartitions("chunk", "last")
+        .select("last", "known", *documents)
     )
     names = [x.split()[0] for x in SCORES.split(", ")]
     unit = math.log10(total + distinct + 1)
 
-    def finish(batch, i, log_p, word, entries):
-        doc_id, held_out, n_bytes = _rows_of(batch.column(3)[i].as_py()).columns
-        sizes, ids = (_unpacked(batch.column(k)[i].as_py()) for k in (4, 5))
-        flags = zstandard.ZstdDecompressor().decompress(batch.column(6)[i].as_py())
+    def finish(row, word, found):
+        words, sizes, ids = _words_of(row["words"]), _unpacked(row["sizes"]), _unpacked(row["ids"])
+        doc_id, held_out, n_bytes = _rows_of(row["rows"]).columns
+        flags = zstandard.ZstdDecompressor().decompress(row["told"])
         starts = np.cumsum(sizes) - sizes
-        c = np.bincount(word, weights=entries["c"], minlength=len(log_p))
+        c = np.bincount(word, weights=found["c"], minlength=len(words))
         base = np.add.reduceat((np.log10(c + 1.0) - unit)[ids], starts)
         known = np.add.reduceat((c > 0).astype(np.int64)[ids], starts)
-        sums = _in_order(ids, sizes, np.frombuffer(flags, dtype=np.uint8), rates, mixing.trust_prior)
-        score = _all_kinds(sums, log_p, word, entries, shares) / _LN10
+        spelled = shared.value.in_texts(words, ids, sizes)
+        sums = _in_order(
+            np.arange(len(ids)), sizes, np.frombuffer(flags, dtype=np.uint8), rates, mixing.trust_prior
+        )
+        score = _all_kinds(sums, spelled, ids, c, word, found, shares) / _LN10
         return pa.RecordBatch.from_arrays(
             [
                 doc_id, held_out, pa.array(sizes), pa.array(known),
@@ -826,21 +1086,17 @@ def score_documents(
         )
 
     def add_up(batches):
-        # A chunk's words come in the order of their numbers, then its documents.
-        prices, words, entries, many = [], [], [], 0
+        # A chunk's pieces come first, then its documents.
+        at, found = [np.empty(0, np.int64)], [np.empty(0, _KNOWN)]
         for batch in batches:
-            start = 0
-            for end in [*np.flatnonzero(batch.column(0).to_numpy() == _LAST).tolist(), batch.num_rows]:
-                if end > start:
-                    word, found = _known(batch.column(2).slice(start, end - start))
-                    prices.append(batch.column(1).slice(start, end - start).to_numpy(zero_copy_only=False))
-                    words.append(word + many)
-                    entries.append(found.copy())
-                    many += end - start
-                if end < batch.num_rows:
-                    yield finish(batch, end, *map(np.concatenate, (prices, words, entries)))
-                    prices, words, entries, many = [], [], [], 0
-                start = end + 1
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                if not row["last"]:
+                    for kept, part in zip((at, found), _piece_of(row["known"]), strict=True):
+                        kept.append(part)
+                    continue
+                yield finish(row, np.concatenate(at), np.concatenate(found))
+                at, found = at[:1], found[:1]
 
     return stream.mapInArrow(add_up, SCORES)
 
@@ -876,33 +1132,83 @@ def _in_order(ids: np.ndarray, sizes: np.ndarray, flags: np.ndarray, rates: np.n
     return sums
 
 
+def _pieces(batches, most: int = 400_000):
+    """Counts of words dealt back to chunks: packed pieces of at most so many words."""
+    held, many = [], 0
+
+    def flush():
+        chunk, at, known = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        chunk, at = chunk.to_numpy(), at.to_numpy()
+        order = np.lexsort((at, chunk))
+        many, found = _known(known.take(pa.array(order)))
+        at, edges = at[order], np.concatenate([[0], np.cumsum(many)])
+        for start, end in runs(chunk[order]):
+            some = found[edges[start] : edges[end]]
+            columns = [
+                at[start:end].astype("<u4").view("u1").reshape(-1, 4).T, many[start:end].astype("u1"),
+                some["kind"], some["c"].astype("<u8").view("u1").reshape(-1, 8).T,
+            ]
+            data = np.array([end - start, len(some)], dtype="<u4").tobytes()
+            data += b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk[order[start]]], pa.int64()),
+                    pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary()),
+                ],
+                names=["chunk", "known"],
+            )
+
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many >= most:
+            yield from flush()
+            held, many = [], 0
+    if many:
+        yield from flush()
+
+
+def _piece_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Word and entry of every count by kind in a piece."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="u1")
+    words, size = (int(x) for x in flat[:8].view("<u4"))
+    at, many, kind, c = np.split(flat[8:], np.cumsum([4 * words, words, size]))
+    found = np.empty(size, dtype=_KNOWN)
+    found["kind"] = kind
+    found["c"] = np.ascontiguousarray(c.reshape(8, -1).T).view("<u8").reshape(-1)
+    at = np.ascontiguousarray(at.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.repeat(at, many), found
+
+
 def _known(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word and entry of every count by kind that the words of a chunk carry."""
+    """How many counts by kind each word has, and their entries."""
     ends = np.frombuffer(packed.buffers()[1], dtype=np.int32)
     ends = ends[packed.offset : packed.offset + len(packed) + 1]
     data = packed.buffers()[2]
     held = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
-    entries = held[ends[0] : ends[-1]].view(_KNOWN)
-    return np.repeat(np.arange(len(packed)), np.diff(ends) // _KNOWN.itemsize), entries
+    return np.diff(ends) // _KNOWN.itemsize, held[ends[0] : ends[-1]].view(_KNOWN)
 
 
 def _all_kinds(
-    sums, log_p: np.ndarray, word: np.ndarray, entries: np.ndarray, shares: list[_Discount]
+    sums, spelled: np.ndarray, ids: np.ndarray, total: np.ndarray, word: np.ndarray,
+    entries: np.ndarray, shares: list[_Discount],
 ) -> np.ndarray:
-    """Log probability of each document under all kinds together.
+    """Log probability of each document by spelling alone and under all kinds together.
 
-    The kinds' prior shares are those of the training words; half the prior is
-    the general model's. The sum over kinds of prior times probability is what
-    reweighing the kinds after every word would give.
+    `spelled` is that of every word where it stands. Spelling has half of the prior,
+    the general model of whole words a quarter; the kinds share the rest as the
+    training words. The sum over all of prior times probability is what reweighing
+    them after every word would give.
     """
     everything = max(1.0, sum(s.total for s in shares[1:]))
-    out = sums(log_p) + math.log(0.5)
+    general = shares[0].mixed(total[ids], spelled)
+    out = np.logaddexp(sums(spelled) + math.log(0.5), sums(general) + math.log(0.25))
     for kind, share in enumerate(shares[1:]):
         if not share.total:
             continue
-        c = np.zeros(len(log_p))
+        c = np.zeros(len(total))
         own = entries["kind"] == kind
         c[word[own]] = entries["c"][own]
-        prior = math.log(0.5 * share.total / everything)
-        out = np.logaddexp(out, sums(share.mixed(c, log_p)) + prior)
+        prior = math.log(0.25 * share.total / everything)
+        out = np.logaddexp(out, sums(share.mixed(c[ids], general)) + prior)
     return out

@@ -167,3 +167,61 @@ def test_the_order_of_the_words_counts(spark, docs_of):
     got = {r["doc_id"]: r for r in L.score_documents(docs_of(rows), SMALL).collect()}
     assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
     assert got[1000]["score"] > got[1001]["score"] + 20
+
+
+def test_the_word_before_counts_over_the_corpus(spark, docs_of):
+    """Pairs that stand together in training are cheaper, in texts that repeat no word."""
+    rng = random.Random(4)
+    firsts, seconds = ([f"{a}{b}{end}" for a in "bdkl" for b in "aeiou"] for end in ("nt", "rs"))
+    pairs = list(zip(firsts, seconds, strict=True))
+    rows = []
+    for i in range(1, 300):
+        rng.shuffle(pairs)
+        rows.append((i, " ".join(w for pair in pairs for w in pair), "s"))
+    together = " ".join(w for pair in pairs for w in pair)
+    apart = " ".join(w for (a, _), (_, b) in zip(pairs, pairs[1:] + pairs[:1], strict=True) for w in (a, b))
+    late = [i for i in range(1000, 1100) if held(i)][:2]
+    rows += [(late[0], together, "s"), (late[1], apart, "s")]
+    got = {r["doc_id"]: r for r in L.score_documents(docs_of(rows), SMALL).collect()}
+    assert got[late[0]]["base_score"] == pytest.approx(got[late[1]]["base_score"])
+    assert got[late[0]]["score"] > got[late[1]]["score"] + 5
+
+
+def test_codes_of_bytes_are_whole_and_short():
+    counts = np.zeros(256)
+    counts[[32, 97, 98, 99]] = 10_000, 5_000, 2_500, 1_200
+    code = L.Code.of_counts(counts)
+    assert (0.5 ** code.size).sum() == pytest.approx(1.0)
+    assert code.size[[32, 97, 98, 99]].tolist() == [1, 2, 3, 4]
+    spelled = {"".join(str(code.value[k, b]) for k in range(code.size[b])) for b in range(256)}
+    assert len(spelled) == 256
+    assert len({(int(code.node[k, b])) for b in range(256) for k in range(code.size[b])}) == 255
+
+
+def test_texts_cost_their_words_behind_the_words_before():
+    rng = np.random.default_rng(2)
+    words = [b"", b"a", b"the", b"word", "caf\u00e9s".encode(), b"x" * 40]
+    counts = rng.integers(0, 9, (SMALL.contexts, 2, 1 << 14)).astype("f4")
+    model = L.Model(counts, SMALL, L.Code.of_counts(rng.integers(0, 1000, 256)))
+    texts = [[*rng.integers(1, 6, n).tolist(), 0] for n in (0, 1, 5, 30, 200)]
+    sizes = np.array([len(t) for t in texts])
+    got = model.in_texts(words, np.concatenate(texts).astype(np.int64), sizes)
+    want, lexicon = [], L.Lexicon(words)
+    for text in texts:
+        for word, last in zip(text, [-1, *text], strict=False):
+            one = L.Spelled.in_text(lexicon, np.array([word]), np.array([last]), SMALL, model.code)
+            want.append(model.spelling(one)[0])
+    assert got == pytest.approx(want, rel=1e-4)
+    # Bytes of any length of code, in one context: all words of one byte and what goes on.
+    firsts = [bytes([b]) for b in range(256) if b not in b" \n"]
+    every = model.in_texts([b"", *firsts], np.arange(255), np.ones(255, dtype=np.int64))
+    assert 0 < np.exp(every).sum() < 1
+
+
+def test_bytes_behind_a_short_word_see_the_word_before():
+    lexicon = L.Lexicon([b"ab", b"cb", b"x"])
+    spelled = L.Spelled.in_text(lexicon, np.array([2, 2, 2]), np.array([0, 1, -1]), SMALL, L.Code.plain())
+    first = [h[[0, 2, 4]] for h in spelled.hashes]
+    # One and two bytes back the texts are alike ("b "), three back they are not.
+    assert first[0][0] == first[0][1] and first[1][0] == first[1][1]
+    assert all(len(set(h.tolist())) == 3 for h in first[2:])
