@@ -62,6 +62,7 @@ class Mixing:
     prior: float = 0.4
     batch_words: int = 8_000
     batch_bytes: int = 1 << 18
+    bytes_per_task: int = 1 << 25
     least_steps: int = 24
     refine_prior: float = 20.0
     kinds: int = 12
@@ -144,6 +145,7 @@ class Lexicon:
         self.size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        del texts
         if not contexts:
             return
         self.prefix = np.empty(len(self.bytes), dtype=np.uint32)
@@ -844,7 +846,7 @@ def _training_pairs(words: bytes, rows: bytes, sizes: bytes, ids: bytes) -> Pair
     return Pairs(_words_of(words), _unpacked(ids)[np.repeat(learnt, many)], many[learnt])
 
 
-def count_tables(chunks: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
+def count_tables(texts: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
     """Bit counts by context and slot, summed over all training texts.
 
     Tasks give their tables in blocks, which are summed by block; what reaches
@@ -893,7 +895,7 @@ def count_tables(chunks: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
             yield _block_row(*at, total.astype("<f4").tobytes())
 
     schema = "part int, start int, data binary"
-    partial = chunks.select("words", "rows", "sizes", "ids").mapInArrow(count, schema)
+    partial = texts.mapInArrow(count, schema)
     summed = (
         partial.repartition("part", "start")
         .sortWithinPartitions("part", "start")
@@ -930,8 +932,12 @@ def train(chunks: DataFrame, mixing: Mixing) -> Model:
     seen; refinement counts are summed.
     """
     spark = chunks.sparkSession
-    code = Code.of_counts(_summed(chunks, "letters", 256))
-    counts = count_tables(chunks, mixing, code)
+    letters = _summed(chunks, "letters", 256)
+    code = Code.of_counts(letters)
+    # Few tasks, as each holds and gives whole tables.
+    tasks = max(1, -(-int(letters.sum()) // mixing.bytes_per_task))
+    texts = chunks.select("words", "rows", "sizes", "ids").coalesce(tasks)
+    counts = count_tables(texts, mixing, code)
     shared = spark.sparkContext.broadcast(counts)
     gates, inputs = mixing.gates, mixing.contexts + 1
 
@@ -962,7 +968,7 @@ def train(chunks: DataFrame, mixing: Mixing) -> Model:
             [pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["at", "value"]
         )
 
-    learnt = chunks.select("words", "rows", "sizes", "ids").mapInArrow(learn, "at int, value double")
+    learnt = texts.mapInArrow(learn, "at int, value double")
     size = gates * inputs * (inputs + 1)
     flat = np.zeros(size + 256 * 33 * 2)
     for row in learnt.groupBy("at").agg(F.sum("value").alias("value")).toLocalIterator():
