@@ -62,7 +62,7 @@ class Mixing:
     prior: float = 0.4
     batch_words: int = 8_000
     batch_bytes: int = 1 << 18
-    bytes_per_task: int = 1 << 25
+    bytes_per_task: int = 1 << 24
     least_steps: int = 24
     refine_prior: float = 20.0
     kinds: int = 12
