@@ -27,6 +27,7 @@ import heapq
 import math
 from array import array
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,7 @@ class Lexicon:
         self.hash = self.prefix[last]
         self.tail = self.before[last] << np.uint64(8) | self.bytes[last]
 
-    def blocks(self, many: int = 100_000):
+    def blocks(self, many: int = 20_000):
         for first in range(0, len(self.size), many):
             size = self.size[first : first + many]
             yield slice(self.start[first], self.start[first] + size.sum()), size
@@ -225,33 +226,38 @@ class Spelled:
             self.bytes, self.word = self.bytes.take(order), self.word.take(order)
             self.hashes = [h.take(order) for h in self.hashes]
 
-    def bits(self):
-        """Value of each bit, its node, and its slot for each context, of the bytes that have it."""
+    def bits(self, valued: bool = False):
+        """Value of each bit, its node, and its slot for each context, of the bytes that have it.
+
+        Slots are of the bit alone, or of the bit and its value: twice the slot plus the value.
+        """
         groups = []
         for k, many in enumerate(self.many[:-1]):
             if not many:
                 break
             if k % 4 == 0:
-                groups = self._groups(k, many)
-            yield self._bit(k, many, groups)
+                groups = self._groups(k, many, 4 + valued)
+            yield self._bit(k, many, groups, valued)
 
     def bit(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         return self._bit(k, self.many[k], self._groups(k, self.many[k]))
 
-    def _groups(self, k: int, many: int) -> list[np.ndarray]:
+    def _groups(self, k: int, many: int, wide: int = 4) -> list[np.ndarray]:
         """First slot of the group that bit k of the first bytes has in each context."""
         shift = np.uint32(36 - self.mixing.slot_bits)
         with np.errstate(over="ignore"):
             key = self.code.group[k // 4].take(self.bytes[:many]) * np.uint32(0x9E3779B1)
             return [
-                (((h[:many] ^ key) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) << 4
+                (((h[:many] ^ key) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) << wide
                 for h in self.hashes
             ]
 
-    def _bit(self, k, many, groups) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def _bit(self, k, many, groups, valued=False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         held = self.bytes[:many]
-        inner = self.code.inner[k].take(held)
-        return self.code.value[k].take(held), self.code.node[k].take(held), [g[:many] + inner for g in groups]
+        value, inner = self.code.value[k].take(held), self.code.inner[k].take(held)
+        if valued:
+            inner = 2 * inner + value
+        return value, self.code.node[k].take(held), [g[:many] + inner for g in groups]
 
 
 class Model:
@@ -262,10 +268,10 @@ class Model:
     level of a slot is kept in the last two bits of its stretched prediction.
     """
 
-    def __init__(self, counts: np.ndarray, mixing: Mixing, code: Code | None = None):
+    def __init__(self, counts: np.ndarray | None, mixing: Mixing, code: Code | None = None):
         self.mixing, self.code = mixing, code
-        self.counts = counts  # contexts x 2 x slots
-        self.inputs = len(counts) + 1
+        self.counts = counts  # contexts x 2 x slots, or none where tables made of them are given
+        self.inputs = (mixing.contexts if counts is None else len(counts)) + 1
         self.weights = np.full((mixing.gates, self.inputs), 0.35)
         self.weights[:, -1] = 0.0
         self.refine = np.zeros((256, 33, 2))
@@ -367,26 +373,38 @@ class Model:
 class _Learner:
     """Online second-order updates of the gated weights."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, tables: np.ndarray | None = None):
+        """Of a model with counts, or with the training tables of its counts."""
         self.model = model
-        self.tables = model.training_tables()
+        self.tables = model.training_tables() if tables is None else tables
         self.curve = np.zeros((model.mixing.gates, model.inputs, model.inputs))
         self.ridge = np.eye(model.inputs)
 
     def learn(self, words: list[bytes], times: np.ndarray, refine: bool) -> None:
         """From words that each are a text of their own, so many times."""
         spelled = Spelled(words, self.model.mixing)
-        self.learn_spelled(spelled, times[spelled.word].astype(np.float32), refine)
+        self.learn_batch([(spelled, times[spelled.word].astype(np.float32))], refine)
 
-    def learn_spelled(self, spelled: Spelled, much: np.ndarray, refine: bool) -> None:
+    def learn_batch(self, pieces: list[tuple[Spelled, np.ndarray]], refine: bool, most: int = 1 << 13) -> None:
+        """From spelled words and how often each byte occurs; one step for each place of a bit.
+
+        Sums go over at most so many bits at once, which stay in the processor's cache.
+        """
         model = self.model
         gates, one = model.mixing.gates, np.float32(1.0)
-        for value, node, slots in spelled.bits():
-            seen = [self.tables[i].take(2 * slot + value) for i, slot in enumerate(slots)]
+        for bits in zip_longest(*(spelled.bits(valued=True) for spelled, _ in pieces)):
+            bits = [(*bit, much[: len(bit[0])]) for bit, (_, much) in zip(bits, pieces, strict=True) if bit]
+            value, node, weight = (np.concatenate([bit[i] for bit in bits]) for i in (0, 1, 3))
+            seen = np.empty((model.inputs - 1, len(value)), dtype=np.float32)
+            start = 0
+            for own, _, slots, _ in bits:
+                for table, slot, row in zip(self.tables, slots, seen, strict=True):
+                    table.take(slot, out=row[start : start + len(own)], mode="clip")
+                start += len(own)
             gate = model.gate(seen)
             order = np.argsort(gate.astype(np.uint8), kind="stable")
             edges = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
-            x = np.zeros((model.inputs, len(value)), dtype=np.float32)
+            x = np.empty((model.inputs, len(value)), dtype=np.float32)
             for i, column in enumerate(seen):
                 column.take(order, out=x[i], mode="clip")
             x[-1] = 0.3
@@ -398,16 +416,17 @@ class _Learner:
                 at = slice(edges[g], edges[g + 1])
                 logit[at] = current[g] @ x[:, at]
             p = one / (one + np.exp(-np.clip(logit, -16.0, 16.0)))
-            weight = much[: len(value)].take(order)
+            weight = weight.take(order)
             if refine:
                 cell = (node.take(order) * 33 + model.cell(logit)) * 2 + truth
                 model.refine += np.bincount(cell, weights=weight, minlength=256 * 33 * 2).reshape(256, 33, 2)
             slope, bend = weight * (truth - p), weight * p * (one - p)
             pull = np.zeros((gates, model.inputs))
             for g in filled:
-                at = slice(edges[g], edges[g + 1])
-                self.curve[g] += (x[:, at] * bend[at]) @ x[:, at].T
-                pull[g] = x[:, at] @ slope[at]
+                for first in range(edges[g], edges[g + 1], most):
+                    at = slice(first, min(first + most, edges[g + 1]))
+                    self.curve[g] += (x[:, at] * bend[at]) @ x[:, at].T
+                    pull[g] += x[:, at] @ slope[at]
             step = np.linalg.solve(self.curve[filled] + self.ridge, pull[filled][:, :, None])
             model.weights[filled] += np.clip(step[:, :, 0], -0.25, 0.25)
         model._fixed = None
@@ -422,30 +441,48 @@ class Pairs:
 
     def __init__(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray, places: bool = False):
         self.lexicon = Lexicon(words)
-        last = np.full(len(ids), -1)
+        last = np.zeros(len(ids), dtype=np.int64)
         last[1:] = ids[:-1]
-        last[np.cumsum(sizes) - sizes] = -1
-        last += ids * (len(words) + 1) + 1
+        last[1:] += 1
+        last[np.cumsum(sizes) - sizes] = 0
+        last += ids * (len(words) + 1)
+        # Numbers of words and places fit 32 bits; half of the memory.
+        order = np.argsort(last) if places else None
+        last = np.sort(last) if order is None else last[order]
+        first = np.ones(len(last), dtype=bool)
+        first[1:] = last[1:] != last[:-1]
+        key = last[first]
         if places:
-            key, self.of = np.unique(last, return_inverse=True)
+            self.of = np.empty(len(last), dtype=np.int32)
+            self.of[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
         else:
-            key, self.times = np.unique(last, return_counts=True)
-        self.ids, self.last = np.divmod(key, len(words) + 1)
-        self.last -= 1
-
-    def parts(self, most: int, mixing: Mixing, code: Code, spread: bool = False):
-        """Which pairs, and their words as `Spelled`, in parts of about so many bytes.
-
-        Spread parts take every so many-th pair, so each is like the whole.
+            self.times = np.diff(np.flatnonzero(first), append=len(last)).astype(np.int32)
+        self.ids = (key // (len(words) + 1)).astype(np.int32)
+        self.last = (key % (len(words) + 1)).astype(np.int32) - np.int32(1)
+
+    def parts(self, most: int, mixing: Mixing, code: Code, every: slice = slice(None)):
+        """Which pairs, and their words as `Spelled`, in parts of about so many bytes."""
+        ids, last = self.ids[every], self.last[every]
+        ends = np.cumsum(self.lexicon.size[ids])
+        edges = np.searchsorted(ends, np.arange(1, -(-int(ends[-1]) // most)) * most).tolist()
+        for start, end in zip([0, *edges], [*edges, len(ends)], strict=True):
+            if start < end:
+                some = slice(start, end)
+                yield some, Spelled.in_text(self.lexicon, ids[some], last[some], mixing, code)
+
+    def batches(self, mixing: Mixing, code: Code):
+        """What `_Learner.learn_batch` takes, for batches of about `batch_bytes`.
+
+        A batch takes every so many-th pair, so each is like the whole.
         """
-        ends = np.cumsum(self.lexicon.size[self.ids])
-        many = -(-int(ends[-1]) // most)
-        edges = np.searchsorted(ends, np.arange(1, many) * most).tolist()
-        for first, (start, end) in enumerate(zip([0, *edges], [*edges, len(ends)], strict=True)):
-            some = slice(first, None, many) if spread else slice(start, end)
-            ids, last = self.ids[some], self.last[some]
-            if len(ids):
-                yield some, Spelled.in_text(self.lexicon, ids, last, mixing, code)
+        many = -(-int(self.lexicon.size[self.ids].sum()) // mixing.batch_bytes)
+        for first in range(min(many, len(self.ids))):
+            every = slice(first, None, many)
+            times = self.times[every].astype(np.float32)
+            yield [
+                (spelled, times[some].take(spelled.word))
+                for some, spelled in self.parts(1 << 15, mixing, code, every)
+            ]
 
 
 # --- whole words -------------------------------------------------------------
@@ -481,9 +518,12 @@ class _Discount:
         off = self.once / (self.once + 2.0 * self.twice) if self.once else 0.5
         off = min(max(off, 0.1), 0.9)
         left = off * self.words / self.total
+        out = coarser + math.log(left)
+        own = np.maximum(c - off, 0.0) / self.total
+        # Where nothing is its own, the sum of the parts may be too small for a double.
         with np.errstate(divide="ignore"):
-            own = np.log(np.maximum(c - off, 0.0) / self.total)
-        return np.logaddexp(own, coarser + math.log(left))
+            np.log(own + np.exp(out), out=out, where=own > 0.0)
+        return out
 
 
 # --- the corpus --------------------------------------------------------------
@@ -673,6 +713,23 @@ def follow(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     word that came next there. Per word: 0 if there is no such place, else 1 plus
     twice the context (see `FOLLOWED`), plus 1 if the word named is the word.
     """
+    flags = np.zeros(len(ids), dtype=np.uint8)
+    for docs, some in document_blocks(sizes):
+        flags[some] = _followed(ids[some], sizes[docs])
+    return flags
+
+
+def document_blocks(sizes: np.ndarray, most: int = 1 << 16):
+    """Slices of documents with about so many words, a longer one alone, and of their words."""
+    ends = np.cumsum(sizes)
+    first = done = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield slice(first, last), slice(done, int(ends[last - 1]))
+        first, done = last, int(ends[last - 1])
+
+
+def _followed(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     flags = np.zeros(len(ids), dtype=np.uint8)
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -737,6 +794,14 @@ def word_chunks(docs: DataFrame, mixing: Mixing, modulus: int = 7, held: int = 2
         docs_of, flags, spelled, sizes = [], [], [], []
         held_bytes = 0
 
+        def rows(batch, many=256):
+            # Some at a time, so a batch is not held twice.
+            for first in range(0, batch.num_rows, many):
+                part = batch.slice(first, many)
+                yield from zip(
+                    part.column(0).to_pylist(), part.column(1).to_pylist(), raw_texts(part), strict=True
+                )
+
         def close():
             tokens, many = np.frombuffer(ids, dtype=np.uint32).astype(np.int64), np.array(sizes)
             codes = np.fromiter((_code(w, width) for w in words), dtype=np.int64, count=len(words))
@@ -769,8 +834,7 @@ def word_chunks(docs: DataFrame, mixing: Mixing, modulus: int = 7, held: int = 2
             )
 
         for batch in batches:
-            doc_ids, held_flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, flag, text in zip(doc_ids, held_flags, raw_texts(batch), strict=True):
+            for doc, flag, text in rows(batch):
                 found = words_of(text)
                 found.append(END)
                 ids.extend(map(words.__getitem__, found))
@@ -868,16 +932,14 @@ def count_tables(texts: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
         for texts in _training_texts(batches):
             pairs = _training_pairs(*texts)
             for some, spelled in pairs.parts(1 << 15, mixing, code):
-                times = pairs.times[some].astype(np.int32).take(spelled.word)
+                times = pairs.times[some].take(spelled.word)
                 most = int(times.sum(dtype=np.int64)) * len(code.value)
                 if seen + most >= 2**31:
                     yield from blocks(tables)
                     tables[:], seen = 0, 0
                 seen += most
-                for value, _, slot in spelled.bits():
+                for _, _, slot in spelled.bits(valued=True):
                     for i, at in enumerate(slot):
-                        at *= 2
-                        at += value
                         np.add.at(tables[i], at, times[: len(at)])
         yield from blocks(tables)
 
@@ -938,22 +1000,22 @@ def train(chunks: DataFrame, mixing: Mixing) -> Model:
     tasks = max(1, -(-int(letters.sum()) // mixing.bytes_per_task))
     texts = chunks.select("words", "rows", "sizes", "ids").coalesce(tasks)
     counts = count_tables(texts, mixing, code)
-    shared = spark.sparkContext.broadcast(counts)
+    # Tasks hold the tables made of the counts, not the counts beside them.
+    shared = spark.sparkContext.broadcast(Model(counts, mixing, code).training_tables())
     gates, inputs = mixing.gates, mixing.contexts + 1
 
     def learn_all(learner, texts, refine):
-        pairs, steps = _training_pairs(*texts), 0
-        for some, spelled in pairs.parts(mixing.batch_bytes, mixing, code, spread=True):
-            times = pairs.times[some].astype(np.float32).take(spelled.word)
-            learner.learn_spelled(spelled, times, refine)
+        steps = 0
+        for pieces in _training_pairs(*texts).batches(mixing, code):
+            learner.learn_batch(pieces, refine)
             steps += 1
         return steps
 
     def learn(batches):
-        model = Model(shared.value, mixing, code)
+        model = Model(None, mixing, code)
         learner, steps, kept = None, 0, []
         for texts in _training_texts(batches):
-            learner = learner or _Learner(model)
+            learner = learner or _Learner(model, shared.value)
             steps += learn_all(learner, texts, True)
             kept = [*kept, texts] if steps < mixing.least_steps else []
         if not steps:
@@ -973,7 +1035,7 @@ def train(chunks: DataFrame, mixing: Mixing) -> Model:
     flat = np.zeros(size + 256 * 33 * 2)
     for row in learnt.groupBy("at").agg(F.sum("value").alias("value")).toLocalIterator():
         flat[row["at"]] = row["value"]
-    shared.unpersist()
+    shared.destroy()
     model = Model(counts, mixing, code)
     curve = flat[: gates * inputs * inputs].reshape(gates, inputs, inputs)
     pull = flat[gates * inputs * inputs : size].reshape(gates, inputs)
@@ -1073,15 +1135,20 @@ def score_documents(
         words, sizes, ids = _words_of(row["words"]), _unpacked(row["sizes"]), _unpacked(row["ids"])
         doc_id, held_out, n_bytes = _rows_of(row["rows"]).columns
         flags = zstandard.ZstdDecompressor().decompress(row["told"])
-        starts = np.cumsum(sizes) - sizes
-        c = np.bincount(word, weights=found["c"], minlength=len(words))
-        base = np.add.reduceat((np.log10(c + 1.0) - unit)[ids], starts)
-        known = np.add.reduceat((c > 0).astype(np.int64)[ids], starts)
         spelled = shared.value.in_texts(words, ids, sizes)
-        sums = _in_order(
-            np.arange(len(ids)), sizes, np.frombuffer(flags, dtype=np.uint8), rates, mixing.trust_prior
-        )
-        score = _all_kinds(sums, spelled, ids, c, word, found, shares) / _LN10
+        flags = np.frombuffer(flags, dtype=np.uint8)
+        c = np.bincount(word, weights=found["c"], minlength=len(words))
+        base_of, known_of = np.log10(c + 1.0) - unit, (c > 0).astype(np.int64)
+        by_kind = _dense(word, found, len(words), len(shares) - 1)
+        base, score = np.empty(len(sizes)), np.empty(len(sizes))
+        known = np.empty(len(sizes), dtype=np.int64)
+        for docs, some in document_blocks(sizes):
+            own, starts = ids[some], np.cumsum(sizes[docs]) - sizes[docs]
+            base[docs] = np.add.reduceat(base_of[own], starts)
+            known[docs] = np.add.reduceat(known_of[own], starts)
+            sums = _in_order(np.arange(len(own)), sizes[docs], flags[some], rates, mixing.trust_prior)
+            score[docs] = _all_kinds(sums, spelled[some], own, c, by_kind, shares)
+        score /= _LN10
         return pa.RecordBatch.from_arrays(
             [
                 doc_id, held_out, pa.array(sizes), pa.array(known),
@@ -1093,7 +1160,7 @@ def score_documents(
 
     def add_up(batches):
         # A chunk's pieces come first, then its documents.
-        at, found = [np.empty(0, np.int64)], [np.empty(0, _KNOWN)]
+        at, found = [np.empty(0, np.int32)], [np.empty(0, _KNOWN)]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
@@ -1182,7 +1249,7 @@ def _piece_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = np.empty(size, dtype=_KNOWN)
     found["kind"] = kind
     found["c"] = np.ascontiguousarray(c.reshape(8, -1).T).view("<u8").reshape(-1)
-    at = np.ascontiguousarray(at.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    at = np.ascontiguousarray(at.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
     return np.repeat(at, many), found
 
 
@@ -1195,9 +1262,18 @@ def _known(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(ends) // _KNOWN.itemsize, held[ends[0] : ends[-1]].view(_KNOWN)
 
 
+def _dense(word: np.ndarray, entries: np.ndarray, words: int, kinds: int) -> list[np.ndarray]:
+    """Counts of all words, by kind."""
+    out = [np.zeros(words) for _ in range(kinds)]
+    for kind, c in enumerate(out):
+        own = entries["kind"] == kind
+        c[word[own]] = entries["c"][own]
+    return out
+
+
 def _all_kinds(
-    sums, spelled: np.ndarray, ids: np.ndarray, total: np.ndarray, word: np.ndarray,
-    entries: np.ndarray, shares: list[_Discount],
+    sums, spelled: np.ndarray, ids: np.ndarray, total: np.ndarray, by_kind: list[np.ndarray],
+    shares: list[_Discount],
 ) -> np.ndarray:
     """Log probability of each document by spelling alone and under all kinds together.
 
@@ -1209,12 +1285,9 @@ def _all_kinds(
     everything = max(1.0, sum(s.total for s in shares[1:]))
     general = shares[0].mixed(total[ids], spelled)
     out = np.logaddexp(sums(spelled) + math.log(0.5), sums(general) + math.log(0.25))
-    for kind, share in enumerate(shares[1:]):
+    for c, share in zip(by_kind, shares[1:], strict=True):
         if not share.total:
             continue
-        c = np.zeros(len(total))
-        own = entries["kind"] == kind
-        c[word[own]] = entries["c"][own]
         prior = math.log(0.25 * share.total / everything)
         out = np.logaddexp(out, sums(share.mixed(c[ids], general)) + prior)
     return out

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -225,3 +226,99 @@ def test_bytes_behind_a_short_word_see_the_word_before():
     # One and two bytes back the texts are alike ("b "), three back they are not.
     assert first[0][0] == first[0][1] and first[1][0] == first[1][1]
     assert all(len(set(h.tolist())) == 3 for h in first[2:])
+
+
+def texts_of(words, sizes, seed):
+    rng = np.random.default_rng(seed)
+    return np.minimum(rng.geometric(0.02, sum(sizes)) - 1, words - 1).astype(np.int64), np.array(sizes)
+
+
+def test_documents_in_blocks_tell_the_same():
+    ids, sizes = texts_of(200, [1, 70_000, 1, 5, 40_000, 40_000, 3], 6)
+    blocks = list(L.document_blocks(sizes))
+    assert [(d.start, d.stop) for d, _ in blocks] == [(0, 1), (1, 2), (2, 5), (5, 7)]
+    assert [w.start for _, w in blocks[1:]] == [w.stop for _, w in blocks[:-1]]
+    assert blocks[0][1].start == 0 and blocks[-1][1].stop == len(ids)
+    assert L.follow(ids, sizes).tolist() == L._followed(ids, sizes).tolist()
+
+
+def test_pairs_count_and_place_every_word():
+    ids, sizes = texts_of(90, [1, 4, 300, 2, 1000], 7)
+    words = [b"", *(f"w{i}".encode() for i in range(89))]
+    before = np.concatenate([[-1], ids[:-1]])
+    before[np.cumsum(sizes) - sizes] = -1
+    want = Counter(zip(ids.tolist(), before.tolist(), strict=True))
+    counted, placed = L.Pairs(words, ids, sizes), L.Pairs(words, ids, sizes, places=True)
+    got = zip(counted.ids.tolist(), counted.last.tolist(), counted.times.tolist(), strict=True)
+    assert {(a, b): n for a, b, n in got} == want
+    assert placed.ids[placed.of].tolist() == ids.tolist()
+    assert placed.last[placed.of].tolist() == before.tolist()
+
+
+def test_batches_hold_every_pair_once():
+    ids, sizes = texts_of(90, [1000, 1, 3000], 8)
+    words = [b"", *(b"x" * (1 + i % 40) for i in range(89))]
+    mixing = L.Mixing(slot_bits=14, block_bits=10, batch_bytes=5_000)
+    pairs = L.Pairs(words, ids, sizes)
+    bytes_of = int((pairs.lexicon.size[pairs.ids] * pairs.times).sum())
+    batches = list(pairs.batches(mixing, L.Code.plain()))
+    assert len(batches) > 3 and sum(float(t.sum()) for b in batches for _, t in b) == bytes_of
+    assert sum(spelled.words for b in batches for spelled, _ in b) == len(pairs.ids)
+
+
+def test_a_batch_in_pieces_teaches_as_one():
+    ids, sizes = texts_of(400, [3000], 9)
+    words = [f"{i:x}".encode() for i in range(400)]
+    pairs = L.Pairs(words, ids, sizes)
+    counts = np.random.default_rng(1).integers(0, 30, (SMALL.contexts, 2, 1 << 14)).astype("f4")
+    code = L.Code.of_counts(L._letters(words, np.bincount(ids, minlength=400)))
+    learners = []
+    for bytes_in_piece, most in ((1 << 20, 1 << 20), (300, 50)):
+        learner = L._Learner(L.Model(counts, SMALL, code))
+        pieces = [
+            (spelled, pairs.times[some].astype(np.float32).take(spelled.word))
+            for some, spelled in pairs.parts(bytes_in_piece, SMALL, code)
+        ]
+        learner.learn_batch(pieces, refine=True, most=most)
+        learners.append(learner)
+    one, many = (learner.model for learner in learners)
+    assert np.abs(one.weights - 0.35).max() > 0.01
+    assert many.weights == pytest.approx(one.weights, abs=1e-4)
+    assert many.refine.sum() == one.refine.sum()
+
+
+def test_learning_holds_the_tables_alone():
+    """Tasks learn from the tables that the driver made of the counts, without counts beside them."""
+    counts = np.random.default_rng(3).integers(0, 30, (SMALL.contexts, 2, 1 << 14)).astype("f4")
+    code = L.Code.plain()
+    given = L._Learner(L.Model(None, SMALL, code), L.Model(counts, SMALL).training_tables())
+    own = L._Learner(L.Model(counts, SMALL, code))
+    pairs = L.Pairs([b"", b"some", b"words"], np.array([1, 2, 1, 1, 0]), np.array([5]))
+    for learner in (given, own):
+        for pieces in pairs.batches(SMALL, code):
+            learner.learn_batch(pieces, refine=True)
+    assert (own.model.weights != 0.35).any()
+    assert given.model.counts is None
+    assert (given.model.weights == own.model.weights).all()
+
+
+def test_small_shares_stay_finite():
+    """A word without a count of its own keeps its log probability, however small."""
+    share = L._Discount(10, 6, 3, 1)
+    off = 0.6
+    coarser = np.array([-5000.0, -5000.0, -3.0])
+    got = share.mixed(np.array([0.0, 2.0, 2.0]), coarser)
+    left = off * 6 / 10
+    want = [-5000.0 + math.log(left), math.log(1.4 / 10), math.log(1.4 / 10 + left * math.exp(-3.0))]
+    assert got == pytest.approx(want)
+
+
+def test_memory_of_a_chunk_stays_small():
+    """What is held beside a chunk's own words does not grow with all of them at 8 bytes many times over."""
+    ids, sizes = texts_of(2_000, [500] * 2_000, 10)
+    tracemalloc.start()
+    try:
+        L.follow(ids, sizes)
+        assert tracemalloc.get_traced_memory()[1] < 24_000_000
+    finally:
+        tracemalloc.stop()
