@@ -26,8 +26,8 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +141,18 @@ class Lexicon:
     # Places looked back at most.
     LEAD = 6
 
-    def __init__(self, words: list[bytes], contexts: bool = True):
-        texts = [w + b" " if w else b"\n" for w in words]
-        self.size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.start = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        del texts
+    def __init__(self, words: list[bytes] | bytes, contexts: bool = True):
+        """Of listed words, or of words joined by line ends, which need not become objects."""
+        if isinstance(words, bytes):
+            words += b"\n"
+        else:
+            words = b"".join(w + b"\n" for w in words)
+        self.bytes = np.frombuffer(bytearray(words), dtype=np.uint8)
+        last = np.flatnonzero(self.bytes == 10)
+        self.size = np.diff(last, prepend=-1)
+        self.start = last + 1 - self.size
+        # A blank stands behind every word, a line end alone is the end of a text.
+        self.bytes[last[self.size > 1]] = 32
         if not contexts:
             return
         self.prefix = np.empty(len(self.bytes), dtype=np.uint32)
@@ -229,7 +235,8 @@ class Spelled:
     def bits(self, valued: bool = False):
         """Value of each bit, its node, and its slot for each context, of the bytes that have it.
 
-        Slots are of the bit alone, or of the bit and its value: twice the slot plus the value.
+        Slots are worked out one context at a time. They are of the bit alone, or of the bit
+        and its value: twice the slot plus the value.
         """
         groups = []
         for k, many in enumerate(self.many[:-1]):
@@ -239,7 +246,7 @@ class Spelled:
                 groups = self._groups(k, many, 4 + valued)
             yield self._bit(k, many, groups, valued)
 
-    def bit(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def bit(self, k: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
         return self._bit(k, self.many[k], self._groups(k, self.many[k]))
 
     def _groups(self, k: int, many: int, wide: int = 4) -> list[np.ndarray]:
@@ -252,12 +259,12 @@ class Spelled:
                 for h in self.hashes
             ]
 
-    def _bit(self, k, many, groups, valued=False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def _bit(self, k, many, groups, valued=False) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
         held = self.bytes[:many]
         value, inner = self.code.value[k].take(held), self.code.inner[k].take(held)
         if valued:
             inner = 2 * inner + value
-        return value, self.code.node[k].take(held), [g[:many] + inner for g in groups]
+        return value, self.code.node[k].take(held), (g[:many] + inner for g in groups)
 
 
 class Model:
@@ -329,7 +336,7 @@ class Model:
         self.counts = None
         return self
 
-    def bit_probability(self, node: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    def bit_probability(self, node: np.ndarray, slots: Iterable[np.ndarray]) -> np.ndarray:
         """Probability of bit 1: mixed, then refined halfway."""
         stretch, shift, scale, weights = self._tables()
         seen = [stretch[i].take(slot) for i, slot in enumerate(slots)]
@@ -361,7 +368,7 @@ class Model:
         total += np.log(p)
         return np.bincount(spelled.word, weights=total, minlength=spelled.words)
 
-    def in_texts(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def in_texts(self, words: list[bytes] | bytes, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log probability of every word of texts laid end to end."""
         pairs = Pairs(words, ids, sizes, places=True)
         out = np.empty(len(pairs.ids))
@@ -383,24 +390,13 @@ class _Learner:
     def learn(self, words: list[bytes], times: np.ndarray, refine: bool) -> None:
         """From words that each are a text of their own, so many times."""
         spelled = Spelled(words, self.model.mixing)
-        self.learn_batch([(spelled, times[spelled.word].astype(np.float32))], refine)
-
-    def learn_batch(self, pieces: list[tuple[Spelled, np.ndarray]], refine: bool, most: int = 1 << 13) -> None:
-        """From spelled words and how often each byte occurs; one step for each place of a bit.
+        self.learn_spelled(spelled, times[spelled.word].astype(np.float32), refine)
 
-        Sums go over at most so many bits at once, which stay in the processor's cache.
-        """
+    def learn_spelled(self, spelled: Spelled, much: np.ndarray, refine: bool) -> None:
         model = self.model
         gates, one = model.mixing.gates, np.float32(1.0)
-        for bits in zip_longest(*(spelled.bits(valued=True) for spelled, _ in pieces)):
-            bits = [(*bit, much[: len(bit[0])]) for bit, (_, much) in zip(bits, pieces, strict=True) if bit]
-            value, node, weight = (np.concatenate([bit[i] for bit in bits]) for i in (0, 1, 3))
-            seen = np.empty((model.inputs - 1, len(value)), dtype=np.float32)
-            start = 0
-            for own, _, slots, _ in bits:
-                for table, slot, row in zip(self.tables, slots, seen, strict=True):
-                    table.take(slot, out=row[start : start + len(own)], mode="clip")
-                start += len(own)
+        for value, node, slots in spelled.bits(valued=True):
+            seen = [table.take(slot) for table, slot in zip(self.tables, slots, strict=True)]
             gate = model.gate(seen)
             order = np.argsort(gate.astype(np.uint8), kind="stable")
             edges = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
@@ -416,17 +412,16 @@ class _Learner:
                 at = slice(edges[g], edges[g + 1])
                 logit[at] = current[g] @ x[:, at]
             p = one / (one + np.exp(-np.clip(logit, -16.0, 16.0)))
-            weight = weight.take(order)
+            weight = much[: len(value)].take(order)
             if refine:
                 cell = (node.take(order) * 33 + model.cell(logit)) * 2 + truth
                 model.refine += np.bincount(cell, weights=weight, minlength=256 * 33 * 2).reshape(256, 33, 2)
             slope, bend = weight * (truth - p), weight * p * (one - p)
             pull = np.zeros((gates, model.inputs))
             for g in filled:
-                for first in range(edges[g], edges[g + 1], most):
-                    at = slice(first, min(first + most, edges[g + 1]))
-                    self.curve[g] += (x[:, at] * bend[at]) @ x[:, at].T
-                    pull[g] += x[:, at] @ slope[at]
+                at = slice(edges[g], edges[g + 1])
+                self.curve[g] += (x[:, at] * bend[at]) @ x[:, at].T
+                pull[g] = x[:, at] @ slope[at]
             step = np.linalg.solve(self.curve[filled] + self.ridge, pull[filled][:, :, None])
             model.weights[filled] += np.clip(step[:, :, 0], -0.25, 0.25)
         model._fixed = None
@@ -439,16 +434,22 @@ class Pairs:
     sorted by word, so that slots looked up one after another are often the same.
     """
 
-    def __init__(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray, places: bool = False):
+    def __init__(
+        self, words: list[bytes] | bytes, ids: np.ndarray, sizes: np.ndarray, places: bool = False
+    ):
         self.lexicon = Lexicon(words)
+        many = len(self.lexicon.size)
         last = np.zeros(len(ids), dtype=np.int64)
         last[1:] = ids[:-1]
         last[1:] += 1
         last[np.cumsum(sizes) - sizes] = 0
-        last += ids * (len(words) + 1)
+        last += ids * (many + 1)
         # Numbers of words and places fit 32 bits; half of the memory.
         order = np.argsort(last) if places else None
-        last = np.sort(last) if order is None else last[order]
+        if order is None:
+            last.sort()
+        else:
+            last = last[order]
         first = np.ones(len(last), dtype=bool)
         first[1:] = last[1:] != last[:-1]
         key = last[first]
@@ -457,32 +458,22 @@ class Pairs:
             self.of[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
         else:
             self.times = np.diff(np.flatnonzero(first), append=len(last)).astype(np.int32)
-        self.ids = (key // (len(words) + 1)).astype(np.int32)
-        self.last = (key % (len(words) + 1)).astype(np.int32) - np.int32(1)
-
-    def parts(self, most: int, mixing: Mixing, code: Code, every: slice = slice(None)):
-        """Which pairs, and their words as `Spelled`, in parts of about so many bytes."""
-        ids, last = self.ids[every], self.last[every]
-        ends = np.cumsum(self.lexicon.size[ids])
-        edges = np.searchsorted(ends, np.arange(1, -(-int(ends[-1]) // most)) * most).tolist()
-        for start, end in zip([0, *edges], [*edges, len(ends)], strict=True):
-            if start < end:
-                some = slice(start, end)
-                yield some, Spelled.in_text(self.lexicon, ids[some], last[some], mixing, code)
-
-    def batches(self, mixing: Mixing, code: Code):
-        """What `_Learner.learn_batch` takes, for batches of about `batch_bytes`.
-
-        A batch takes every so many-th pair, so each is like the whole.
+        self.ids = (key // (many + 1)).astype(np.int32)
+        self.last = (key % (many + 1)).astype(np.int32) - np.int32(1)
+
+    def parts(self, most: int, mixing: Mixing, code: Code, spread: bool = False):
+        """Which pairs, and their words as `Spelled`, in parts of about so many bytes.
+
+        Spread parts take every so many-th pair, so each is like the whole.
         """
-        many = -(-int(self.lexicon.size[self.ids].sum()) // mixing.batch_bytes)
-        for first in range(min(many, len(self.ids))):
-            every = slice(first, None, many)
-            times = self.times[every].astype(np.float32)
-            yield [
-                (spelled, times[some].take(spelled.word))
-                for some, spelled in self.parts(1 << 15, mixing, code, every)
-            ]
+        ends = np.cumsum(self.lexicon.size[self.ids])
+        many = -(-int(ends[-1]) // most)
+        edges = np.searchsorted(ends, np.arange(1, many) * most).tolist()
+        for first, (start, end) in enumerate(zip([0, *edges], [*edges, len(ends)], strict=True)):
+            some = slice(first, None, many) if spread else slice(start, end)
+            ids, last = self.ids[some], self.last[some]
+            if len(ids):
+                yield some, Spelled.in_text(self.lexicon, ids, last, mixing, code)
 
 
 # --- whole words -------------------------------------------------------------
@@ -545,8 +536,12 @@ def _words_packed(words) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
 
 
+def _joined_words(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _words_of(data: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    return _joined_words(data).split(b"\n")
 
 
 def _rows_packed(doc_id: list, held_out: list, n_bytes: list) -> bytes:
@@ -907,7 +902,7 @@ def _training_texts(batches):
 def _training_pairs(words: bytes, rows: bytes, sizes: bytes, ids: bytes) -> Pairs:
     learnt = ~_rows_of(rows).column(1).to_numpy(zero_copy_only=False)
     many = _unpacked(sizes)
-    return Pairs(_words_of(words), _unpacked(ids)[np.repeat(learnt, many)], many[learnt])
+    return Pairs(_joined_words(words), _unpacked(ids)[np.repeat(learnt, many)], many[learnt])
 
 
 def count_tables(texts: DataFrame, mixing: Mixing, code: Code) -> np.ndarray:
@@ -1005,9 +1000,10 @@ def train(chunks: DataFrame, mixing: Mixing) -> Model:
     gates, inputs = mixing.gates, mixing.contexts + 1
 
     def learn_all(learner, texts, refine):
-        steps = 0
-        for pieces in _training_pairs(*texts).batches(mixing, code):
-            learner.learn_batch(pieces, refine)
+        pairs, steps = _training_pairs(*texts), 0
+        for some, spelled in pairs.parts(mixing.batch_bytes, mixing, code, spread=True):
+            times = pairs.times[some].astype(np.float32).take(spelled.word)
+            learner.learn_spelled(spelled, times, refine)
             steps += 1
         return steps
 
@@ -1132,14 +1128,16 @@ def score_documents(
     unit = math.log10(total + distinct + 1)
 
     def finish(row, word, found):
-        words, sizes, ids = _words_of(row["words"]), _unpacked(row["sizes"]), _unpacked(row["ids"])
+        sizes, ids = _unpacked(row["sizes"]), _unpacked(row["ids"])
         doc_id, held_out, n_bytes = _rows_of(row["rows"]).columns
         flags = zstandard.ZstdDecompressor().decompress(row["told"])
+        words = _joined_words(row["words"])
         spelled = shared.value.in_texts(words, ids, sizes)
+        many = words.count(b"\n") + 1
         flags = np.frombuffer(flags, dtype=np.uint8)
-        c = np.bincount(word, weights=found["c"], minlength=len(words))
+        c = np.bincount(word, weights=found["c"], minlength=many)
         base_of, known_of = np.log10(c + 1.0) - unit, (c > 0).astype(np.int64)
-        by_kind = _dense(word, found, len(words), len(shares) - 1)
+        by_kind = _dense(word, found, many, len(shares) - 1)
         base, score = np.empty(len(sizes)), np.empty(len(sizes))
         known = np.empty(len(sizes), dtype=np.int64)
         for docs, some in document_blocks(sizes):

@@ -255,36 +255,12 @@ def test_pairs_count_and_place_every_word():
     assert placed.last[placed.of].tolist() == before.tolist()
 
 
-def test_batches_hold_every_pair_once():
-    ids, sizes = texts_of(90, [1000, 1, 3000], 8)
-    words = [b"", *(b"x" * (1 + i % 40) for i in range(89))]
-    mixing = L.Mixing(slot_bits=14, block_bits=10, batch_bytes=5_000)
-    pairs = L.Pairs(words, ids, sizes)
-    bytes_of = int((pairs.lexicon.size[pairs.ids] * pairs.times).sum())
-    batches = list(pairs.batches(mixing, L.Code.plain()))
-    assert len(batches) > 3 and sum(float(t.sum()) for b in batches for _, t in b) == bytes_of
-    assert sum(spelled.words for b in batches for spelled, _ in b) == len(pairs.ids)
-
-
-def test_a_batch_in_pieces_teaches_as_one():
-    ids, sizes = texts_of(400, [3000], 9)
-    words = [f"{i:x}".encode() for i in range(400)]
-    pairs = L.Pairs(words, ids, sizes)
-    counts = np.random.default_rng(1).integers(0, 30, (SMALL.contexts, 2, 1 << 14)).astype("f4")
-    code = L.Code.of_counts(L._letters(words, np.bincount(ids, minlength=400)))
-    learners = []
-    for bytes_in_piece, most in ((1 << 20, 1 << 20), (300, 50)):
-        learner = L._Learner(L.Model(counts, SMALL, code))
-        pieces = [
-            (spelled, pairs.times[some].astype(np.float32).take(spelled.word))
-            for some, spelled in pairs.parts(bytes_in_piece, SMALL, code)
-        ]
-        learner.learn_batch(pieces, refine=True, most=most)
-        learners.append(learner)
-    one, many = (learner.model for learner in learners)
-    assert np.abs(one.weights - 0.35).max() > 0.01
-    assert many.weights == pytest.approx(one.weights, abs=1e-4)
-    assert many.refine.sum() == one.refine.sum()
+def test_slots_of_a_bit_and_its_value():
+    spelled = L.Spelled([b"some", b"words", b"here"], SMALL)
+    for (value, node, slots), (value_too, node_too, pairs) in zip(spelled.bits(), spelled.bits(valued=True), strict=True):
+        assert (value == value_too).all() and (node == node_too).all()
+        for slot, pair in zip(slots, pairs, strict=True):
+            assert pair.tolist() == (2 * slot + value).tolist()
 
 
 def test_learning_holds_the_tables_alone():
@@ -295,8 +271,9 @@ def test_learning_holds_the_tables_alone():
     own = L._Learner(L.Model(counts, SMALL, code))
     pairs = L.Pairs([b"", b"some", b"words"], np.array([1, 2, 1, 1, 0]), np.array([5]))
     for learner in (given, own):
-        for pieces in pairs.batches(SMALL, code):
-            learner.learn_batch(pieces, refine=True)
+        for some, spelled in pairs.parts(1 << 18, SMALL, code, spread=True):
+            times = pairs.times[some].astype(np.float32).take(spelled.word)
+            learner.learn_spelled(spelled, times, refine=True)
     assert (own.model.weights != 0.35).any()
     assert given.model.counts is None
     assert (given.model.weights == own.model.weights).all()
@@ -322,3 +299,14 @@ def test_memory_of_a_chunk_stays_small():
         assert tracemalloc.get_traced_memory()[1] < 24_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_joined_words_are_the_listed_words():
+    for words in ([b""], [b"a", b"", b"caf\xc3\xa9"], [b"x" * 40, b"y"], [b"", b"\x1c"]):
+        listed, joined = L.Lexicon(words), L.Lexicon(b"\n".join(words))
+        texts = [w + b" " if w else b"\n" for w in words]
+        assert listed.bytes.tobytes() == b"".join(texts) == joined.bytes.tobytes()
+        assert listed.size.tolist() == [len(t) for t in texts] == joined.size.tolist()
+        assert [int(i) for i in joined.start] == [sum(map(len, texts[:i])) for i in range(len(texts))]
+        assert (listed.hash == joined.hash).all() and (listed.tail == joined.tail).all()
+    assert len(L.Lexicon([], contexts=False).size) == 0
